@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tamiz.llm import hashmix, quality_rules
+from tamiz.llm import forced_bpe, hashmix, language_mixture, nbsvm, quality_rules
 from tamiz.llm.session import ensure_checkpoint_dir
 
 
@@ -16,14 +16,26 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_mixture.language_mixture(_documents(spark, sf_dir))
+
+
 def op2_repetition_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.repetition_quality(_documents(spark, sf_dir))
 
 
+def op6_forced_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forced_bpe.bpe_round_trip(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), digests=True)
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hashmix.hash_threshold_mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nbsvm.quality_scores(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
