@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tamiz.llm import forced_bpe, hashmix, language_mixture, nbsvm, personal_data, quality_rules
+from tamiz.llm import forced_bpe, hashmix, hyperminhash, language_mixture, nbsvm, personal_data, quality_rules
 from tamiz.llm.session import ensure_checkpoint_dir
 
 
@@ -24,6 +24,10 @@ def op2_repetition_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.repetition_quality(_documents(spark, sf_dir))
 
 
+def op3_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.near_duplicates(_documents(spark, sf_dir))
+
+
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.find_personal_data(_documents(spark, sf_dir))
 
