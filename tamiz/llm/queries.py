@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tamiz.llm import forced_bpe, hashmix, hyperminhash, language_mixture, nbsvm, personal_data, quality_rules
+from tamiz.llm import bwt_repeats, forced_bpe, hashmix, hyperminhash, language_mixture, nbsvm, personal_data, quality_rules
 from tamiz.llm.session import ensure_checkpoint_dir
 
 
@@ -36,6 +36,10 @@ def op6_forced_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forced_bpe.bpe_round_trip(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), digests=True)
 
 
+def op7_bwt_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bwt_repeats.remove_repeats(_documents(spark, sf_dir), digest=True)
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hashmix.hash_threshold_mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
