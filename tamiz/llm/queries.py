@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tamiz.llm import bwt_repeats, forced_bpe, hashmix, hyperminhash, language_mixture, nbsvm, personal_data, quality_rules
+from tamiz.llm import bwt_repeats, edit_lines, forced_bpe, hashmix, hyperminhash, language_mixture, nbsvm, personal_data, quality_rules
 from tamiz.llm.session import ensure_checkpoint_dir
 
 
@@ -28,6 +29,10 @@ def op3_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.near_duplicates(_documents(spark, sf_dir))
 
 
+def op4_edit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_lines.dedup_lines(_documents(spark, sf_dir)).withColumn("kept_sha256", F.sha2("text", 256)).drop("text")
+
+
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.find_personal_data(_documents(spark, sf_dir))
 
