@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamiz.llm import bwt_repeats, edit_lines, forced_bpe, hashmix, hyperminhash, language_mixture, nbsvm, personal_data, quality_rules
+from tamiz.llm import bwt_repeats, edit_lines, forced_bpe, hashmix, hyperminhash, language_mixture, nbsvm, personal_data, progressive_jpeg, quality_rules
 from tamiz.llm.session import ensure_checkpoint_dir
 
 
@@ -49,6 +49,10 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hashmix.hash_threshold_mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return progressive_jpeg.media_columns(_documents(spark, sf_dir))
+
+
 def op10_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nbsvm.quality_scores(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
