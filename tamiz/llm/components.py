@@ -20,8 +20,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     the result is empty.
     """
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct().checkpoint()
-    mark = None
-    while True:
+    while not _are_stars(now):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _lowest(both).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
         # Now every u has only lower neighbours.
@@ -29,8 +28,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         small = low.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         small = small.union(low.select("u", F.col("m").alias("v")))
         now = small.where("u > v").distinct().checkpoint()
-        seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(seen) == mark:
-            break
-        mark = tuple(seen)
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select("v", F.col("v").alias("w")).distinct())
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every higher end has one edge and is no lower end."""
+    ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)").isEmpty()

@@ -9,11 +9,11 @@ what may reach the threshold is confirmed on the full sets.
 Work that doesn't grow with the square of a group:
 
 1. Documents with equal sets become one representative.
-2. In every band bucket each member is compared with one leader only, and the confirmed links are
-   joined into components. That settles most groups, however large.
-3. Only buckets that still hold several components are compared further, pair by pair inside numpy
-   blocks; of each pair of components the ``first_try`` likeliest document pairs are confirmed first and
-   more only if those fail, until no pair of components is left untried. So no link is lost.
+2. Every band bucket has a leader; the buckets of one leader form a group. A group is dealt out in blocks of about
+   ``BLOCK`` members, each with the leader. A task compares the members of a block by their registers, confirms what may
+   reach the threshold on the full sets, and returns only links that join two parts of the block.
+3. Of groups of several blocks that the links haven't joined into one component, the members outside the largest one
+   are taken to all other blocks. So no link is lost, and a large group of near copies isn't expanded into its pairs.
 
 With 32 bands of 4 registers a pair at similarity 0.75 shares no band with probability 5e-6; the estimate's
 cut lies 4.5 standard deviations below the threshold.
@@ -45,7 +45,7 @@ BANDS = REGISTERS // BAND_ROWS
 COLLISION = 1 / 3 / (1 << MANTISSA_BITS)
 DEVIATIONS = 4.5
 #: Members of one bucket that one task compares with each other at a time.
-BLOCK = 2048
+BLOCK = 1024
 _U = np.uint64
 
 #: Row i: the buckets from which an empty bucket i borrows, in order of trial.
@@ -139,110 +139,79 @@ def _band_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(mix(key).ravel().view(np.int64)), pa.array(ids)], names=["band", "id"])
 
 
-def _likely_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keeps the pairs whose registers allow the threshold."""
+def _dealt_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row with the full set for every group and block that a document goes to."""
     for batch in batches:
-        same = (_matrix(batch.column(2)) == _matrix(batch.column(3))).sum(axis=1)
-        ok = pa.array(same >= LEAST_SAME)
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
+        dealt = batch.column(2).to_pylist()
+        for i, j, raw, off in chunks(batch.column(1)):
+            bounds, hashes = shingle_sets(raw, off)
+            own = [hashes[bounds[k] : bounds[k + 1]].tobytes() for k in range(j - i)]
+            rows = [(d["leader"], d["block"], doc, d["comp"], d["probe"], s) for doc, to, s in zip(batch.column(0)[i:j].to_pylist(), dealt[i:j], own) for d in to]
+            cols = list(zip(*rows)) or [()] * 6
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+            for k in range(0, len(rows), 2000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 2000], t) for c, t in zip(cols, kinds)], names=["leader", "block", "id", "comp", "probe", "shingles"])
 
 
-def _confirm_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keeps the pairs whose full sets reach the threshold."""
-    for batch in batches:
-        a, b, text_a, text_b = batch.columns
-        ok = np.zeros(len(a), bool)
-        for i, j, raw, off in chunks(text_a):
-            bounds, left = shingle_sets(raw, off)
-            k = i
-            for i2, j2, raw2, off2 in chunks(text_b[i:j]):
-                bounds2, right = shingle_sets(raw2, off2)
-                for r in range(j2 - i2):
-                    x, y = left[bounds[i2 + r] : bounds[i2 + r + 1]], right[bounds2[r] : bounds2[r + 1]]
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    ok[k + i2 + r] = 100 * both >= PERCENT * (len(x) + len(y) - both) and both > 0
-        keep = pa.array(ok)
-        yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], names=["a", "b"])
-
-
-def block_pairs(comp: np.ndarray, side: np.ndarray, regs: np.ndarray, one_block: bool, first_try: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Pairs of rows in different components worth confirming, and whether some were put off.
-
-    Of a block with itself all pairs count; of two blocks, those with a row on either side.
+def block_links(ids: np.ndarray, comp: np.ndarray, probe: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Confirmed links between rows of different components, enough to join what belongs together.
+
+    All pairs with a probe row count. Components are joined as links are found, so that a group of near copies needs
+    no more links than rows.
     """
-    rows = np.arange(len(comp)) if one_block else np.flatnonzero(side == 0)
-    cols = rows if one_block else np.flatnonzero(side == 1)
-    found_i, found_j, found_same = [], [], []
-    step = max(1, (1 << 22) // max(1, len(cols) * REGISTERS))
-    other = np.ascontiguousarray(regs[cols])
-    for k in range(0, len(rows), step):
-        part = rows[k : k + step]
-        same = (regs[part][:, None, :] == other[None, :, :]).sum(axis=2, dtype=np.int16)
-        x, y = np.nonzero(same >= LEAST_SAME)
-        i, j = part[x], cols[y]
-        ok = (comp[i] != comp[j]) & ((i < j) | (not one_block))
-        found_i.append(i[ok])
-        found_j.append(j[ok])
-        found_same.append(same[x, y][ok])
-    i, j, same = (np.concatenate(f) if f else np.zeros(0, np.int64) for f in (found_i, found_j, found_same))
-    lo, hi = np.minimum(comp[i], comp[j]), np.maximum(comp[i], comp[j])
-    order = np.lexsort((-same, hi, lo))
-    new = np.ones(len(order), bool)
-    new[1:] = (lo[order][1:] != lo[order][:-1]) | (hi[order][1:] != hi[order][:-1])
-    start = np.flatnonzero(new)
-    rank = np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order))))
-    take = order[rank < first_try]
-    return i[take], j[take], len(take) < len(order)
-
-
-def _block_batches(first_try: int):
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by (band, block, block2); a group may go on in the next batch."""
-
-        def done(parts: list[pa.RecordBatch]) -> pa.RecordBatch | None:
-            t = pa.Table.from_batches(parts).combine_chunks()
-            ids, comp, side = (t.column(c).to_numpy() for c in ("id", "comp", "side"))
-            i, j, more = block_pairs(comp, side, _matrix(t.column("registers").combine_chunks()), t.column("block")[0] == t.column("block2")[0], first_try)
-            if not len(i):
-                return None
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j])), pa.array(np.full(len(i), more))], names=["a", "b", "more"])
-
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            key = np.column_stack([batch.column(c).to_numpy() for c in ("band", "block", "block2")])
-            cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
-            for x, y in zip([0, *cuts], [*cuts, len(key)]):
-                part = batch.slice(x, y - x)
-                if held and any(held[0].column(c)[0] != part.column(c)[0] for c in ("band", "block", "block2")):
-                    if (out := done(held)) is not None:
-                        yield out
-                    held = []
-                if len(part):
-                    held.append(part)
-        if held and (out := done(held)) is not None:
-            yield out
-
-    return pairs
-
-
-def _likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    regs = sketches.select(F.col("rep").alias("a"), F.col("registers").alias("ra"))
-    regs2 = sketches.select(F.col("rep").alias("b"), F.col("registers").alias("rb"))
-    return pairs.join(regs, "a").join(regs2, "b").select("a", "b", "ra", "rb").mapInArrow(_likely_batches, "a long, b long")
-
-
-def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that the full sets of their texts confirm; only texts of named documents are kept for the joins."""
-    pairs = pairs.checkpoint()
-    named = pairs.select(F.explode(F.array("a", "b")).alias("_named")).distinct()
-    texts = docs.join(named, docs["doc_id"] == named["_named"], "left_semi").groupBy("doc_id").agg(F.first("text").alias("text"))
-    texts = texts.checkpoint()
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_confirm_batches, "a long, b long")
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", first_try: int = 4) -> DataFrame:
+    size = np.array([len(s) for s in sets])
+    start = np.cumsum(size) - size
+    values, item = np.unique(np.concatenate(sets), return_inverse=True)
+    regs = registers(np.append(start, size.sum()), np.concatenate(sets))
+    name, part = np.unique(comp, return_inverse=True)
+    marked, out = np.zeros(len(values), bool), []
+    for y in np.flatnonzero(probe):
+        if (part == part[0]).all():
+            break
+        likely = np.flatnonzero(((regs == regs[y]).sum(axis=1) >= LEAST_SAME) & (part != part[y]))
+        if not len(likely):
+            continue
+        own = item[start[y] : start[y] + size[y]]
+        marked[own] = True
+        for x in likely:
+            if part[x] == part[y]:
+                continue
+            both = int(np.count_nonzero(marked[item[start[x] : start[x] + size[x]]]))
+            if 100 * both >= PERCENT * (size[x] + size[y] - both):
+                out.append((int(ids[y]), int(ids[x])))
+                part[part == part[x]] = part[y]
+        marked[own] = False
+    return out
+
+
+def _link_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by (leader, block); a block may go on in the next batch."""
+
+    def links(held: list[tuple]) -> pa.RecordBatch:
+        _, _, ids, comp, probe, sets = zip(*held)
+        pairs = block_links(np.array(ids), np.array(comp), np.array(probe), [np.frombuffer(s, _U) for s in sets]) if len(held) > 1 else []
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if held and held[0][:2] != row[:2]:
+                yield links(held)
+                held = []
+            held.append(row)
+    if held:
+        yield links(held)
+
+
+def _links(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The links that blocks find; ``rows``: (leader, block, id, comp, probe)."""
+    dealt = rows.groupBy("id").agg(F.collect_list(F.struct("leader", "block", "comp", "probe")).alias("dealt"))
+    full = docs.join(dealt, F.col("doc_id") == F.col("id")).select("doc_id", "text", "dealt").dropDuplicates(["doc_id"])
+    full = full.mapInArrow(_dealt_batches, "leader long, block int, id long, comp long, probe boolean, shingles binary")
+    return full.repartition("leader", "block").sortWithinPartitions("leader", "block").mapInArrow(_link_batches, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest linked doc_id), kept."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketched = docs.mapInArrow(_sketch_batches, "doc_id long, n_shingles long, set_lo long, set_hi long, registers binary").checkpoint()
@@ -253,34 +222,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     banded = reps.mapInArrow(_band_batches, "band long, id long")
     leader = F.min(F.struct(F.xxhash64("id"), "id")).alias("leader")
-    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), leader).where("n > 1")
-    members = banded.join(shared.select("band", "n", F.col("leader.id").alias("leader")), "band").checkpoint()
-    star = members.where("id != leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
-    links = _confirmed(_likely(star, reps), docs)
+    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), leader).where("n > 1").select("band", F.col("leader.id").alias("leader"))
+    members = banded.join(shared, "band").select("leader", "id").distinct()
+    blocks = members.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    members = members.join(blocks, "leader").withColumn("own", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int")).checkpoint()
+
+    everywhere = F.sequence(F.lit(0), F.col("blocks") - 1)
+    own = F.array("own")
+    rows = members.select("leader", F.explode(F.when(F.col("id") == F.col("leader"), everywhere).otherwise(own)).alias("block"), "id", F.col("id").alias("comp"), F.lit(True).alias("probe"))
+    links = _links(rows, docs).checkpoint()
     labels = connected_components(links).checkpoint()
 
-    while True:
-        labelled = members.join(labels, "id", "left").select("band", "id", "n", F.coalesce("component", "id").alias("comp"))
-        open_bands = labelled.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("band")
-        rows = labelled.join(open_bands, "band").join(reps.withColumnRenamed("rep", "id"), "id")
-        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-        rows = rows.withColumn("own", F.pmod(F.xxhash64("id", F.lit(1)), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        rows = rows.select("band", F.least("own", "other").alias("block"), F.greatest("own", "other").alias("block2"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "comp", "registers")
-        rows = rows.repartition("band", "block", "block2").sortWithinPartitions("band", "block", "block2")
-        tried = rows.mapInArrow(_block_batches(first_try), "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more")).checkpoint()
-        count, more = tried.agg(F.count(F.lit(1)), F.max("more")).first()
-        if not count:
-            break
-        found = _confirmed(tried.select("a", "b"), docs).checkpoint()
-        joined = found.join(labels.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left").join(labels.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
-        merged = connected_components(joined.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
-        ends = found.select(F.explode(F.array("a", "b")).alias("id"))
-        every = labels.union(ends.select("id", F.col("id").alias("component"))).groupBy("id").agg(F.min("component").alias("component"))
-        merged = merged.select(F.col("id").alias("component"), F.col("component").alias("lower"))
-        labels = every.join(merged, "component", "left").select("id", F.coalesce("lower", "component").alias("component")).checkpoint()
-        if not more:
-            break
-        first_try *= 16
+    wide = members.where("blocks > 1")
+    if not wide.isEmpty():
+        wide = wide.join(labels, "id", "left").withColumn("comp", F.coalesce("component", "id"))
+        largest = wide.groupBy("leader", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("leader").agg(F.max(F.struct("n", "comp")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+        wide = wide.join(largest.select("leader", F.col("most.comp").alias("main")), "leader").withColumn("probe", F.col("comp") != F.col("main"))
+        rows = wide.select("leader", F.explode(F.when(F.col("probe"), everywhere).otherwise(own)).alias("block"), "id", "comp", "probe")
+        labels = connected_components(links.union(_links(rows, docs))).checkpoint()
 
     by_set = groups.join(labels, groups["rep"] == labels["id"], "left").select(F.col("set_lo").alias("_lo"), F.col("set_hi").alias("_hi"), F.coalesce("component", "rep").alias("component_id"))
     linked = sketched.join(by_set, (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull() & (F.col("set_lo") == F.col("_lo")) & (F.col("set_hi") == F.col("_hi")), "left")
