@@ -34,6 +34,10 @@ MIN_BYTES = 30
 #: Members of one key that one task compares with each other at a time.
 BLOCK = 512
 PROBE = 1 << 62
+#: Up to so many shared keys (16 bytes each) are broadcast; more meet their entries in a second shuffle.
+BROADCAST_KEYS = 1_000_000
+#: Up to so many lines to be fetched (16 bytes each, by document) are broadcast; more are joined by shuffle.
+BROADCAST_LINES = 500_000
 _U = np.uint64
 _ID_BITS = _U((1 << 62) - 1)
 
@@ -215,6 +219,10 @@ def _wanted_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(lines, pa.int64()), pa.array(parts, pa.binary())], names=["line", "part"])
 
 
+def _broadcast_if_few(rows: DataFrame, most: int) -> DataFrame:
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
 def line_classes(docs: DataFrame, threshold: int = THRESHOLD, min_bytes: int = MIN_BYTES) -> tuple[DataFrame, DataFrame]:
     """Of (doc_id, text): every compared line (doc_id, number, line), and (line, class_doc, class_number, copies, near).
 
@@ -225,11 +233,14 @@ def line_classes(docs: DataFrame, threshold: int = THRESHOLD, min_bytes: int = M
     entries = docs.where("doc_id is not null").mapInArrow(_key_batches(threshold, min_bytes), "key long, entry long")
     shared = entries.groupBy("key").agg(F.min("entry").alias("leader"), F.max("entry").alias("last"))
     shared = shared.where((F.col("leader") != F.col("last")) & (F.col("leader") < PROBE) & (F.col("last") != F.col("leader") + PROBE)).select("key", "leader")
+    shared = _broadcast_if_few(shared.checkpoint(), BROADCAST_KEYS)
     line = F.when(F.col("entry") < PROBE, F.col("entry")).otherwise(F.col("entry") - PROBE)
     members = entries.join(shared, "key").select("key", line.alias("line"), (F.col("entry") < PROBE).alias("indexed"), "leader").checkpoint()
 
     wanted = members.select("line").distinct().join(known, "line").groupBy("first.doc_id").agg(F.collect_list(F.struct("line", F.col("first.number").alias("number"))).alias("wanted"))
-    wanted = wanted.withColumnRenamed("doc_id", "_id")
+    wanted = wanted.withColumnRenamed("doc_id", "_id").checkpoint()
+    if (wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0) <= BROADCAST_LINES:
+        wanted = F.broadcast(wanted)
     texts = docs.join(wanted, F.col("doc_id") == F.col("_id")).select("text", "wanted").mapInArrow(_wanted_batches, "line long, part binary")
     texts = texts.groupBy("line").agg(F.first("part").alias("part")).checkpoint()
 
