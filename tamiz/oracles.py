@@ -22,6 +22,11 @@ def pick(x: str, groups, otherwise: str) -> str:
     return "CASE " + " ".join(f"WHEN {has(x, words)} THEN '{label}'" for label, words in groups) + f" ELSE {otherwise} END"
 
 
+def short(x: str) -> str:
+    """1500 as 1.5k, 2000 as 2k, 900 as it is."""
+    return f"CASE WHEN {x} < 1000 THEN CAST(trunc({x}) AS INTEGER)::VARCHAR WHEN {x} % 1000 = 0 THEN CAST(trunc({x} / 1000) AS INTEGER)::VARCHAR || 'k' ELSE printf('%.1fk', {x} / 1000) END"
+
+
 def whole(x: str) -> str:
     return f"CAST(trunc({x}) AS INTEGER)"
 
@@ -83,6 +88,10 @@ def sql() -> dict[str, str]:
         "shift_label": f"{O} SELECT doc_id, CASE WHEN {CAMP} THEN 'ATIPICO' WHEN length({D}) < 400 THEN 'NO_DETERMINADO' ELSE 'ESTANDAR' END AS kind FROM o",
         "career_gate": f"{O} SELECT doc_id, regexp_matches({both}, '{v.CAREER}') AND NOT (regexp_matches({both}, '{v.NOT_CAREER}') AND NOT regexp_matches({both}, '{v.CAREER_NAMED}')) AS career FROM o",
         "district_center": f"{O}, g(name, lat) AS (VALUES {', '.join(f"('{k}', {lat}::DOUBLE)" for k, (lat, _) in v.DISTRICTS.items())}), m AS (SELECT o.doc_id, g.name, g.lat, row_number() OVER (PARTITION BY o.doc_id ORDER BY length(g.name) DESC, g.name) AS k FROM o JOIN g ON contains({n('o.ubicacion')}, g.name)) SELECT o.doc_id, m.name, m.lat FROM o LEFT JOIN m ON o.doc_id = m.doc_id AND m.k = 1",
+        "salary_label": f"""{O}, a AS (SELECT doc_id, salario, {pay} AS p, CASE WHEN {spoken} AND len({soles}) > 0 THEN 'PEN' ELSE 'USD' END AS cur FROM o), b AS (SELECT *, list_min(p) AS lo, list_max(p) AS hi FROM a)
+            SELECT doc_id, CASE WHEN hi > lo THEN cur || ' ' || {short('lo')} || ' – ' || {short('hi')} WHEN lo IS NOT NULL THEN 'Desde ' || cur || ' ' || {short('lo')} WHEN trim(salario) <> '' AND NOT lower(salario) LIKE '%no especificado%' THEN salario END AS label FROM b""",
+        "job_ids": f"{O} SELECT doc_id, CASE WHEN doc_id % 4 <> 3 THEN right('77777777' || doc_id::VARCHAR, 8) END AS job_id FROM o",
+        "stated_modes": f"{O} SELECT CASE WHEN modalidad = '' THEN 'Presencial' ELSE modalidad END AS mode, count(*) AS n FROM o GROUP BY 1",
         "url_dedupe": f"{DEDUPED} SELECT doc_id, clean_url FROM u",
         "portal_counts": f"{DEDUPED} SELECT portal, count(*) AS n FROM u GROUP BY portal",
         "distinct_portals": f"{O} SELECT DISTINCT portal FROM o ORDER BY portal",

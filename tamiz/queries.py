@@ -52,6 +52,30 @@ _simple("career_gate", career=lambda: extract.names_career(tx.norm(F.concat("pue
 _simple("district_center", name=lambda: geo.district_center(tx.norm("ubicacion"))["name"], lat=lambda: geo.district_center(tx.norm("ubicacion"))["lat"])
 
 
+@query
+def salary_label(spark, sf_dir):
+    rows = offers(spark, sf_dir).select("doc_id", "salario", extract.salary(_D).alias("s"))
+    return rows.select("doc_id", tx.amount_label(F.col("s.min"), F.col("s.max"), F.col("s.currency"), F.col("salario")).alias("label"))
+
+
+@query
+def job_ids(spark, sf_dir):
+    key = F.lpad(F.col("doc_id").cast("string"), 8, "7")
+    link = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("https://x.example/s?currentJobId="), key, F.lit("&q=1"))).when(F.col("doc_id") % 4 == 1, F.concat(F.lit("https://x.example/jobs/view/"), key)).when(F.col("doc_id") % 4 == 2, F.concat(F.lit("https://x.example/analyst-"), key, F.lit("?r=2"))).otherwise(F.lit("https://x.example/"))
+    return offers(spark, sf_dir).select("doc_id", html_pages.job_id(link).alias("job_id"))
+
+
+@query
+def stated_modes(spark, sf_dir):
+    title = F.concat("puesto", F.lit(" "), F.col("modalidad"))
+    return offers(spark, sf_dir).groupBy(html_pages.stated_mode(title, F.col("ubicacion")).alias("mode")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def detail_texts(spark, sf_dir):
+    return html_pages.detail_texts(spark.read.parquet(f"{sf_dir}/pages.parquet").groupBy("url").agg(F.min("html").alias("html")))
+
+
 @query
 def url_dedupe(spark, sf_dir):
     return pipeline.dedupe(offers(spark, sf_dir)).select("doc_id", "clean_url")
