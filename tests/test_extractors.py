@@ -52,7 +52,7 @@ def test_experience(spark):
     got = many(spark, texts, experience.experience)
     assert [(g["months_min"], g["months_max"], g["kind"]) for g in got] == [
         (3, None, "CUANTIFICADA"), (24, 36, "CUANTIFICADA"), (18, None, "CUANTIFICADA"), (None, None, "NO_MENCIONADA"), (0, None, "NO_REQUERIDA"),
-        (None, None, "REQUERIDA_SIN_CUANTIFICAR"), (None, None, "REQUERIDA_SIN_CUANTIFICAR"), (None, None, "NO_MENCIONADA"), (None, None, "REQUERIDA_SIN_CUANTIFICAR"),
+        (None, None, "REQUERIDA_SIN_CUANTIFICAR"), (None, None, "REQUERIDA_SIN_CUANTIFICAR"), (None, None, "NO_MENCIONADA"), (None, None, "NO_MENCIONADA"),
     ]
     labels = many(spark, texts[:3], lambda c: experience.experience_label(experience.experience(c)["months_min"], experience.experience(c)["kind"]))
     assert labels == ["3 meses", "2+ años", "1.5+ años"]
