@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 
 def _lowest(pairs: DataFrame) -> DataFrame:
-    """(u, v, m): every neighbour v of u with u's lowest neighbour; a hub's rows stay split as they came."""
-    low = pairs.groupBy("u").agg(F.min("v").alias("m"))
+    """(u, v, m): every neighbour v of u with u's lowest neighbour.
+
+    The minima are written first: a join of two plain shuffles is one whose hub Spark can split.
+    """
+    low = pairs.groupBy("u").agg(F.min("v").alias("m")).checkpoint()
     return pairs.join(low, "u")
 
 

@@ -154,17 +154,17 @@ def _dealt_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def block_links(ids: np.ndarray, comp: np.ndarray, probe: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Confirmed links between rows of different components, enough to join what belongs together.
+    """What confirmed links join, as edges to the smallest id of each part.
 
     All pairs with a probe row count. Components are joined as links are found, so that a group of near copies needs
-    no more links than rows.
+    no more edges than rows.
     """
     size = np.array([len(s) for s in sets])
     start = np.cumsum(size) - size
     values, item = np.unique(np.concatenate(sets), return_inverse=True)
     regs = registers(np.append(start, size.sum()), np.concatenate(sets))
     name, part = np.unique(comp, return_inverse=True)
-    marked, out = np.zeros(len(values), bool), []
+    first, marked, out = part.copy(), np.zeros(len(values), bool), []
     for y in np.flatnonzero(probe):
         if (part == part[0]).all():
             break
@@ -178,9 +178,14 @@ def block_links(ids: np.ndarray, comp: np.ndarray, probe: np.ndarray, sets: list
                 continue
             both = int(np.count_nonzero(marked[item[start[x] : start[x] + size[x]]]))
             if 100 * both >= PERCENT * (size[x] + size[y] - both):
-                out.append((int(ids[y]), int(ids[x])))
                 part[part == part[x]] = part[y]
         marked[own] = False
+    # One edge for each component that came in, from the smallest id of its part.
+    order = np.lexsort((ids, first))
+    ends = order[np.flatnonzero(np.diff(first[order], prepend=-1))]
+    for p in np.unique(part):
+        own = np.sort(ids[ends[part[ends] == p]])
+        out += [(int(own[0]), int(x)) for x in own[1:]]
     return out
 
 
@@ -223,9 +228,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     banded = reps.mapInArrow(_band_batches, "band long, id long")
     leader = F.min(F.struct(F.xxhash64("id"), "id")).alias("leader")
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), leader).where("n > 1").select("band", F.col("leader.id").alias("leader"))
-    members = banded.join(shared, "band").select("leader", "id").distinct()
-    blocks = members.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    members = members.join(blocks, "leader").withColumn("own", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int")).checkpoint()
+    # What is small is written before the joins with it, so that Spark can split the key that very many rows share.
+    members = banded.join(shared.checkpoint(), "band").select("leader", "id").distinct().checkpoint()
+    blocks = members.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).checkpoint()
+    members = members.join(blocks, "leader").withColumn("own", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int"))
 
     everywhere = F.sequence(F.lit(0), F.col("blocks") - 1)
     own = F.array("own")
