@@ -63,7 +63,10 @@ def _line_batches(min_bytes: int):
 
 
 def keys(s: Scan, start: np.ndarray, end: np.ndarray, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-    """(line indices, keys, whether they are index entries) for every segment, length and place."""
+    """(line indices, keys, whether they are index entries) for every segment, length and place.
+
+    A probe that equals the line's own index entry is left out: two different entries of a key are two lines.
+    """
     size, parts = end - start, threshold + 1
     for less in range(threshold + 1):
         other = size - less  # the length whose index is probed
@@ -71,12 +74,18 @@ def keys(s: Scan, start: np.ndarray, end: np.ndarray, threshold: int) -> Iterato
             short, longer = other // parts, parts - other % parts  # segments from `longer` on are one byte longer
             at = k * short + np.maximum(k - longer, 0)
             width = short + (k >= longer)
-            for shift in range(max(-k, less - (threshold - k)), min(k, less + (threshold - k)) + 1):
+            index = np.zeros(len(size), _U)
+            for shift in sorted(range(max(-k, less - (threshold - k)), min(k, less + (threshold - k)) + 1), key=abs):
                 own = less == 0 and shift == 0
                 ok = np.flatnonzero((width > 0) & (at + shift >= 0) & (at + shift + width <= size))
                 begin = start[ok] + at[ok] + shift
-                key = s.span_hash(begin, begin + width[ok]) + other[ok].astype(_U) * _U(0x9E3779B97F4A7C55) + _U(k)
-                yield ok, mix(key), own
+                key = mix(s.span_hash(begin, begin + width[ok]) + other[ok].astype(_U) * _U(0x9E3779B97F4A7C55) + _U(k))
+                if own:
+                    index[ok] = key
+                elif less == 0:
+                    new = key != index[ok]
+                    ok, key = ok[new], key[new]
+                yield ok, key, own
 
 
 def _key_batches(threshold: int, min_bytes: int):
@@ -232,7 +241,7 @@ def line_classes(docs: DataFrame, threshold: int = THRESHOLD, min_bytes: int = M
     known = lines.groupBy("line").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "number")).alias("first")).checkpoint()
     entries = docs.where("doc_id is not null").mapInArrow(_key_batches(threshold, min_bytes), "key long, entry long")
     shared = entries.groupBy("key").agg(F.min("entry").alias("leader"), F.max("entry").alias("last"))
-    shared = shared.where((F.col("leader") != F.col("last")) & (F.col("leader") < PROBE) & (F.col("last") != F.col("leader") + PROBE)).select("key", "leader")
+    shared = shared.where((F.col("leader") != F.col("last")) & (F.col("leader") < PROBE)).select("key", "leader")
     shared = _broadcast_if_few(shared.checkpoint(), BROADCAST_KEYS)
     line = F.when(F.col("entry") < PROBE, F.col("entry")).otherwise(F.col("entry") - PROBE)
     members = entries.join(shared, "key").select("key", line.alias("line"), (F.col("entry") < PROBE).alias("indexed"), "leader").checkpoint()

@@ -81,6 +81,18 @@ def test_one_large_group_of_variants_is_split(spark, monkeypatch):
     assert got == brute(docs, 2, 12)
 
 
+def test_lines_that_probe_their_own_segment(spark):
+    # Pairs, each of its own length, that share only the run of dots; which line has the smaller hash differs.
+    docs = []
+    for i in range(16):
+        x, dots = chr(65 + i), "." * (25 + 4 * i)
+        docs += [(2 * i, f"{x}ka{dots}k{x}1c"), (2 * i + 1, f"{x}cka{dots}k{x}2c")]
+    docs += [(100, "Chapter 1 ......................... p 12"), (101, "Chapter 10 ......................... p 13")]
+    want = brute(docs, 2, 30)
+    assert not any(want[i] for i in (*range(1, 32, 2), 101))
+    assert {r.doc_id: r.text for r in dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), 2, 30).collect()} == want
+
+
 def test_empty_nulls_and_extra_columns(spark):
     docs = spark.createDataFrame([(1, "the very same line\nother", 5), (None, "the very same line", 6), (2, "the very same line", 7)], "doc_id long, text string, line int")
     assert {r.doc_id: r.text for r in dedup_lines(docs, 1, 8).collect()} == {1: "the very same line\nother", None: "the very same line", 2: ""}
