@@ -11,8 +11,8 @@ leader of the index; the links found are joined into classes, and only keys that
 classes are compared pair by pair, in blocks, so that no link is lost and no group of copies is
 expanded into its pairs.
 
-Defined results: null text has no lines and gives an empty text; lines of fewer than ``min_bytes`` bytes stay and are not
-compared; documents without removed lines keep their text as it is; rows that repeat a doc_id share their fate
+Defined results: null text has no lines and gives an empty text; lines of fewer than ``min_bytes`` bytes are
+linked only to equal ones, and blank ones of them stay; documents without removed lines keep their text as it is; rows that repeat a doc_id share their fate
 line by line (their lines are repeats of each other only by number); rows with null doc_id are returned unchanged;
 other columns are not read. Lines are known by 62-bit hashes.
 """
@@ -27,10 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamiz.llm.components import connected_components
-from tamiz.llm.textscan import Scan, chunks, mix
+from tamiz.llm.textscan import SPACE, Scan, chunks, mix
 
 THRESHOLD = 2
-MIN_BYTES = 30
+#: Five bytes a segment; below, two edits mostly join lines that have nothing to do with each other.
+MIN_BYTES = 15
 #: Members of one key that one task compares with each other at a time.
 BLOCK = 512
 PROBE = 1 << 62
@@ -42,21 +43,26 @@ _U = np.uint64
 _ID_BITS = _U((1 << 62) - 1)
 
 
-def _lines(raw: np.ndarray, off: np.ndarray, min_bytes: int):
-    """The scan, and start, end, document, number and id of every line that is compared."""
+def _lines(raw: np.ndarray, off: np.ndarray, min_bytes: int, shorter: bool = False):
+    """The scan, and start, end, document, number and id of every line of ``min_bytes``, or also of shorter ones that aren't blank."""
     s = Scan(raw, off)
     start, end, doc = s.lines()
     number = np.arange(len(doc)) - np.searchsorted(doc, doc)
-    long = np.flatnonzero(end - start >= min_bytes)
-    start, end = start[long], end[long]
-    return s, start, end, doc[long], number[long], (s.span_hash(start, end) & _ID_BITS).astype(np.int64)
+    own = end - start >= min_bytes
+    if shorter:
+        inside = np.zeros(len(raw) + 1, np.int64)
+        np.cumsum(~SPACE[raw], out=inside[1:])
+        own |= inside[end] > inside[start]
+    own = np.flatnonzero(own)
+    start, end = start[own], end[own]
+    return s, start, end, doc[own], number[own], (s.span_hash(start, end) & _ID_BITS).astype(np.int64)
 
 
 def _line_batches(min_bytes: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, raw, off in chunks(batch.column(1)):
-                _, _, _, doc, number, ids = _lines(raw, off, min_bytes)
+                _, _, _, doc, number, ids = _lines(raw, off, min_bytes, shorter=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j].take(pa.array(doc)), pa.array(number), pa.array(ids)], names=["doc_id", "number", "line"])
 
     return cut

@@ -93,6 +93,12 @@ def test_lines_that_probe_their_own_segment(spark):
     assert {r.doc_id: r.text for r in dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), 2, 30).collect()} == want
 
 
+def test_short_lines(spark):
+    docs = [(1, "Yes.\nAll rights reserved.\n\n  \n\u00fc"), (2, "Yes.\nAll rights reserved\n\n  \n\u00fc\nYet."), (3, "Click here to subscribe\nYes."), (4, "Click here, to subscribe!\n7")]
+    got = {r.doc_id: (r.n_removed, r.n_near, r.text) for r in dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: (0, 0, docs[0][1]), 2: (3, 1, "\n  \nYet."), 3: (1, 0, "Click here to subscribe"), 4: (1, 1, "7")}
+
+
 def test_empty_nulls_and_extra_columns(spark):
     docs = spark.createDataFrame([(1, "the very same line\nother", 5), (None, "the very same line", 6), (2, "the very same line", 7)], "doc_id long, text string, line int")
     assert {r.doc_id: r.text for r in dedup_lines(docs, 1, 8).collect()} == {1: "the very same line\nother", None: "the very same line", 2: ""}
