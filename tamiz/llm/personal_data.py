@@ -53,6 +53,25 @@ def _iban_ok(m: Column) -> Column:
     return F.length(plain).between(15, 34) & (left == 1)
 
 
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV", 22: "BG BH DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_IBAN_KNOWN = "|".join(IBAN_LENGTHS.values()).replace(" ", "|")
+_IBAN_EXACT = "|".join(rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])" for n, c in IBAN_LENGTHS.items())
+#: The country's length if it ends there, or else as many characters as can belong to one.
+IBAN = rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{_IBAN_EXACT}|[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]){{11,30}}(?![A-Za-z0-9]))"
+
+
+def _iban_parts(m: Column) -> Column:
+    """What may be the number: the match, and where the country's length isn't known also its parts up to a space, longest first."""
+    words = F.split(m, " ")
+    parts = F.transform(F.sequence(F.size(words), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(words, 1, n), " "))
+    return F.when(m.rlike(f"^(?:{_IBAN_KNOWN})"), F.array(m)).otherwise(parts)
+
+
 def _secret_ok(m: Column) -> Column:
     return (F.regexp_count(m, F.lit("[0-9]")) >= 3) & (F.regexp_count(m, F.lit("[A-Za-z]")) >= 3)
 
@@ -72,6 +91,7 @@ class Kind:
     context_bonus: float
     base: bool = False
     joined: bool = False
+    parts: Callable[[Column], Column] | None = None
 
 
 # A pattern that begins at (?:\G|(?<!x)) finds what it would without: no match can begin inside a run of x
@@ -81,7 +101,7 @@ KINDS = (
     Kind("ip", r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", _ip_ok, ("digit",), 0.6, r"\bip\b|host|server|address|login", 0.3, base=True),
     Kind("card", rf"[0-9][0-9{JOINT}]+", _card_ok, ("digit",), 0.8, "card|visa|credit|pay|account", 0.2, base=True, joined=True),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", _phone_ok, ("digit", "+"), 0.7, "phone|tel|call|mobile|fax", 0.3, base=True),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", _iban_ok, ("digit",), 0.8, "iban|bank|account|transfer", 0.2),
+    Kind("iban", IBAN, _iban_ok, ("digit",), 0.8, "iban|bank|account|transfer", 0.2, parts=_iban_parts),
     Kind("secret", r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{20,}+", _secret_ok, ("digit",), 0.3, r"token|secret|passw|api.?key|access.?key|credential", 0.5),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", _always, ("digit",), 0.3, r"\bssn\b|social security", 0.5),
 )
@@ -104,7 +124,16 @@ def _matches(text: Column, pattern: str) -> Column:
 
 def _spans(kind: Kind, rank: int) -> Column:
     text = F.regexp_replace("_t", r"(?<=[0-9])[\x20-](?=[0-9])", JOINT) if kind.joined else F.col("_t")
-    found = F.filter(_matches(text, kind.pattern), lambda x: kind.confirm(x["m"]))
+    found = _matches(text, kind.pattern)
+    if kind.parts:
+
+        def longest(x: Column) -> Column:
+            m = F.get(F.filter(kind.parts(x["m"]), kind.confirm), 0)
+            return F.struct(x["start"].alias("start"), (x["start"] + F.length(m)).alias("end"), m.alias("m"))
+
+        found = F.filter(F.transform(found, longest), lambda x: x["m"].isNotNull())
+    else:
+        found = F.filter(found, lambda x: kind.confirm(x["m"]))
 
     def scored(x: Column) -> Column:
         before = F.lower(F.substring(F.col("_t"), F.greatest(x["start"] - CONTEXT_CHARS, F.lit(0)) + 1, F.least(x["start"], F.lit(CONTEXT_CHARS))))

@@ -56,6 +56,17 @@ def test_added_kinds_need_checksum_or_context(spark):
     assert got == {0: "iban:7:34", 1: "", 2: "secret:9:41", 3: "", 4: "ssn:4:15", 5: ""}
 
 
+def test_iban_before_capitals_and_numbers(spark):
+    numbers = {"DE89370400440532013000": " EUR 500", "GB82 WEST 1234 5698 7654 32": " BIC NWBKGB2L", "DE89 3704 0044 0532 0130 00": " Euro 5 OR MORE CAPITAL WORDS AFTER IT"}
+    rows = [(i, f"to {n}{after}") for i, (n, after) in enumerate(numbers.items())]
+    rows += [(3, "DE89 3704 0044 0532 0130 00 GB82 WEST 1234 5698 7654 32"), (4, "DE89370400440532013000."), (5, "DE89 3704 0044 0532 0130 01 EUR 500")]
+    check = 98 - int("370400440532013000" + "3535" + "00") % 97
+    rows.append((6, f"ZZ{check:02d} 3704 0044 0532 0130 00 EUR 500"))
+    got = {r.doc_id: r.spans for r in find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {i: [x for x in s.split(",") if x.startswith("iban")] for i, s in got.items()}
+    assert got == {i: [f"iban:3:{3 + len(n)}"] for i, n in enumerate(numbers)} | {3: ["iban:0:27", "iban:28:55"], 4: ["iban:0:22"], 5: [], 6: ["iban:0:27"]}
+
+
 def test_empty_table_and_extra_columns(spark):
     docs = spark.createDataFrame([(1, "a@b.c", "x", 2)], "doc_id long, text string, spans string, email int")
     assert find_personal_data(docs).first().spans == "email:0:5"
