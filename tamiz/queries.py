@@ -124,10 +124,20 @@ def requirements_top6(spark, sf_dir):
     return rows.select("doc_id", F.array_join(requirements.labels(F.col("r"), 6), "; ").alias("top"), F.size("r").alias("n"))
 
 
+def _skill_counts(rows):
+    skills = rows.select(F.explode(requirements.requirements("puesto", _D)).alias("r"))
+    return skills.groupBy(F.col("r.name").alias("skill")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def skill_counts(spark, sf_dir):
-    rows = offers(spark, sf_dir).select(F.explode(requirements.requirements("puesto", _D)).alias("r")).where(F.col("r.name").isin("Excel", "Power BI", "Python", "KPIs"))
-    return rows.groupBy(F.col("r.name").alias("skill")).agg(F.count(F.lit(1)).alias("n"))
+    # The four skills of its SQL; all_skill_counts has the whole catalogue.
+    return _skill_counts(offers(spark, sf_dir)).where(F.col("skill").isin("Excel", "Power BI", "Python", "KPIs"))
+
+
+@query
+def all_skill_counts(spark, sf_dir):
+    return _skill_counts(offers(spark, sf_dir))
 
 
 def _accepted(spark, sf_dir):

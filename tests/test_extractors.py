@@ -78,3 +78,13 @@ def test_parents_and_children(spark):
     rows = spark.createDataFrame([(0, "Requisitos: SAP MM"), (1, "Requisitos: SAP MM y SAP PP"), (2, None)], "i int, x string")
     got = {r.i: r.names for r in rows.select("i", requirements.labels(requirements.requirements(F.lit(""), "x"), 6).alias("names")).collect()}
     assert got == {0: ["SAP MM"], 1: ["SAP"], 2: []}
+
+
+def test_skill_counts_of_the_whole_catalogue(spark):
+    from tamiz import queries
+
+    texts = ["Manejo de Excel y SQL.", "Manejo de SQL y SAP.", "Manejo de Python, SQL y Excel.", "Sin nada de eso."]
+    rows = spark.createDataFrame([("Puesto", x) for x in texts], "puesto string, descripcion string")
+    got = {r.skill: r.n for r in queries._skill_counts(rows).collect()}
+    assert {k: got.get(k) for k in ("Excel", "SQL", "SAP", "Python")} == {k: sum(k in x for x in texts) for k in ("Excel", "SQL", "SAP", "Python")}
+    assert "all_skill_counts" in queries.QUERIES
