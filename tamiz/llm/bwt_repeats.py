@@ -1,21 +1,25 @@
 """Removal of repeated byte passages, with a Burrows-Wheeler transform.
 
-Every ``length``-byte string of the corpus that starts at two places is to go. The strings are dealt out by
-content: of the ``SEED_BYTES``-byte substrings of a string, the one of smallest hash is its anchor, so equal strings
-have equal anchors. The strings of a document that follow each other and share their anchor make a
-segment; segments of one anchor meet, and only anchors of two or more segments matter.
+Every ``length``-byte string of the corpus that starts at two places is to go; passages of ``passage`` bytes or more
+that repeat are counted on the way. Places are dealt out by content: of the seeds (substrings of a fixed size) in the
+``passage`` bytes from a place on, the one of smallest hash is its anchor, so places where equal strings start have
+equal anchors. The places of a document that follow each other and share their anchor make a segment, with
+the bytes that their strings of ``length`` reach; segments of one anchor meet, and only anchors of two or more
+segments, or with a segment that holds its anchor at several places, matter.
 
 1. Segments with equal bytes are repeats as a whole; of these bytes one copy goes on.
 2. The different segments of an anchor are joined to one text. Its Burrows-Wheeler transform is extended backwards,
    breadth first: intervals of suffixes that share a prefix of 1, 2, 3, ... bytes set the
    boundaries where the common prefix ends, in order of increasing length. At ``length`` the extension stops;
    suffixes without a boundary between them share ``length`` bytes or more.
-3. An anchor with more than ``SPLIT_SEGMENTS`` different segments isn't given to one task: the hashes of all its
-   strings are counted by a shuffle instead.
+3. An anchor with more than ``SPLIT_BYTES`` of different segments isn't given to one task. Its segments are the
+   texts of the next level, where longer seeds deal their places out more finely. At the last level a seed is the whole string,
+   so that all that meets is equal.
 
 Defined results: null text is empty; texts of fewer than ``length`` bytes lose nothing; matches never cross documents;
 rows that repeat a text are copies of each other, whatever their ids; rows with null doc_id take part
-(rows are told apart by a row number of their own); other columns are not read.
+(rows are known by doc_id and a hash of their text); runs of one byte and other periodic texts repeat themselves
+and go; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,14 +32,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamiz.llm.textscan import _BYTE_VALUE, chunks, mix, powers, seen_twice
+from tamiz.llm.textscan import _BYTE_VALUE, SPACE, chunks, mix, powers
 
 LENGTH = 400
-SEED_BYTES = 32
-#: Different segments of one anchor that one task takes together (some 600 bytes each).
-SPLIT_SEGMENTS = 2000
-#: Bytes of segments that are put into one transform.
-TEXT_BYTES = 1 << 20
+#: Repeated passages of so many bytes that hold ``PASSAGE_WORDS`` words are counted, removed or not.
+PASSAGE, PASSAGE_WORDS = 250, 50
+#: Different bytes of one anchor that one task takes together.
+SPLIT_BYTES = 1 << 20
+#: Bytes of segments that are put into one transform; an anchor isn't parted.
+TEXT_BYTES = 1 << 19
+#: Places that a segment may hold; long periodic texts are cut into segments of so many.
+PIECE = 1 << 12
 _U = np.uint64
 _BIG = _U(0xFFFFFFFFFFFFFFFF)
 
@@ -52,6 +59,15 @@ def _span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(_U))
 
 
+def _window_hash(prefix: np.ndarray, size: int) -> np.ndarray:
+    """The span hash of every window of ``size`` bytes."""
+    _, down = powers(len(prefix))
+    h = prefix[size:] - prefix[:-size]
+    h *= down[: len(h)]
+    h += _U(size)
+    return mix(h)
+
+
 def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     """Minimum of every ``width`` consecutive values."""
     n = len(x) - width + 1
@@ -64,39 +80,51 @@ def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(backward[:n], forward[width - 1 : width - 1 + n])
 
 
-def segments(raw: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(document, first string, number of strings, anchor, content hash) of every segment of a chunk."""
-    none = np.zeros(0, np.int64)
-    if len(raw) < length:
-        return none, none, none, none, none
+def segments(raw: np.ndarray, off: np.ndarray, places: np.ndarray, window: int, seed: int, reach: int) -> tuple[np.ndarray, ...]:
+    """(document, first place, number of places, bytes, whether the anchor is at several places, anchor, content hash) of every segment of a chunk."""
+    count = np.clip(np.diff(off) - window + 1, 0, places)
+    doc = np.repeat(np.arange(len(off) - 1), count)
+    if not len(doc):
+        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, bool),) + (np.zeros(0, np.int64),) * 2
     prefix = _prefix(raw)
-    seed = np.arange(len(raw) - SEED_BYTES + 1)
     low = _U((1 << 32) - 1)
     # The leading half of a hash, then the place: among equal hashes the leftmost counts.
-    key = (_span_hash(prefix, seed, seed + SEED_BYTES) & ~low) | seed.astype(_U)
-    least = _sliding_least(key, length - SEED_BYTES + 1)
-    doc = np.repeat(np.arange(len(off) - 1), np.maximum(np.diff(off) - length + 1, 0))
-    count = np.maximum(np.diff(off) - length + 1, 0)
-    string = np.arange(len(doc)) + np.repeat(off[:-1] - np.concatenate([[0], np.cumsum(count)[:-1]]), count)
-    if not len(string):
-        return none, none, none, none, none
-    at = (least[string] & low).astype(np.int64)
-    new = np.concatenate([[True], (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])])
-    first = np.flatnonzero(new)
-    n = np.diff(np.append(first, len(string)))
-    start = string[first]
-    anchor = _span_hash(prefix, at[first], at[first] + SEED_BYTES).view(np.int64)
-    content = _span_hash(prefix, start, start + n + length - 1).view(np.int64)
-    return doc[first], start - off[doc[first]], n, anchor, content
-
-
-def _segment_batches(length: int):
+    key = _window_hash(prefix, seed)
+    key &= ~low
+    key |= np.arange(len(key), dtype=_U)
+    least = _sliding_least(key, window - seed + 1)
+    place = np.arange(len(doc)) + np.repeat(off[:-1] - (np.cumsum(count) - count), count)
+    at = (least[place] & low).astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])]))
+    anchor = _span_hash(prefix, at[first], at[first] + seed)
+    # Neighbours with equal seeds, as in a run of one byte, are one segment.
+    new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (doc[first[1:]] != doc[first[:-1]])])
+    if window > seed and not new.all():
+        anchor, rows, first = anchor[new], np.diff(np.append(np.flatnonzero(new), len(new))), first[new]
+        n = np.diff(np.append(first, len(doc)))
+        parts = -(-n // PIECE)
+        inner, anchor, first = np.repeat(rows > 1, parts), np.repeat(anchor, parts), np.repeat(first, parts) + PIECE * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
+    else:
+        inner = np.zeros(len(first), bool)
+    n = np.diff(np.append(first, len(doc)))
+    doc, start = doc[first], place[first]
+    end = np.minimum(start + n - 1 + reach, off[doc + 1])
+    content = _span_hash(prefix, start, end).view(np.int64)
+    return doc, start - off[doc], n, end - start, inner, anchor.view(np.int64), content
+
+
+_SEGMENT = "k1 long, k2 long, start long, n int, size int, inner boolean, anchor long, content long"
+
+
+def _segment_batches(window: int, seed: int, reach: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            places = batch.column(3).to_numpy()
             for i, j, raw, off in chunks(batch.column(2)):
-                doc, start, n, anchor, content = segments(raw, off, length)
+                doc, start, n, size, inner, anchor, content = segments(raw, off, places[i:j], window, seed, reach)
                 doc = pa.array(doc)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j].take(doc), batch.column(1)[i:j].take(doc), *map(pa.array, (start, n, anchor, content))], names=["doc_id", "th", "start", "n", "anchor", "content"])
+                cols = [batch.column(0)[i:j].take(doc), batch.column(1)[i:j].take(doc), pa.array(start), pa.array(n.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(inner), pa.array(anchor), pa.array(content)]
+                yield pa.RecordBatch.from_arrays(cols, names=["k1", "k2", "start", "n", "size", "inner", "anchor", "content"])
 
     return cut
 
@@ -105,217 +133,257 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes of a sequence of small numbers, ordered by their first ``depth`` items at least.
 
     Doubling: suffixes ordered by some items are ordered by twice as many through the places of the
-    suffixes so many items later. Only suffixes that are still tied are ordered again.
+    suffixes so many items later. Only suffixes that are still tied are ordered again. What is sorted holds the suffix
+    itself in its low bits, so that plain sorts of numbers do.
     """
-    n, base, known, key = len(text), int(text.max()) + 2, 1, text + 1
-    while known < n and base ** (known + 1) < 1 << 62:  # several items at once, to begin with
-        later = np.zeros(n, np.int64)
-        later[: n - known] = text[known:] + 1
-        key, known = key * base + later, known + 1
-    tied = np.argsort(key, kind="stable")
-    key, slot, place = key[tied], np.arange(n), np.empty(n, np.int64)
+    n = len(text)
+    bits, width = n.bit_length(), (int(text.max()) + 1).bit_length()
+    mask = (1 << bits) - 1
+    known = max(1, min(depth, n, (63 - bits) // width))
+    key = np.zeros(n, np.int64)
+    for k in range(known):  # several items at once, to begin with
+        key <<= width
+        key[: n - k] |= text[k:].astype(np.int64) + 1
+    key = np.sort((key << bits) | np.arange(n))
+    tied, key = key & mask, key >> bits
+    order, slot, place = np.empty(n, np.int64), np.arange(n), np.empty(n + 1, np.int64)
+    place[n] = -1  # beyond the end
     while True:
         # Tied suffixes share the place of the first of them.
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.append(first, len(key)))
         place[tied] = np.repeat(slot[first], size)
+        order[slot] = tied
         left = np.repeat(size > 1, size)
         tied, slot = tied[left], slot[left]
         if known >= depth or not len(tied):
-            break
-        later = np.zeros(len(tied), np.int64)
-        inside = tied + known < n
-        later[inside] = place[tied[inside] + known] + 1
-        key = place[tied] * (n + 1) + later
-        by = np.argsort(key, kind="stable")
-        tied, key, known = tied[by], key[by], 2 * known
-    return np.argsort(place, kind="stable")
-
-
-def repeated_suffixes(text: np.ndarray, length: int) -> np.ndarray:
-    """Which positions begin a string of ``length`` items that begins elsewhere too; the last item must be unique."""
+            return order
+        later = place[np.minimum(tied + known, n)] + 1
+        if 3 * bits < 64:
+            key = np.sort((((place[tied] << bits) | later) << bits) | tied)
+            tied, key = key & mask, key >> bits
+        else:
+            by = np.lexsort((later, place[tied]))
+            key = place[tied[by]] * (n + 1) + later[by]
+            tied = tied[by]
+        known *= 2
+
+
+def repeated_suffixes(text: np.ndarray, lengths: tuple[int, ...], own: list[np.ndarray]) -> list[np.ndarray]:
+    """For each of the ascending lengths: which of its own positions begin a string of so many items that begins at another of them.
+
+    The last item must be unique.
+    """
     n = len(text)
-    order = suffix_order(text, length + 1)
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
-    # Where the suffix that begins one item earlier stands; the text is read as a ring, which its unique last item allows.
-    step = place[order - 1]
-    bound = np.zeros(n + 1, bool)  # bound[i]: suffixes i - 1 and i share fewer than `length` items
+    order = suffix_order(text, lengths[-1] + 1)
+    head, before = text[order], text[order - 1]  # the text is read as a ring, which its unique last item allows
+    # Suffixes with the same item before them keep their order when it is put in front.
+    step = np.empty(n, np.int64)
+    step[np.argsort(before, kind="stable")] = np.arange(n)
+    # So a run of one item before neighbouring suffixes is extended as a whole.
+    change = np.concatenate([[False], before[1:] != before[:-1]])
+    run, edge = np.cumsum(change), np.concatenate([[0], np.flatnonzero(change), [n]])
+    bound = np.zeros(n + 1, bool)  # bound[i]: suffixes i - 1 and i share fewer items than the length reached
     bound[0] = True
     lo, hi = np.array([0]), np.array([n])
-    for _ in range(length):
-        # Extend every interval to the left, by each item that stands before its suffixes.
-        size = hi - lo
-        which = np.repeat(np.arange(len(lo)), size)
-        at = np.arange(len(which)) + np.repeat(lo - (np.cumsum(size) - size), size)
-        # Suffixes that begin with the same item stand together, so their places alone order them.
-        key = np.sort(which * n + step[at])
-        which, to = np.divmod(key, n)
-        item = text[order[to]]
-        new = np.flatnonzero(np.concatenate([[True], (which[1:] != which[:-1]) | (item[1:] != item[:-1])]))
+    bits, out = n.bit_length(), []
+    for depth in range(1, lengths[-1] + 1):
+        a, size = run[lo], run[hi - 1] - run[lo] + 1
+        one = size == 1
+        to, till = step[lo[one]], step[hi[one] - 1] + 1
+        if not one.all():
+            lo, hi, a, size = lo[~one], hi[~one], a[~one], size[~one]
+            which = np.repeat(np.arange(len(lo)), size)
+            r = np.arange(len(which)) + np.repeat(a - (np.cumsum(size) - size), size)
+            begin, end = np.maximum(edge[r], lo[which]), np.minimum(edge[r + 1], hi[which])
+            # Runs of one item within an interval lead to neighbouring places: they are joined.
+            first, last = step[begin], step[end - 1] + 1
+            by = np.argsort((which << bits) | first)
+            which, first, last = which[by], first[by], last[by]
+            item = head[first]
+            new = np.flatnonzero(np.concatenate([[True], (which[1:] != which[:-1]) | (item[1:] != item[:-1])]))
+            to, till = np.concatenate([to, first[new]]), np.concatenate([till, last[np.append(new[1:], len(last)) - 1]])
         # Strings of one length have intervals of their own, so each end is met once.
-        lo, hi = to[new], to[np.append(new[1:], len(to)) - 1] + 1
-        fresh = ~bound[hi]
-        bound[hi] = True
-        lo, hi = lo[fresh], hi[fresh]
+        fresh = ~bound[till]
+        bound[till] = True
+        lo, hi = to[fresh], till[fresh]
+        if depth in lengths or not len(lo):
+            counted = own[len(out) : len(out) + lengths.count(depth)] if len(lo) else own[len(out) :]  # without an interval left, all longer strings are alone too
+            out += [_shared(order, np.flatnonzero(bound[:-1]), o) for o in counted]
         if not len(lo):
             break
-    out = np.empty(n, bool)
-    out[order] = ~(bound[:-1] & np.append(bound[1:-1], True))
     return out
 
 
+def _shared(order: np.ndarray, first: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Which of the own positions stand with another one between two boundaries."""
+    there = own[order]
+    again = np.empty(len(order), bool)
+    again[order] = there & np.repeat(np.add.reduceat(there, first, dtype=np.int64) > 1, np.diff(np.append(first, len(order))))
+    return again
+
+
 def _runs(flags: np.ndarray) -> np.ndarray:
     """(first, end) of every run of true flags, as one flat array."""
     edge = np.diff(np.concatenate([[0], flags.astype(np.int8), [0]]))
     return np.column_stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)]).astype("<i4").ravel()
 
 
-def _marked(anchors: list[int], contents: list[int], texts: list[bytes], length: int) -> pa.RecordBatch:
-    """The repeated strings of whole anchors: runs of string numbers within each segment."""
-    size = np.array([len(t) for t in texts])
-    off = np.concatenate([[0], np.cumsum(size + 1)])
-    joined = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.int64) + len(texts)
-    joined[off[1:] - 1] = np.arange(len(texts))  # every segment has an end of its own
-    again = repeated_suffixes(joined, length)
-    out = [(a, c, r.tobytes()) for a, c, i, j in zip(anchors, contents, off[:-1], off[1:]) if len(r := _runs(again[i : max(i, j - length)]))]
-    cols = list(zip(*out)) or [(), (), ()]
-    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], names=["anchor", "content", "runs"])
+_MARKS = "anchor long, content long, start long, passages binary, repeats binary"
 
 
-def _transform_batches(length: int):
+def _mark_rows(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows)) or [()] * 5
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["anchor", "content", "start", "passages", "repeats"])
+
+
+def _marked(anchors: list[int], contents: list[int], places: list[int], texts: list[bytes], lengths: tuple[int, ...]) -> pa.RecordBatch:
+    """The repeated strings of whole anchors: runs of places within each segment, for each length."""
+    size = np.array([len(t) for t in texts])
+    off = np.concatenate([[0], np.cumsum(size + 1)])
+    joined = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.uint16) + np.uint16(2)
+    joined[off[1:] - 1] = 1  # strings that begin at a segment's places don't reach its end
+    joined[-1] = 0
+    # Segments overlap beyond their places, where they would repeat each other.
+    within = np.arange(len(joined)) - np.repeat(off[:-1], size + 1)
+    own = [within < np.repeat(np.minimum(places, size - n + 1), size + 1) for n in lengths]
+    short, long = repeated_suffixes(joined, lengths, own)
+    out = []
+    for a, c, i, t in zip(anchors, contents, off[:-1], size):
+        passages = _runs(short[i : i + t])
+        if len(passages):
+            out.append((a, c, 0, passages.tobytes(), _runs(long[i : i + t]).tobytes()))
+    return _mark_rows(out)
+
+
+def _transform_batches(lengths: tuple[int, ...]):
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by anchor; whole anchors are gathered up to TEXT_BYTES."""
-        anchors: list[int] = []
-        contents: list[int] = []
-        texts: list[bytes] = []
+        held: list[tuple] = []
         size = 0
         for batch in batches:
-            for a, c, t in zip(*(col.to_pylist() for col in batch.columns)):
-                if size >= TEXT_BYTES and a != anchors[-1]:
-                    yield _marked(anchors, contents, texts, length)
-                    anchors, contents, texts, size = [], [], [], 0
-                anchors.append(a)
-                contents.append(c)
-                texts.append(t)
-                size += len(t) + 1
-        if texts:
-            yield _marked(anchors, contents, texts, length)
+            for row in zip(*(col.to_pylist() for col in batch.columns)):
+                if size >= TEXT_BYTES and row[0] != held[-1][0]:
+                    yield _marked(*map(list, zip(*held)), lengths)
+                    held, size = [], 0
+                held.append(row)
+                size += len(row[3]) + 1
+        if held:
+            yield _marked(*map(list, zip(*held)), lengths)
 
     return mark
 
 
-def _string_batches(length: int):
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The string hashes of a segment, dealt to the shares of its anchor."""
+def _whole_batches(length: int):
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All places of segments that have copies."""
         for batch in batches:
-            out = []
-            for a, c, shares, t in zip(*(col.to_pylist() for col in batch.columns)):
-                raw = np.frombuffer(t, np.uint8)
-                prefix, start = _prefix(raw), np.arange(len(raw) - length + 1)
-                h = _span_hash(prefix, start, start + length)
-                share = (h % _U(shares)).astype(np.int64)
-                out += [(a, int(k), c, h[share == k].tobytes(), start[share == k].astype("<i4").tobytes()) for k in np.unique(share)]
-            cols = list(zip(*out)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in cols[:3]), *(pa.array(x, pa.binary()) for x in cols[3:])], names=["anchor", "share", "content", "hashes", "at"])
-
-    return deal
-
-
-def _share_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (anchor, share); each share is settled by itself."""
-
-    def settled(rows: list[tuple]) -> pa.RecordBatch:
-        count = np.array([len(r[4]) // 4 for r in rows])
-        h = np.frombuffer(b"".join(r[3] for r in rows), _U)
-        at = np.frombuffer(b"".join(r[4] for r in rows), "<i4")
-        again, owner, out = seen_twice(h), np.repeat(np.arange(len(rows)), count), []
-        for k in np.unique(owner[again]):
-            part = slice(*np.searchsorted(owner, [k, k + 1]))
-            own = np.sort(at[part][again[part]])
-            out.append((rows[k][0], rows[k][2], np.column_stack([own, own + 1]).astype("<i4").tobytes()))
-        cols = list(zip(*out)) or [(), (), ()]
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], names=["anchor", "content", "runs"])
-
-    held: list[tuple] = []
-    for batch in batches:
-        for row in zip(*(col.to_pylist() for col in batch.columns)):
-            if held and held[0][:2] != row[:2]:
-                yield settled(held)
-                held = []
-            held.append(row)
-    if held:
-        yield settled(held)
+            rows = zip(*(col.to_pylist() for col in batch.columns))
+            run = lambda n: np.array([0, n] if n > 0 else [], "<i4").tobytes()
+            yield _mark_rows([(a, c, 0, run(n), run(min(n, size - length + 1))) for a, c, n, size in rows])
+
+    return whole
 
 
 def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(anchor, content, shares, bytes) of the segments asked for of each text."""
+    """(anchor, content, n, hot, bytes) of the segments asked for of each text."""
     for batch in batches:
-        for text, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            raw = text.encode()
-            cols = [[s[c] for s in asked] for c in ("anchor", "content", "shares")]
+        for raw, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            cols = [pa.array([s[c] for s in asked], t) for c, t in (("anchor", pa.int64()), ("content", pa.int64()), ("n", pa.int32()), ("hot", pa.bool_()))]
             parts = [raw[s["start"] : s["start"] + s["size"]] for s in asked]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.array(parts, pa.binary())], names=["anchor", "content", "shares", "part"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(parts, pa.binary())], names=["anchor", "content", "n", "hot", "part"])
+
+
+def _levels(length: int, passage: int) -> list[tuple[int, int]]:
+    """(bytes that an anchor is chosen from, seed bytes) of each level."""
+    own = [(passage, max(1, passage * 2 // 5)), (passage, max(1, passage * 7 // 10)), (passage, passage)]
+    return own + [(length, (passage + length) // 2), (length, length)] * (length > passage)
+
+
+def _same(a: DataFrame, b: DataFrame) -> list:
+    return [a["k1"].eqNullSafe(b["_k1"]) & (a["k2"] == b["_k2"])]
 
 
-def _removed(length: int, digest: bool):
+def _marks(texts: DataFrame, levels: list[tuple[int, int]], length: int, passage: int) -> DataFrame:
+    """(k1, k2, start, passages, repeats): runs of places, counted from ``start``, in the texts (k1, k2, body, places)."""
+    (window, seed), *deeper = levels
+    found = texts.mapInArrow(_segment_batches(window, seed, length), _SEGMENT)
+    # What is small is written before the joins with it, so that Spark can split the key that very many rows share.
+    shared = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("rows"), F.max("inner").alias("inner")).where("rows > 1 or inner").select("anchor").checkpoint()
+    found = found.join(shared, "anchor", "left_semi").checkpoint()
+
+    # Any one place of a content serves: its bytes are the same everywhere.
+    one = [F.first(c).alias(c) for c in ("k1", "k2", "start", "n", "size", "inner")]
+    contents = found.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("copies"), *one).checkpoint()
+    kinds = contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.sum("size").alias("bytes"), F.max("inner").alias("inner")).where("kinds > 1 or inner")
+    kinds = kinds.select("anchor", (F.col("bytes") > SPLIT_BYTES).alias("hot")).checkpoint()
+    asked = contents.join(kinds, "anchor").select("k1", "k2", F.struct("anchor", "content", "n", "hot", "start", "size").alias("segment"))
+    asked = asked.groupBy(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).agg(F.collect_list("segment").alias("segments"))
+    # Repeated rows give the same part twice; as copies they are repeats anyway.
+    parts = texts.join(asked, _same(texts, asked)).select("body", "segments").mapInArrow(_cut_batches, "anchor long, content long, n int, hot boolean, part binary").checkpoint()
+    few = parts.where("not hot").select("anchor", "content", "n", "part").repartition("anchor").sortWithinPartitions("anchor", "content")
+    marks = few.mapInArrow(_transform_batches((passage, length)), _MARKS)
+    copied = contents.where("copies > 1")
+    if deeper and not kinds.where("hot").isEmpty():
+        hot = parts.where("hot").select(F.col("anchor").alias("k1"), F.col("content").alias("k2"), F.col("part").alias("body"), F.col("n").alias("places"))
+        own = _marks(hot, deeper, length, passage)
+        marks = marks.union(own.select("k1", "k2", "start", "passages", "repeats"))
+        if seed == window == passage < length:
+            # All that meets has this passage in common; only how far it goes on differs.
+            copied = copied.unionByName(contents.join(kinds.where("hot"), "anchor", "left_semi").withColumn("size", F.lit(0)))
+    marks = marks.union(copied.select("anchor", "content", "n", "size").mapInArrow(_whole_batches(length), _MARKS)).select("anchor", "content", F.col("start").alias("later"), "passages", "repeats")
+    return found.select("k1", "k2", "start", "anchor", "content").join(marks, ["anchor", "content"]).select("k1", "k2", (F.col("start") + F.col("later")).alias("start"), "passages", "repeats")
+
+
+def _covered(marks: list[dict], which: str, size: int, length: int) -> np.ndarray:
+    """Which bytes are in a string of ``length`` that begins at a marked place."""
+    runs = np.concatenate([np.frombuffer(m[which], "<i4").reshape(-1, 2) + m["start"] for m in marks])
+    step = np.bincount(runs[:, 0], minlength=size + 1) - np.bincount(runs[:, 1] + length - 1, minlength=size + 1)
+    return np.cumsum(step[:size]) > 0
+
+
+def _removed(length: int, passage: int, digest: bool):
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_bytes, n_removed, n_spans, kept = [], [], [], []
-            for text, marks in zip(batch.column(1), batch.column(2).to_pylist()):
-                raw = (text.as_py() or "").encode()
-                left, spans = raw, 0
+            n_bytes, n_removed, n_spans, n_passages, kept = [], [], [], [], []
+            for body, marks in zip(batch.column(1), batch.column(2).to_pylist()):
+                left = raw = body.as_py()
+                spans, passages = 0, 0
                 if marks:
-                    runs = [np.frombuffer(m["runs"], "<i4").reshape(-1, 2) + m["start"] for m in marks]
-                    runs = np.concatenate(runs)
-                    step = np.bincount(runs[:, 0], minlength=len(raw) + 1) - np.bincount(runs[:, 1] + length - 1, minlength=len(raw) + 1)
-                    gone = np.cumsum(step[: len(raw)]) > 0
+                    own = np.frombuffer(raw, np.uint8)
+                    gone = _covered(marks, "repeats", len(raw), length)
                     spans = len(_runs(gone)) // 2
-                    left = np.frombuffer(raw, np.uint8)[~gone].tobytes()
+                    left = own[~gone].tobytes()
+                    word = np.concatenate([[False], ~SPACE[own]])
+                    begun = np.concatenate([[0], np.cumsum(word[1:] & ~word[:-1])])
+                    run = _runs(_covered(marks, "passages", len(raw), passage)).reshape(-1, 2)
+                    passages = int((begun[run[:, 1]] - begun[run[:, 0]] >= PASSAGE_WORDS).sum())
                 n_bytes.append(len(raw))
                 n_removed.append(len(raw) - len(left))
                 n_spans.append(spans)
+                n_passages.append(passages)
                 kept.append(hashlib.sha256(left).hexdigest() if digest else left)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans)), pa.array(kept, pa.string() if digest else pa.binary())],
-                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256" if digest else "kept"],
+                [batch.column(0), *(pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans)), pa.array(kept, pa.string() if digest else pa.binary()), pa.array(n_passages, pa.int64())],
+                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256" if digest else "kept", "n_passages"],
             )
 
     return remove
 
 
-def remove_repeats(docs: DataFrame, digest: bool = False, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans and what is kept, as bytes or as their SHA-256."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    # Rows are known by their id and a hash of their text.
-    docs = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    found = docs.mapInArrow(_segment_batches(length), "doc_id long, th long, start long, n long, anchor long, content long")
-    shared = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
-    found = found.join(shared, "anchor", "left_semi").checkpoint()
+def remove_repeats(docs: DataFrame, digest: bool = False, length: int = LENGTH, passage: int = PASSAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, what is kept, as bytes or as their SHA-256, and n_passages.
 
-    contents = found.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "th", "start", "n")).alias("one")).checkpoint()
-    kinds = contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    shares = F.ceil(F.col("kinds") / SPLIT_SEGMENTS).cast("long")
-    asked = contents.join(kinds, "anchor").select("one.doc_id", "one.th", F.struct("anchor", "content", shares.alias("shares"), F.col("one.start").alias("start"), (F.col("one.n") + length - 1).alias("size")).alias("segment"))
-    asked = asked.groupBy("doc_id", "th").agg(F.collect_list("segment").alias("segments")).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "segments")
-    # Repeated rows give the same part twice; one is enough.
-    parts = docs.join(asked, docs["doc_id"].eqNullSafe(F.col("_id")) & (docs["th"] == F.col("_th"))).select("text", "segments").mapInArrow(_cut_batches, "anchor long, content long, shares long, part binary")
-    parts = parts.checkpoint()
-    whole = parts.where("shares = 1").select("anchor", "content", "part")
-    whole = whole.repartition("anchor").sortWithinPartitions("anchor", "content").mapInArrow(_transform_batches(length), "anchor long, content long, runs binary")
-    split = parts.where("shares > 1").select("anchor", "content", "shares", "part").mapInArrow(_string_batches(length), "anchor long, share long, content long, hashes binary, at binary")
-    split = split.repartition("anchor", "share").sortWithinPartitions("anchor", "share").mapInArrow(_share_batches, "anchor long, content long, runs binary")
-    copied = contents.where("copies > 1").select("anchor", "content", F.col("one.n").cast("int").alias("n"))
-    copied = copied.mapInArrow(_whole_batches, "anchor long, content long, runs binary")
-    marks = whole.union(split).union(copied)
-
-    back = found.join(marks, ["anchor", "content"]).groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "runs")).alias("marks")).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "marks")
-    rows = docs.join(back, docs["doc_id"].eqNullSafe(F.col("_id")) & (docs["th"] == F.col("_th")), "left").select("doc_id", "text", "marks")
-    return rows.mapInArrow(_removed(length, digest), "doc_id long, n_bytes long, n_removed long, n_spans long, " + ("kept_sha256 string" if digest else "kept binary"))
-
-
-def _whole_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All strings of segments that have copies."""
-    for batch in batches:
-        runs = [np.array([0, n], "<i4").tobytes() for n in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(runs, pa.binary())], names=["anchor", "content", "runs"])
+    n_passages counts the maximal runs of bytes in strings of ``passage`` bytes that begin elsewhere too, where
+    ``PASSAGE_WORDS`` words or more begin in the run.
+    """
+    passage = min(passage, length)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    # Rows are known by their id and a hash of their text.
+    texts = docs.select(F.col(id_col).cast("long").alias("k1"), F.xxhash64(text).alias("k2"), text.cast("binary").alias("body"), F.lit((1 << 31) - 1).alias("places"))
+    marks = _marks(texts, _levels(length, passage), length, passage)
+    back = marks.groupBy(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).agg(F.collect_list(F.struct("start", "passages", "repeats")).alias("marks"))
+    rows = texts.join(back, _same(texts, back), "left").select(F.col("k1").alias("doc_id"), "body", "marks")
+    kept = "kept_sha256 string" if digest else "kept binary"
+    return rows.mapInArrow(_removed(length, passage, digest), f"doc_id long, n_bytes long, n_removed long, n_spans long, {kept}, n_passages long")

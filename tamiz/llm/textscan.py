@@ -12,7 +12,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+#: Arrays of 64-bit numbers about a chunk stay in the cache of a core.
+CHUNK_BYTES = 1 << 18
 _MULTIPLIER = 0x9E3779B97F4A7C55 | 1
 _U = np.uint64
 
@@ -31,7 +32,7 @@ _powers: dict[str, np.ndarray] = {}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first ``n`` powers of the multiplier and of its inverse, modulo 2**64."""
     if len(_powers.get("up", ())) < n:
-        size = 1 << max(20, int(n - 1).bit_length())
+        size = 1 << max(19, int(n - 1).bit_length())
         for key, base in (("up", _MULTIPLIER), ("down", pow(_MULTIPLIER, -1, 1 << 64))):
             steps = np.full(size, base, _U)
             steps[0] = 1

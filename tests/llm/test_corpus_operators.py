@@ -86,37 +86,68 @@ def test_transform_finds_what_a_table_of_substrings_finds():
         letters, length = int(rng.integers(1, 4)), int(rng.integers(1, 9))
         parts = [rng.integers(0, letters, rng.integers(0, 25)) for _ in range(rng.integers(1, 5))]
         text = np.concatenate([x for j, p in enumerate(parts) for x in (p + len(parts), [j])]).astype(np.int64)
-        count = Counter(tuple(text[i : i + length]) for i in range(len(text) - length + 1))
-        want = [i + length <= len(text) and count[tuple(text[i : i + length])] > 1 for i in range(len(text))]
-        assert bwt_repeats.repeated_suffixes(text, length).tolist() == want
+        lengths = (max(1, length // 2), length)
+        for length, got in zip(lengths, bwt_repeats.repeated_suffixes(text, lengths, [np.ones(len(text), bool)] * 2)):
+            count = Counter(tuple(text[i : i + length]) for i in range(len(text) - length + 1))
+            want = [i + length <= len(text) and count[tuple(text[i : i + length])] > 1 for i in range(len(text))]
+            assert got.tolist() == want
 
 
-def repeats(texts, length):
-    raw = [(t or "").encode() for t in texts]
+def covered(raw, length):
     count = Counter(b[k : k + length] for b in raw for k in range(len(b) - length + 1))
-    out = []
     for b in raw:
         gone = np.zeros(len(b), bool)
         for k in range(len(b) - length + 1):
             if count[b[k : k + length]] > 1:
                 gone[k : k + length] = True
-        spans = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
-        out.append((len(b), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest()))
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(int), [0]])))
+        yield gone, list(zip(edge[::2], edge[1::2]))
+
+
+def repeats(texts, length, passage, least_words):
+    raw = [(t or "").encode() for t in texts]
+    out = []
+    for b, (gone, spans), (_, passages) in zip(raw, covered(raw, length), covered(raw, passage)):
+        starts = [m.start() for m in re.finditer(rb"[^\x20\x09-\x0D]+", b)]
+        n = sum(sum(i <= s < j for s in starts) >= least_words for i, j in passages)
+        out.append((len(b), int(gone.sum()), len(spans), hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest(), n))
     return out
 
 
-def test_repeats_equal_brute_force(spark, monkeypatch):
+def repeated_texts():
     rng = random.Random(2)
     noise = lambda n: "".join(rng.choice("abcdefgh é") for _ in range(n))
-    shared = [noise(n) for n in (60, 61, 90, 200)]
-    texts = [noise(rng.randint(0, 150)) + rng.choice(shared) + noise(rng.randint(0, 150)) for _ in range(60)]
-    texts += [texts[0], texts[0], None, "", "x" * 500, "short", shared[0] * 3, noise(40)]
+    shared = [noise(n) for n in (40, 45, 60, 61, 90, 200)]
+    texts = [noise(rng.randint(0, 150)) + rng.choice(shared) + noise(rng.randint(0, 150)) for _ in range(70)]
+    for _ in range(30):  # near copies
+        own = list(shared[-1])
+        for _ in range(rng.randint(0, 3)):
+            own[rng.randrange(200)] = rng.choice("xyz")
+        texts.append("".join(own))
+    return [*texts, texts[0], texts[0], None, "", "x" * 500, "x" * 59, "x" * 60, "x" * 61, "ab" * 300, "abc" * 70 + "abd" * 70, "short", shared[2] * 3, noise(40), noise(60)]
+
+
+def test_repeats_equal_brute_force(spark, monkeypatch):
+    texts = repeated_texts()
     docs = spark.createDataFrame([(i, t, None, "", "") for i, t in enumerate(texts)], SCHEMA).repartition(3)
-    want = repeats(texts, 60)
-    for split in (2000, 2):  # few segments to a task, or their strings dealt out by hash
-        monkeypatch.setattr(bwt_repeats, "SPLIT_SEGMENTS", split)
-        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in bwt_repeats.remove_repeats(docs, digest=True, length=60).collect()}
+    monkeypatch.setattr(bwt_repeats, "PASSAGE_WORDS", 5)
+    want = repeats(texts, 60, 40, 5)
+    for split, piece in ((1 << 20, 1 << 12), (300, 1 << 12), (1, 16)):  # anchors in one task, or dealt out more finely, up to whole strings
+        monkeypatch.setattr(bwt_repeats, "SPLIT_BYTES", split)
+        monkeypatch.setattr(bwt_repeats, "PIECE", piece)
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_passages) for r in bwt_repeats.remove_repeats(docs, digest=True, length=60, passage=40).collect()}
         assert [got[i] for i in range(len(texts))] == want
+    same = {r.doc_id: r for r in bwt_repeats.remove_repeats(docs, digest=True, length=60, passage=60).collect()}
+    assert all(same[i].n_removed == want[i][1] and same[i].n_passages <= same[i].n_spans for i in same)
+
+
+def test_repeats_of_odd_tables(spark):
+    long = "the quick brown fox jumps over the lazy dog and goes on " * 2
+    rows = [(1, long, None, "", ""), (1, "other", None, "", ""), (1, None, None, "", ""), (None, long[:80], None, "", ""), (None, None, None, "", ""), (2, "y" * 79, None, "", "")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in bwt_repeats.remove_repeats(docs, length=50).collect())
+    want = [r[:2] for r in repeats([r[1] for r in rows], 50, 50, 50)]
+    assert got == sorted((r[0] or 0, *w) for r, w in zip(rows, want))
     assert bwt_repeats.remove_repeats(docs.limit(0)).count() == 0
 
 
