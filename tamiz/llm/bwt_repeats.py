@@ -5,7 +5,7 @@ that repeat are counted on the way. Places are dealt out by content: of the seed
 ``passage`` bytes from a place on, the one of smallest hash is its anchor, so places where equal strings start have
 equal anchors. The places of a document that follow each other and share their anchor make a segment, with
 the bytes that their strings of ``length`` reach; segments of one anchor meet, and only anchors of two or more
-segments, or with a segment that holds its anchor at several places, matter.
+segments matter. (Places that follow each other while the anchor is met again at another place are two segments.)
 
 1. Segments with equal bytes are repeats as a whole; of these bytes one copy goes on.
 2. The different segments of an anchor are joined to one text. Its Burrows-Wheeler transform is extended backwards,
@@ -81,11 +81,11 @@ def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments(raw: np.ndarray, off: np.ndarray, places: np.ndarray, window: int, seed: int, reach: int) -> tuple[np.ndarray, ...]:
-    """(document, first place, number of places, bytes, whether the anchor is at several places, anchor, content hash) of every segment of a chunk."""
+    """(document, first place, number of places, anchor, content hash) of every segment of a chunk."""
     count = np.clip(np.diff(off) - window + 1, 0, places)
     doc = np.repeat(np.arange(len(off) - 1), count)
     if not len(doc):
-        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, bool),) + (np.zeros(0, np.int64),) * 2
+        return (np.zeros(0, np.int64),) * 5
     prefix = _prefix(raw)
     low = _U((1 << 32) - 1)
     # The leading half of a hash, then the place: among equal hashes the leftmost counts.
@@ -97,23 +97,24 @@ def segments(raw: np.ndarray, off: np.ndarray, places: np.ndarray, window: int,
     at = (least[place] & low).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])]))
     anchor = _span_hash(prefix, at[first], at[first] + seed)
-    # Neighbours with equal seeds, as in a run of one byte, are one segment.
+    # Neighbours with equal seeds, as in a run of one byte, become two segments, or more if there are many places.
     new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (doc[first[1:]] != doc[first[:-1]])])
     if window > seed and not new.all():
-        anchor, rows, first = anchor[new], np.diff(np.append(np.flatnonzero(new), len(new))), first[new]
+        several = np.diff(np.append(np.flatnonzero(new), len(new))) > 1
+        anchor, first = anchor[new], first[new]
         n = np.diff(np.append(first, len(doc)))
-        parts = -(-n // PIECE)
-        inner, anchor, first = np.repeat(rows > 1, parts), np.repeat(anchor, parts), np.repeat(first, parts) + PIECE * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
-    else:
-        inner = np.zeros(len(first), bool)
+        parts = np.maximum(1 + several, -(-n // PIECE))
+        size = np.repeat(-(-n // parts), parts)
+        part = np.arange(len(size)) - np.repeat(np.cumsum(parts) - parts, parts)
+        inside = part * size < np.repeat(n, parts)
+        anchor, first = np.repeat(anchor, parts)[inside], (np.repeat(first, parts) + part * size)[inside]
     n = np.diff(np.append(first, len(doc)))
     doc, start = doc[first], place[first]
-    end = np.minimum(start + n - 1 + reach, off[doc + 1])
-    content = _span_hash(prefix, start, end).view(np.int64)
-    return doc, start - off[doc], n, end - start, inner, anchor.view(np.int64), content
+    content = _span_hash(prefix, start, np.minimum(start + n - 1 + reach, off[doc + 1])).view(np.int64)
+    return doc, start - off[doc], n, anchor.view(np.int64), content
 
 
-_SEGMENT = "k1 long, k2 long, start long, n int, size int, inner boolean, anchor long, content long"
+_SEGMENT = "k1 long, k2 long, start int, n int, anchor long, content long"
 
 
 def _segment_batches(window: int, seed: int, reach: int):
@@ -121,10 +122,10 @@ def _segment_batches(window: int, seed: int, reach: int):
         for batch in batches:
             places = batch.column(3).to_numpy()
             for i, j, raw, off in chunks(batch.column(2)):
-                doc, start, n, size, inner, anchor, content = segments(raw, off, places[i:j], window, seed, reach)
+                doc, start, n, anchor, content = segments(raw, off, places[i:j], window, seed, reach)
                 doc = pa.array(doc)
-                cols = [batch.column(0)[i:j].take(doc), batch.column(1)[i:j].take(doc), pa.array(start), pa.array(n.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(inner), pa.array(anchor), pa.array(content)]
-                yield pa.RecordBatch.from_arrays(cols, names=["k1", "k2", "start", "n", "size", "inner", "anchor", "content"])
+                cols = [batch.column(0)[i:j].take(doc), batch.column(1)[i:j].take(doc), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(anchor), pa.array(content)]
+                yield pa.RecordBatch.from_arrays(cols, names=["k1", "k2", "start", "n", "anchor", "content"])
 
     return cut
 
@@ -275,29 +276,28 @@ def _transform_batches(lengths: tuple[int, ...]):
     return mark
 
 
-def _whole_batches(length: int):
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """All places of segments that have copies."""
-        for batch in batches:
-            rows = zip(*(col.to_pylist() for col in batch.columns))
-            run = lambda n: np.array([0, n] if n > 0 else [], "<i4").tobytes()
-            yield _mark_rows([(a, c, 0, run(n), run(min(n, size - length + 1))) for a, c, n, size in rows])
+def _whole_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All places of segments that have copies; ``far``: also for the longer strings."""
+    for batch in batches:
+        run = lambda n: np.array([0, n], "<i4").tobytes()
+        yield _mark_rows([(a, c, 0, run(n), run(n) if far else b"") for a, c, n, far in zip(*(col.to_pylist() for col in batch.columns))])
 
-    return whole
 
+def _cut_batches(reach: int):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(anchor, content, n, hot, bytes) of the segments asked for of each text."""
+        for batch in batches:
+            for raw, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                cols = [pa.array([s[c] for s in asked], t) for c, t in (("anchor", pa.int64()), ("content", pa.int64()), ("n", pa.int32()), ("hot", pa.bool_()))]
+                parts = [raw[s["start"] : s["start"] + s["n"] - 1 + reach] for s in asked]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(parts, pa.binary())], names=["anchor", "content", "n", "hot", "part"])
 
-def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(anchor, content, n, hot, bytes) of the segments asked for of each text."""
-    for batch in batches:
-        for raw, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            cols = [pa.array([s[c] for s in asked], t) for c, t in (("anchor", pa.int64()), ("content", pa.int64()), ("n", pa.int32()), ("hot", pa.bool_()))]
-            parts = [raw[s["start"] : s["start"] + s["size"]] for s in asked]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(parts, pa.binary())], names=["anchor", "content", "n", "hot", "part"])
+    return cut
 
 
 def _levels(length: int, passage: int) -> list[tuple[int, int]]:
     """(bytes that an anchor is chosen from, seed bytes) of each level."""
-    own = [(passage, max(1, passage * 2 // 5)), (passage, max(1, passage * 7 // 10)), (passage, passage)]
+    own = [(passage, max(1, passage // 4)), (passage, max(1, passage * 5 // 8)), (passage, passage)]
     return own + [(length, (passage + length) // 2), (length, length)] * (length > passage)
 
 
@@ -310,35 +310,39 @@ def _marks(texts: DataFrame, levels: list[tuple[int, int]], length: int, passage
     (window, seed), *deeper = levels
     found = texts.mapInArrow(_segment_batches(window, seed, length), _SEGMENT)
     # What is small is written before the joins with it, so that Spark can split the key that very many rows share.
-    shared = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("rows"), F.max("inner").alias("inner")).where("rows > 1 or inner").select("anchor").checkpoint()
+    shared = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("anchor").checkpoint()
     found = found.join(shared, "anchor", "left_semi").checkpoint()
 
     # Any one place of a content serves: its bytes are the same everywhere.
-    one = [F.first(c).alias(c) for c in ("k1", "k2", "start", "n", "size", "inner")]
+    one = [F.first(c).alias(c) for c in ("k1", "k2", "start", "n")]
     contents = found.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("copies"), *one).checkpoint()
-    kinds = contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.sum("size").alias("bytes"), F.max("inner").alias("inner")).where("kinds > 1 or inner")
+    kinds = contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.col("n") + length - 1).alias("bytes")).where("kinds > 1")
     kinds = kinds.select("anchor", (F.col("bytes") > SPLIT_BYTES).alias("hot")).checkpoint()
-    asked = contents.join(kinds, "anchor").select("k1", "k2", F.struct("anchor", "content", "n", "hot", "start", "size").alias("segment"))
+    asked = contents.join(kinds, "anchor").select("k1", "k2", F.struct("anchor", "content", "n", "hot", "start").alias("segment"))
     asked = asked.groupBy(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).agg(F.collect_list("segment").alias("segments"))
     # Repeated rows give the same part twice; as copies they are repeats anyway.
-    parts = texts.join(asked, _same(texts, asked)).select("body", "segments").mapInArrow(_cut_batches, "anchor long, content long, n int, hot boolean, part binary").checkpoint()
+    parts = texts.join(asked, _same(texts, asked)).select("body", "segments").mapInArrow(_cut_batches(length), "anchor long, content long, n int, hot boolean, part binary")
+    any_hot = bool(deeper) and not kinds.where("hot").isEmpty()
+    if any_hot:
+        parts = parts.checkpoint()
     few = parts.where("not hot").select("anchor", "content", "n", "part").repartition("anchor").sortWithinPartitions("anchor", "content")
     marks = few.mapInArrow(_transform_batches((passage, length)), _MARKS)
-    copied = contents.where("copies > 1")
-    if deeper and not kinds.where("hot").isEmpty():
+    whole = contents.where("copies > 1").select("anchor", "content", "n", F.lit(True).alias("far"))
+    if any_hot:
         hot = parts.where("hot").select(F.col("anchor").alias("k1"), F.col("content").alias("k2"), F.col("part").alias("body"), F.col("n").alias("places"))
-        own = _marks(hot, deeper, length, passage)
-        marks = marks.union(own.select("k1", "k2", "start", "passages", "repeats"))
+        marks = marks.union(_marks(hot, deeper, length, passage))
         if seed == window == passage < length:
             # All that meets has this passage in common; only how far it goes on differs.
-            copied = copied.unionByName(contents.join(kinds.where("hot"), "anchor", "left_semi").withColumn("size", F.lit(0)))
-    marks = marks.union(copied.select("anchor", "content", "n", "size").mapInArrow(_whole_batches(length), _MARKS)).select("anchor", "content", F.col("start").alias("later"), "passages", "repeats")
+            whole = whole.union(contents.join(kinds.where("hot"), "anchor", "left_semi").select("anchor", "content", "n", F.lit(False)))
+    marks = marks.union(whole.mapInArrow(_whole_batches, _MARKS)).select("anchor", "content", F.col("start").alias("later"), "passages", "repeats")
     return found.select("k1", "k2", "start", "anchor", "content").join(marks, ["anchor", "content"]).select("k1", "k2", (F.col("start") + F.col("later")).alias("start"), "passages", "repeats")
 
 
 def _covered(marks: list[dict], which: str, size: int, length: int) -> np.ndarray:
     """Which bytes are in a string of ``length`` that begins at a marked place."""
     runs = np.concatenate([np.frombuffer(m[which], "<i4").reshape(-1, 2) + m["start"] for m in marks])
+    runs = np.minimum(runs, max(size - length + 1, 0))  # the last places of a text begin no string of this length
+    runs = runs[runs[:, 0] < runs[:, 1]]
     step = np.bincount(runs[:, 0], minlength=size + 1) - np.bincount(runs[:, 1] + length - 1, minlength=size + 1)
     return np.cumsum(step[:size]) > 0
 
