@@ -1,20 +1,21 @@
 """Near-duplicate lines: a segment-partition edit join.
 
 Lines within ``threshold`` edits (over UTF-8 bytes) are linked; of each class of linked lines the first in
-(doc_id, line number) order stays. A line is split into threshold + 1 segments. Whoever is within the threshold
+(doc_id, hash of the text, line number) order stays. A line is split into threshold + 1 segments. Whoever is within the threshold
 has one of them unchanged, at a place that the difference in length bounds; so each line is
 indexed by (length, segment number, segment) and probes the lengths up to the threshold below its own with the
 substrings at those places. Candidates are verified by a banded bit-parallel edit distance.
 
-Equal lines are one line with a count, so copies cost nothing. Under every key, the members are first compared with one
-leader of the index; the links found are joined into classes, and only keys that still hold several
-classes are compared pair by pair, in blocks, so that no link is lost and no group of copies is
-expanded into its pairs.
+Equal lines are one line with a count, so copies cost nothing. Keys with the same members count once. The members of a key
+are dealt out in blocks of about ``BLOCK``, each with one leader, and compared within their block; a block returns only edges
+that join two of its parts. Of keys of several blocks that are not one class by then, the members outside the largest class
+are taken to all other blocks. So no link is lost, and a large group of near copies isn't expanded into its pairs.
 
 Defined results: null text has no lines and gives an empty text; lines of fewer than ``min_bytes`` bytes are
-linked only to equal ones, and blank ones of them stay; documents without removed lines keep their text as it is; rows that repeat a doc_id share their fate
-line by line (their lines are repeats of each other only by number); rows with null doc_id are returned unchanged;
-other columns are not read. Lines are known by 62-bit hashes.
+linked only to equal ones, and blank ones of them stay; documents without removed lines keep their text as it is. Rows are
+known by doc_id and a hash of their text: rows that repeat both share their fate line by line, rows that repeat a doc_id with
+another text are documents of their own; rows with null doc_id are returned unchanged;
+other columns are not read. Equal lines are known by 126 bits of hashes, linked ones by 64.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamiz.llm.components import connected_components
-from tamiz.llm.textscan import SPACE, Scan, chunks, mix
+from tamiz.llm.session import fresh
+from tamiz.llm.textscan import SPACE, Scan, chunks, mix, powers
 
 THRESHOLD = 2
 #: Five bytes a segment; below, two edits mostly join lines that have nothing to do with each other.
@@ -35,7 +37,7 @@ MIN_BYTES = 15
 #: Members of one key that one task compares with each other at a time.
 BLOCK = 512
 PROBE = 1 << 62
-#: Up to so many shared keys (16 bytes each) are broadcast; more meet their entries in a second shuffle.
+#: Up to so many shared keys (8 bytes each) are broadcast; more meet their entries in a second shuffle.
 BROADCAST_KEYS = 1_000_000
 #: Up to so many lines to be fetched (16 bytes each, by document) are broadcast; more are joined by shuffle.
 BROADCAST_LINES = 500_000
@@ -58,12 +60,26 @@ def _lines(raw: np.ndarray, off: np.ndarray, min_bytes: int, shorter: bool = Fal
     return s, start, end, doc[own], number[own], (s.span_hash(start, end) & _ID_BITS).astype(np.int64)
 
 
+#: Of the second hash, which tells lines of one id apart.
+_CHECK_VALUE = np.random.default_rng(77).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
+
+
+def _checks(s: Scan, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each line that is independent of its id."""
+    up, down = powers(len(s.raw) + 1)
+    prefix = np.zeros(len(s.raw) + 1, _U)
+    np.cumsum(_CHECK_VALUE[s.raw] * up[: len(s.raw)], out=prefix[1:])
+    return mix((prefix[end] - prefix[start]) * down[start] - (end - start).astype(_U)).view(np.int64)
+
+
 def _line_batches(min_bytes: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, raw, off in chunks(batch.column(1)):
-                _, _, _, doc, number, ids = _lines(raw, off, min_bytes, shorter=True)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j].take(pa.array(doc)), pa.array(number), pa.array(ids)], names=["doc_id", "number", "line"])
+            for i, j, raw, off in chunks(batch.column(2)):
+                s, start, end, doc, number, ids = _lines(raw, off, min_bytes, shorter=True)
+                at = pa.array(doc)
+                cols = [batch.column(0)[i:j].take(at), batch.column(1)[i:j].take(at), pa.array(number), pa.array(ids), pa.array(_checks(s, start, end))]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "th", "number", "line", "check"])
 
     return cut
 
@@ -97,7 +113,7 @@ def keys(s: Scan, start: np.ndarray, end: np.ndarray, threshold: int) -> Iterato
 def _key_batches(threshold: int, min_bytes: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, raw, off in chunks(batch.column(1)):
+            for _, _, raw, off in chunks(batch.column(0)):
                 s, start, end, _, _, ids = _lines(raw, off, min_bytes)
                 ids, one = np.unique(ids, return_index=True)
                 start, end = start[one], end[one]
@@ -107,6 +123,18 @@ def _key_batches(threshold: int, min_bytes: int):
     return emit
 
 
+def _common(a: bytes, b: bytes) -> int:
+    """How many bytes both begin with, by halving."""
+    lo, hi = 0, min(len(a), len(b))
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        if a[lo:mid] == b[lo:mid]:
+            lo = mid
+        else:
+            hi = mid - 1
+    return lo
+
+
 def within(a: bytes, b: bytes, most: int) -> bool:
     """Whether the edit distance is at most ``most``: a band of 2 * most + 1 diagonals as bits of one number."""
     if len(a) < len(b):
@@ -114,13 +142,10 @@ def within(a: bytes, b: bytes, most: int) -> bool:
     if len(a) - len(b) > most:
         return False
     # What both begin and end with changes nothing.
-    lo, hi = 0, len(b)
-    while lo < hi and a[lo] == b[lo]:
-        lo += 1
-    cut = len(a) - len(b)
-    while hi > lo and a[hi + cut - 1] == b[hi - 1]:
-        hi -= 1
-    a, b = a[lo : hi + cut], b[lo:hi]
+    lo = _common(a, b)
+    a, b = a[lo:], b[lo:]
+    hi = _common(a[::-1], b[::-1])
+    a, b = a[: len(a) - hi], b[: len(b) - hi]
     if not b:
         return len(a) <= most
     # reach[d]: bit k is set if the diagonal k - most can be followed up to here with d edits.
@@ -161,122 +186,137 @@ def within(a: bytes, b: bytes, most: int) -> bool:
     return any(r & last for r in reach)
 
 
-def _confirm_batches(threshold: int):
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = pa.array([within(x, y, threshold) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
-
-    return confirm
-
-
-def block_links(rows: list[tuple], one_block: bool, threshold: int) -> list[tuple[int, int]]:
-    """Links between different classes of one key: rows are (line, class, entry is of the index, side, bytes)."""
-    lower = {r[1]: r[1] for r in rows}
-
-    def find(c: int) -> int:
-        while lower[c] != c:
-            lower[c] = c = lower[lower[c]]
-        return c
-
-    left = [r for r in rows if one_block or r[3] == 0]
-    right = rows if one_block else [r for r in rows if r[3] == 1]
-    size = np.array([len(r[4]) for r in right])
-    count = np.array([np.bincount(np.frombuffer(r[4], np.uint8), minlength=256) for r in right], np.int32).reshape(len(right), 256)
-    indexed = np.array([r[2] for r in right], bool)
-    out = []
-    for r in left:
+def block_links(ids: list[int], comp: list[int], probe: list[bool], parts: list[bytes], threshold: int) -> list[tuple[int, int]]:
+    """What verified links join, as edges to the smallest id of each part. All pairs with a probe row count."""
+    size = np.array([len(p) for p in parts])
+    count = np.array([np.bincount(np.frombuffer(p, np.uint8), minlength=256) for p in parts], np.int32)
+    name, part = np.unique(comp, return_inverse=True)
+    first = part.copy()
+    for y in np.flatnonzero(probe):
+        if (part == part[0]).all():
+            break
+        near = np.flatnonzero((part != part[y]) & (np.abs(size - size[y]) <= threshold))
         # An edit changes the counts of bytes by two at most.
-        own = np.bincount(np.frombuffer(r[4], np.uint8), minlength=256)
-        near = (np.abs(size - len(r[4])) <= threshold) & (indexed | r[2])
-        near = np.flatnonzero(near)
-        near = near[np.abs(count[near] - own).sum(axis=1) <= 2 * threshold]
-        for k in near:
-            o = right[k]
-            x, y = find(r[1]), find(o[1])
-            if x != y and within(r[4], o[4], threshold):
-                lower[max(x, y)] = min(x, y)
-                out.append((r[0], o[0]))
+        near = near[np.abs(count[near] - count[y]).sum(axis=1) <= 2 * threshold]
+        for x in near:
+            if part[x] != part[y] and within(parts[x], parts[y], threshold):
+                part[part == part[x]] = part[y]
+    # One edge for each class that came in, from the smallest id of its part.
+    ids = np.array(ids)
+    order = np.lexsort((ids, first))
+    ends = order[np.flatnonzero(np.diff(first[order], prepend=-1))]
+    out = []
+    for p in np.unique(part[ends]):
+        own = np.sort(ids[ends[part[ends] == p]])
+        out += [(int(own[0]), int(x)) for x in own[1:] if x != own[0]]
     return out
 
 
 def _block_batches(threshold: int):
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by (key, block, block2)."""
+        """Rows come sorted by (key, block)."""
+        a, b = [], []
 
-        def done(rows: list[tuple]) -> pa.RecordBatch:
-            pairs = block_links([r[3:] for r in rows], rows[0][1] == rows[0][2], threshold)
-            a, b = ([p[k] for p in pairs] for k in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        def settle(held: list[tuple]) -> None:
+            if len(held) > 1:
+                _, _, *cols = zip(*held)
+                for x, y in block_links(*cols, threshold):
+                    a.append(x)
+                    b.append(y)
 
         held: list[tuple] = []
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and held[0][:3] != row[:3]:
-                    yield done(held)
+                if held and held[0][:2] != row[:2]:
+                    settle(held)
                     held = []
                 held.append(row)
-        if held:
-            yield done(held)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            a, b = [], []
+        settle(held)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return link
 
 
 def _wanted_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(line, bytes) of the lines asked for of each text."""
+    """(line, check, bytes) of the lines asked for of each text."""
     for batch in batches:
-        lines, parts = [], []
+        lines, checks, parts = [], [], []
         for text, wanted in zip(batch.column(0), batch.column(1).to_pylist()):
             own = text.as_py().encode().split(b"\n")
             for w in wanted:
                 lines.append(w["line"])
+                checks.append(w["check"])
                 parts.append(own[w["number"]])
-        yield pa.RecordBatch.from_arrays([pa.array(lines, pa.int64()), pa.array(parts, pa.binary())], names=["line", "part"])
+        yield pa.RecordBatch.from_arrays([pa.array(lines, pa.int64()), pa.array(checks, pa.int64()), pa.array(parts, pa.binary())], names=["line", "node", "part"])
 
 
 def _broadcast_if_few(rows: DataFrame, most: int) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= most else rows
 
 
-def line_classes(docs: DataFrame, threshold: int = THRESHOLD, min_bytes: int = MIN_BYTES) -> tuple[DataFrame, DataFrame]:
-    """Of (doc_id, text): every compared line (doc_id, number, line), and (line, class_doc, class_number, copies, near).
+def _same_row(a: DataFrame, b: DataFrame) -> list:
+    return [a["doc_id"] == b["_id"], a["th"] == b["_th"]]
 
-    class_doc and class_number name the first line of the class; near tells whether the line has links to different lines.
-    """
-    lines = docs.where("doc_id is not null").mapInArrow(_line_batches(min_bytes), "doc_id long, number long, line long")
-    known = lines.groupBy("line").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "number")).alias("first")).checkpoint()
-    entries = docs.where("doc_id is not null").mapInArrow(_key_batches(threshold, min_bytes), "key long, entry long")
-    shared = entries.groupBy("key").agg(F.min("entry").alias("leader"), F.max("entry").alias("last"))
-    shared = shared.where((F.col("leader") != F.col("last")) & (F.col("leader") < PROBE)).select("key", "leader")
+
+def _near_links(rows: DataFrame, threshold: int) -> DataFrame:
+    """The links that blocks find; ``rows``: (key, block, node, comp, probe, part)."""
+    rows = rows.select("key", "block", "node", "comp", "probe", "part")
+    return rows.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(_block_batches(threshold), "a long, b long")
+
+
+def _components(docs: DataFrame, known: DataFrame, threshold: int, min_bytes: int) -> DataFrame:
+    """(line, node, component) of every line that has links to different ones."""
+    entries = docs.select("text").mapInArrow(_key_batches(threshold, min_bytes), "key long, entry long")
+    shared = entries.groupBy("key").agg(F.min("entry").alias("least"), F.max("entry").alias("last"))
+    shared = shared.where((F.col("least") != F.col("last")) & (F.col("least") < PROBE)).select("key")
     shared = _broadcast_if_few(shared.checkpoint(), BROADCAST_KEYS)
     line = F.when(F.col("entry") < PROBE, F.col("entry")).otherwise(F.col("entry") - PROBE)
-    members = entries.join(shared, "key").select("key", line.alias("line"), (F.col("entry") < PROBE).alias("indexed"), "leader").checkpoint()
-
-    wanted = members.select("line").distinct().join(known, "line").groupBy("first.doc_id").agg(F.collect_list(F.struct("line", F.col("first.number").alias("number"))).alias("wanted"))
-    wanted = wanted.withColumnRenamed("doc_id", "_id").checkpoint()
+    members = entries.join(shared, "key").select("key", line.alias("line")).distinct().checkpoint()
+    sets = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("leader"), F.bit_xor(F.xxhash64("line")).alias("x"), F.bit_xor(F.xxhash64("line", F.lit(1))).alias("y"))
+    # Lines that share several keys share them with the same lines for the most part.
+    sets = sets.where("n > 1").groupBy("n", "leader", "x", "y").agg(F.min("key").alias("key")).select("key", "n", "leader").checkpoint()
+    members = members.join(sets, "key").checkpoint()
+
+    wanted = members.select("line").distinct().join(known.select("line", "check", "first"), "line").groupBy(F.col("first.doc_id").alias("_id"), F.col("first.th").alias("_th"))
+    wanted = wanted.agg(F.collect_list(F.struct("line", "check", F.col("first.number").alias("number"))).alias("wanted")).checkpoint()
     if (wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0) <= BROADCAST_LINES:
         wanted = F.broadcast(wanted)
-    texts = docs.join(wanted, F.col("doc_id") == F.col("_id")).select("text", "wanted").mapInArrow(_wanted_batches, "line long, part binary")
-    texts = texts.groupBy("line").agg(F.first("part").alias("part")).checkpoint()
+    # Repeated rows give the same line twice, which a block bears.
+    texts = docs.join(wanted, _same_row(docs, wanted)).select("text", "wanted").mapInArrow(_wanted_batches, "line long, node long, part binary").checkpoint()
 
-    star = members.where("line != leader").select(F.least("line", "leader").alias("a"), F.greatest("line", "leader").alias("b")).distinct()
-    star = star.join(texts.select(F.col("line").alias("a"), F.col("part").alias("pa")), "a").join(texts.select(F.col("line").alias("b"), F.col("part").alias("pb")), "b")
-    links = star.select("a", "b", "pa", "pb").mapInArrow(_confirm_batches(threshold), "a long, b long").checkpoint()
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    everywhere, own = F.sequence(F.lit(0), blocks - 1), F.array(F.pmod(F.xxhash64("line", F.lit(2)), blocks).cast("int"))
+    rows = members.join(texts, "line")
+    own_blocks = F.explode(F.when(F.col("line") == F.col("leader"), everywhere).otherwise(own)).alias("block")
+    links = _near_links(rows.select("key", own_blocks, "node", F.col("node").alias("comp"), F.lit(True).alias("probe"), "part"), threshold).checkpoint()
     labels = connected_components(links).checkpoint()
 
-    rows = members.join(labels, members["line"] == labels["id"], "left").select("key", "line", "indexed", F.coalesce("component", "line").alias("class"))
-    rows = rows.groupBy("key", "line").agg(F.max("indexed").alias("indexed"), F.min("class").alias("class"))
-    still = rows.groupBy("key").agg(F.min("class").alias("x"), F.max("class").alias("y"), F.count(F.lit(1)).alias("n")).where("x < y")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = rows.join(still.select("key", "n"), "key").join(texts, "line").withColumn("own", F.pmod(F.xxhash64("line"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("block"), F.greatest("own", "other").alias("block2"), "line", "class", "indexed", (F.col("own") > F.col("other")).cast("int").alias("side"), "part")
-    more = rows.repartition("key", "block", "block2").sortWithinPartitions("key", "block", "block2").mapInArrow(_block_batches(threshold), "a long, b long")
-    labels = connected_components(links.union(more)).select(F.col("id").alias("line"), "component").checkpoint()
+    wide = members.where(F.col("n") > BLOCK)
+    if not wide.isEmpty():
+        wide = wide.join(texts.select("line", "node"), "line").join(labels, F.col("node") == F.col("id"), "left").withColumn("comp", F.coalesce("component", "node"))
+        largest = wide.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max(F.struct("m", "comp")).alias("most"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
+        wide = wide.join(largest.select("key", F.col("most.comp").alias("main")).checkpoint(), "key").withColumn("probe", F.col("comp") != F.col("main"))
+        wide = wide.select("key", F.explode(F.when(F.col("probe"), everywhere).otherwise(own)).alias("block"), "line", "node", "comp", "probe")
+        more = _near_links(wide.join(texts.select("node", "part").dropDuplicates(["node"]), "node"), threshold)
+        labels = connected_components(links.union(more)).checkpoint()
+    return texts.select("line", "node").distinct().join(labels, F.col("node") == F.col("id")).select("line", "node", "component")
+
+
+def line_classes(docs: DataFrame, threshold: int = THRESHOLD, min_bytes: int = MIN_BYTES) -> tuple[DataFrame, DataFrame]:
+    """Of (doc_id, th, text): every compared line (doc_id, th, number, line, check), and (line, check, copies, near, class_first) of those that repeat or have links.
 
-    classed = known.join(labels, "line", "left").withColumn("class", F.coalesce("component", "line"))
-    first = classed.groupBy("class").agg(F.min("first").alias("class_first"))
-    classed = classed.join(first, "class").select("line", "copies", F.col("component").isNotNull().alias("near"), F.col("class_first.doc_id").alias("class_doc"), F.col("class_first.number").alias("class_number"))
-    return lines, classed
+    class_first is the place (doc_id, th, number) of the first line of the class; near tells whether the line has links to different lines.
+    """
+    docs = docs.where("doc_id is not null")
+    lines = docs.mapInArrow(_line_batches(min_bytes), "doc_id long, th long, number long, line long, check long")
+    known = lines.groupBy("line", "check").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "th", "number")).alias("first")).checkpoint()
+    near = _components(docs, known, threshold, min_bytes).withColumnsRenamed({"line": "_line", "node": "_check"}).checkpoint()
+    classed = known.join(near, (F.col("line") == F.col("_line")) & (F.col("check") == F.col("_check")), "left").where("copies > 1 or component is not null")
+    first = classed.where("component is not null").groupBy("component").agg(F.min("first").alias("class_first"))
+    classed = classed.join(first, "component", "left")
+    return lines, classed.select("line", "check", "copies", F.col("component").isNotNull().alias("near"), F.coalesce("class_first", "first").alias("class_first"))
 
 
 def _rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,12 +337,48 @@ def _rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _gone(docs: DataFrame, threshold: int, min_bytes: int) -> DataFrame:
+    """(_id, _th, gone, n_near): the numbers of the lines that go, of (doc_id, th, text)."""
+    lines, again = line_classes(docs, threshold, min_bytes)
+    gone = lines.join(again, ["line", "check"]).where(F.struct("doc_id", "th", "number") != F.col("class_first"))
+    return gone.groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_list("number").alias("gone"), F.count_if("near").alias("n_near"))
+
+
 def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_bytes: int = MIN_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_lines, n_removed, n_near (removed lines that differ from their class's first), text."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    lines, classes = line_classes(docs, threshold, min_bytes)
-    again = classes.where((F.col("copies") > 1) | F.col("near"))
-    gone = lines.join(again, "line").where((F.col("doc_id") != F.col("class_doc")) | (F.col("number") != F.col("class_number")))
-    gone = gone.groupBy("doc_id").agg(F.collect_list("number").alias("gone"), F.count_if("near").alias("n_near")).withColumnRenamed("doc_id", "_id")
-    rows = docs.join(gone, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "text", "gone", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
+    docs = _known_rows(docs, id_col, text_col)
+    gone = _gone(docs, threshold, min_bytes)
+    rows = docs.join(gone, _same_row(docs, gone), "left").select("doc_id", "text", "gone", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
     return rows.mapInArrow(_rebuilt, "doc_id long, n_lines long, n_removed long, n_near long, text string")
+
+
+def _known_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+
+
+def _replaced(at: int):
+    def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All columns but the last, the numbers of the lines to go, with the text at ``at`` without these; texts left without a word go."""
+        for batch in batches:
+            texts, keep = [], []
+            for text, gone in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
+                if gone:
+                    gone = set(gone)
+                    text = "\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone)
+                texts.append(text)
+                keep.append(not gone or bool(text.strip(" \t\n\v\f\r")))
+            cols = list(batch.columns[:-1])
+            cols[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names[:-1]).filter(pa.array(keep, pa.bool_()))
+
+    return replace
+
+
+def without_repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, min_bytes: int = MIN_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with their columns and cleaned texts; documents that lose all their words go."""
+    by_id, by_text, numbers = fresh(docs.columns, "id_of_gone", "text_of_gone", "numbers_gone")
+    gone = _gone(_known_rows(docs, id_col, text_col), threshold, min_bytes).select(F.col("_id").alias(by_id), F.col("_th").alias(by_text), F.col("gone").alias(numbers))
+    same = (F.col(f"`{id_col}`").cast("long") == F.col(by_id)) & (F.xxhash64(F.col(f"`{text_col}`").cast("string")) == F.col(by_text))
+    rows = docs.join(gone, same, "left").select(*(F.col(f"`{c}`") for c in docs.columns), numbers)
+    return rows.mapInArrow(_replaced(docs.columns.index(text_col)), docs.schema)

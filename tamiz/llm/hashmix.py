@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tamiz.llm.session import fresh
+
 BITS, HASH_BITS = 12, 60
 #: Weights of the sources in order, repeating.
 WEIGHTS = (1, 2, 3)
@@ -69,11 +71,8 @@ def _with_source(rows: DataFrame, per_source: DataFrame, few: bool) -> DataFrame
     return rows.join(F.broadcast(per_source) if few else per_source, F.col("src").eqNullSafe(F.col("_src"))).drop("_src")
 
 
-def hash_threshold_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: str = "mix") -> DataFrame:
-    """One row per document: doc_id, src, size, source_size, target, copies, taken."""
-    sized = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("src"), word_count(F.col(text_col)).alias("size"))
-    # Every pass below reads these narrow rows instead of the texts.
-    sized = sized.withColumn("h", F.coalesce(id_hash(F.col("doc_id"), seed), F.lit(0).cast("long"))).checkpoint()
+def _thresholds(sized: DataFrame) -> tuple[DataFrame, int, bool]:
+    """(src, source_size, target, whole, budget, stop), how many low bits of a hash ``stop`` leaves out, and whether these rows are few."""
     targets = source_targets(sized)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     targets = targets.withColumn("whole", whole.cast("long")).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size")).checkpoint()
@@ -96,12 +95,42 @@ def hash_threshold_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str
     # Documents below the edge bucket come in; those in it do if that ends nearer to the budget.
     last = edge.select("src", (F.col("prefix") + (F.col("left") > F.col("tokens") - F.col("left")).cast("long")).alias("stop"))
     per_source = targets.join(F.broadcast(last.withColumnRenamed("src", "_src")) if few else last.withColumnRenamed("src", "_src"), F.col("src").eqNullSafe(F.col("_src")), "left").drop("_src")
-    extra = F.when(F.col("budget") <= 0, 0).otherwise((F.shiftright("h", shift) < F.coalesce(F.col("stop"), F.lit(1 << 62))).cast("long"))
-    copies = F.when(F.col("size") > 0, F.col("whole") + extra).otherwise(F.lit(1) * (F.col("target") >= 0).cast("long"))
-    out = _with_source(sized, per_source, few).withColumn("copies", copies.cast("long"))
+    return per_source, shift, few
+
+
+def _copies(known: Column, h: Column, has_words: Column, shift: int) -> Column:
+    """How often a document is taken; ``known``: the row of its source. One without words comes once."""
+    extra = F.when(known["budget"] <= 0, 0).otherwise((F.shiftright(h, shift) < F.coalesce(known["stop"], F.lit(1 << 62))).cast("long"))
+    return F.when(has_words, known["whole"] + extra).otherwise(F.lit(1).cast("long"))
+
+
+def _sized(docs: DataFrame, id_col: str, source_col: str, text_col: str, seed: str) -> DataFrame:
+    """(doc_id, src, size, h): every pass reads these narrow rows instead of the texts."""
+    sized = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("src"), word_count(F.col(text_col)).alias("size"))
+    return sized.withColumn("h", F.coalesce(id_hash(F.col("doc_id"), seed), F.lit(0).cast("long"))).checkpoint()
+
+
+def hash_threshold_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: str = "mix") -> DataFrame:
+    """One row per document: doc_id, src, size, source_size, target, copies, taken."""
+    sized = _sized(docs, id_col, source_col, text_col, seed)
+    per_source, shift, few = _thresholds(sized)
+    known = F.struct(*("whole", "budget", "stop"))
+    out = _with_source(sized, per_source, few).withColumn("copies", _copies(known, F.col("h"), F.col("size") > 0, shift))
     return out.select("doc_id", "src", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "h")
 
 
+def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: str = "mix") -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it; the texts aren't shuffled."""
+    per_source, shift, few = _thresholds(_sized(docs, id_col, source_col, text_col, seed))
+    own, source, known, copy = fresh(docs.columns, "src", "known_src", "known", "copy")
+    per_source = per_source.select(F.col("src").alias(source), F.struct("whole", "budget", "stop").alias(known))
+    name = lambda c: F.col(f"`{c}`")
+    rows = docs.withColumn(own, name(source_col).cast("string")).join(F.broadcast(per_source) if few else per_source, F.col(own).eqNullSafe(F.col(source)))
+    h = F.coalesce(id_hash(name(id_col).cast("long"), seed), F.lit(0).cast("long"))
+    times = _copies(F.col(known), h, F.coalesce(name(text_col).rlike(WORD), F.lit(False)), shift)
+    return rows.select(*map(name, docs.columns), F.explode(F.array_repeat(F.lit(1), times.cast("int"))).alias(copy)).drop(copy)
+
+
 #: The same mix in SQL, by sorting; for comparison only.
 ORACLE_SQL = r"""
 WITH d AS (

@@ -13,13 +13,15 @@ Work that doesn't grow with the square of a group:
    ``BLOCK`` members, each with the leader. A task compares the members of a block by their registers, confirms what may
    reach the threshold on the full sets, and returns only links that join two parts of the block.
 3. Of groups of several blocks that the links haven't joined into one component, the members outside the largest one
-   are taken to all other blocks. So no link is lost, and a large group of near copies isn't expanded into its pairs.
+   are taken to all other blocks, first by their registers alone, and with their sets only where these match some member.
+   So no link is lost, and a large group of near copies isn't expanded into its pairs.
 
 With 32 bands of 4 registers a pair at similarity 0.75 shares no band with probability 5e-6; the estimate's
 cut lies 4.5 standard deviations below the threshold.
 
 Defined results: texts without words, and null texts, have an empty set and are linked with nothing; fewer than
-five words make one shingle; rows that repeat a doc_id with the same text fall together; rows with null
+five words make one shingle; rows are known by doc_id and a hash of their text, so that rows which repeat an id with another
+text have links of their own, and component_id is the smallest doc_id of what any of these reaches; rows with null
 doc_id are returned unlinked, with null component_id, and kept; other columns are not read.
 """
 
@@ -33,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamiz.llm.components import connected_components
+from tamiz.llm.session import fresh
 from tamiz.llm.textscan import ASCII_LOWER, Scan, chunks, mix, ngram_hash
 
 SHINGLE_WORDS = 5
@@ -114,14 +117,14 @@ LEAST_SAME = int(np.floor(REGISTERS * (PERCENT / 100 - DEVIATIONS * np.sqrt(PERC
 
 def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for i, j, raw, off in chunks(batch.column(1)):
+        for i, j, raw, off in chunks(batch.column(2)):
             bounds, hashes = shingle_sets(raw, off)
             total = [np.concatenate([np.zeros(1, _U), np.cumsum(mix(hashes + _U(k)))]) for k in (1, 2)]
             lo, hi = (mix(t[bounds[1:]] - t[bounds[:-1]]).view(np.int64) for t in total)
             regs = registers(bounds, hashes)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0)[i:j], pa.array(np.diff(bounds)), pa.array(lo), pa.array(hi), pa.array([r.tobytes() for r in regs], pa.binary())],
-                names=["doc_id", "n_shingles", "set_lo", "set_hi", "registers"],
+                [batch.column(0)[i:j], batch.column(1)[i:j], pa.array(np.diff(bounds)), pa.array(lo), pa.array(hi), pa.array([r.tobytes() for r in regs], pa.binary())],
+                names=["doc_id", "th", "n_shingles", "set_lo", "set_hi", "registers"],
             )
 
 
@@ -208,46 +211,92 @@ def _link_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield links(held)
 
 
-def _links(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """The links that blocks find; ``rows``: (leader, block, id, comp, probe)."""
+def _near_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (leader, block, id, comp, probe, registers) come sorted by (leader, block); yields those whose registers match some other component's, if one of both is a probe."""
+
+    def matching(held: list[tuple]) -> pa.RecordBatch:
+        leader, block, ids, comp, probe, regs = zip(*held)
+        regs = np.frombuffer(b"".join(regs), np.uint16).reshape(-1, REGISTERS)
+        part, hit = np.unique(comp, return_inverse=True)[1], np.zeros(len(ids), bool)
+        for y in np.flatnonzero(probe):
+            near = ((regs == regs[y]).sum(axis=1) >= LEAST_SAME) & (part != part[y])
+            hit |= near
+            hit[y] |= near.any()
+        cols = zip((leader, block, ids, comp, probe), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()))
+        return pa.RecordBatch.from_arrays([pa.array(c, t).filter(pa.array(hit)) for c, t in cols], names=["leader", "block", "id", "comp", "probe"])
+
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if held and held[0][:2] != row[:2]:
+                yield matching(held)
+                held = []
+            held.append(row)
+    if held:
+        yield matching(held)
+
+
+def _links(rows: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The links that blocks find; ``rows``: (leader, block, id, comp, probe), ``nodes``: where the text of an id is."""
     dealt = rows.groupBy("id").agg(F.collect_list(F.struct("leader", "block", "comp", "probe")).alias("dealt"))
-    full = docs.join(dealt, F.col("doc_id") == F.col("id")).select("doc_id", "text", "dealt").dropDuplicates(["doc_id"])
-    full = full.mapInArrow(_dealt_batches, "leader long, block int, id long, comp long, probe boolean, shingles binary")
+    dealt = dealt.join(nodes, "id").select("id", F.col("rep").alias("_doc"), F.col("rep_th").alias("_th"), "dealt")
+    full = docs.join(dealt, (F.col("doc_id") == F.col("_doc")) & (F.col("th") == F.col("_th"))).select("id", "text", "dealt", "_doc", "_th").dropDuplicates(["_doc", "_th"])
+    full = full.select("id", "text", "dealt").mapInArrow(_dealt_batches, "leader long, block int, id long, comp long, probe boolean, shingles binary")
     return full.repartition("leader", "block").sortWithinPartitions("leader", "block").mapInArrow(_link_batches, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest linked doc_id), kept."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sketched = docs.mapInArrow(_sketch_batches, "doc_id long, n_shingles long, set_lo long, set_hi long, registers binary").checkpoint()
+    return _judged(docs, id_col, text_col).drop("th")
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with their columns that are kept."""
+    by_id, by_text = fresh(docs.columns, "id_of_gone", "text_of_gone")
+    gone = _judged(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias(by_id), F.col("th").alias(by_text)).distinct()
+    return docs.join(gone, (F.col(f"`{id_col}`").cast("long") == F.col(by_id)) & (F.xxhash64(F.col(f"`{text_col}`").cast("string")) == F.col(by_text)), "left_anti")
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(f"`{text_col}`").cast("string")
+    docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    sketched = docs.mapInArrow(_sketch_batches, "doc_id long, th long, n_shingles long, set_lo long, set_hi long, registers binary").checkpoint()
     some = sketched.where("n_shingles > 0 and doc_id is not null")
-    groups = some.groupBy("set_lo", "set_hi").agg(F.min("doc_id").alias("rep")).checkpoint()
-    reps = some.join(groups, (F.col("doc_id") == F.col("rep")) & (some["set_lo"] == groups["set_lo"]) & (some["set_hi"] == groups["set_hi"]), "left_semi")
-    reps = reps.select(F.col("doc_id").alias("rep"), "registers").groupBy("rep").agg(F.first("registers").alias("registers")).checkpoint()
+    # One node for each set, with any one text that has it; its number is fixed once it's written.
+    groups = some.groupBy("set_lo", "set_hi").agg(F.min("doc_id").alias("low"), *(F.first(c).alias(n) for c, n in (("doc_id", "rep"), ("th", "rep_th"), ("registers", "registers"))))
+    groups = groups.withColumn("id", F.monotonically_increasing_id()).checkpoint()
+    nodes = groups.select("id", "rep", "rep_th")
 
-    banded = reps.mapInArrow(_band_batches, "band long, id long")
+    banded = groups.select("id", "registers").mapInArrow(_band_batches, "band long, id long")
     leader = F.min(F.struct(F.xxhash64("id"), "id")).alias("leader")
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), leader).where("n > 1").select("band", F.col("leader.id").alias("leader"))
     # What is small is written before the joins with it, so that Spark can split the key that very many rows share.
-    members = banded.join(shared.checkpoint(), "band").select("leader", "id").distinct().checkpoint()
+    members = banded.withColumnsRenamed({"id": "member"}).join(shared.checkpoint(), "band").select("leader", F.col("member").alias("id")).distinct().checkpoint()
     blocks = members.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).checkpoint()
     members = members.join(blocks, "leader").withColumn("own", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int"))
 
     everywhere = F.sequence(F.lit(0), F.col("blocks") - 1)
     own = F.array("own")
     rows = members.select("leader", F.explode(F.when(F.col("id") == F.col("leader"), everywhere).otherwise(own)).alias("block"), "id", F.col("id").alias("comp"), F.lit(True).alias("probe"))
-    links = _links(rows, docs).checkpoint()
+    links = _links(rows, nodes, docs).checkpoint()
     labels = connected_components(links).checkpoint()
 
     wide = members.where("blocks > 1")
     if not wide.isEmpty():
         wide = wide.join(labels, "id", "left").withColumn("comp", F.coalesce("component", "id"))
         largest = wide.groupBy("leader", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("leader").agg(F.max(F.struct("n", "comp")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-        wide = wide.join(largest.select("leader", F.col("most.comp").alias("main")), "leader").withColumn("probe", F.col("comp") != F.col("main"))
+        wide = wide.join(largest.select("leader", F.col("most.comp").alias("main")).checkpoint(), "leader").withColumn("probe", F.col("comp") != F.col("main"))
         rows = wide.select("leader", F.explode(F.when(F.col("probe"), everywhere).otherwise(own)).alias("block"), "id", "comp", "probe")
-        labels = connected_components(links.union(_links(rows, docs))).checkpoint()
-
-    by_set = groups.join(labels, groups["rep"] == labels["id"], "left").select(F.col("set_lo").alias("_lo"), F.col("set_hi").alias("_hi"), F.coalesce("component", "rep").alias("component_id"))
-    linked = sketched.join(by_set, (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull() & (F.col("set_lo") == F.col("_lo")) & (F.col("set_hi") == F.col("_hi")), "left")
+        rows = rows.join(groups.select("id", "registers"), "id").select("leader", "block", "id", "comp", "probe", "registers").repartition("leader", "block").sortWithinPartitions("leader", "block")
+        rows = rows.mapInArrow(_near_batches, "leader long, block int, id long, comp long, probe boolean").checkpoint()
+        if not rows.isEmpty():
+            labels = connected_components(links.union(_links(rows, nodes, docs))).checkpoint()
+
+    linked = labels.join(groups.select("id", "low", "set_lo", "set_hi"), "id")
+    lowest = linked.groupBy("component").agg(F.min("low").alias("component_id"))
+    by_set = linked.join(lowest, "component").select("set_lo", "set_hi", "component_id")
+    # Copies of one set fall together without a link.
+    copies = groups.select("set_lo", "set_hi", "low").join(by_set, ["set_lo", "set_hi"], "left").select(F.col("set_lo").alias("_lo"), F.col("set_hi").alias("_hi"), F.coalesce("component_id", "low").alias("component_id"))
+    judged = sketched.join(copies, (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull() & (F.col("set_lo") == F.col("_lo")) & (F.col("set_hi") == F.col("_hi")), "left")
     component = F.coalesce("component_id", "doc_id")
-    return linked.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return judged.select("doc_id", "th", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -2,14 +2,27 @@
 
 from __future__ import annotations
 
-import tempfile
+from collections.abc import Iterable
 
 from pyspark.sql import SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the shared folder that the cluster names in spark.checkpoint.dir; sets one only where none is, as in tests."""
+    """Uses the shared folder that the cluster names in spark.checkpoint.dir; in local mode Spark's own folder serves where none is named."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tamiz-checkpoint-"))
+        if named is None and not context.master.startswith("local"):
+            raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
+        context.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
+
+
+def fresh(taken: Iterable[str], *stems: str) -> list[str]:
+    """Column names that begin with the stems and clash with none of the taken ones, whatever their case."""
+    used, out = {c.lower() for c in taken}, []
+    for name in stems:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
