@@ -2,7 +2,8 @@
 
 The stages but the last return the columns of ``documents``; the last returns each document's tokens and their digests.
 An empty table passes through; nulls are treated as each operator's module states. Documents
-that the line stage leaves without any word have nothing left to keep, and go there.
+that the line stage leaves without any word have nothing left to keep, and go there. Rows are known by doc_id and text, so rows
+that repeat an id with another text are judged by themselves; columns of any name pass through.
 """
 
 from __future__ import annotations
@@ -11,21 +12,11 @@ import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tamiz.llm import edit_lines, forced_bpe, hashmix, hyperminhash, nbsvm
 from tamiz.llm.session import ensure_checkpoint_dir
 
 
-def _joined(docs: DataFrame, by_id: DataFrame) -> DataFrame:
-    """``docs`` with what is known by id; repeated ids get it too, null ids nothing."""
-    return docs.join(by_id.where("_id is not null").dropDuplicates(["_id"]), F.col("doc_id") == F.col("_id"), "left")
-
-
-def _columns(docs: DataFrame) -> list:
-    return [F.col(f"`{c}`") for c in docs.columns]
-
-
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     ensure_checkpoint_dir(spark)
@@ -35,27 +26,19 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated and nearly repeated lines go, but for the first of each class."""
     ensure_checkpoint_dir(spark)
-    cleaned = edit_lines.dedup_lines(docs).where("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
-    rows = _joined(docs, cleaned)
-    text = F.coalesce("_text", "text")
-    rows = rows.where(F.col("_id").isNull() | text.rlike(r"[^\x20\x09-\x0D]"))
-    return rows.select(*((text.alias(c) if c == "text" else F.col(f"`{c}`")) for c in docs.columns))
+    return edit_lines.without_repeated_lines(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
     ensure_checkpoint_dir(spark)
-    gone = hyperminhash.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti").select(*_columns(docs))
+    return hyperminhash.without_near_duplicates(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document comes as often as the mix takes it."""
     ensure_checkpoint_dir(spark)
-    copies = hashmix.hash_threshold_mix(docs).select(F.col("doc_id").alias("_id"), "copies")
-    rows = _joined(docs, copies).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest(F.coalesce("copies", F.lit(1)), F.lit(0)).cast("int") + 1)))
-    # sequence() can't be empty, so it has one number too many
-    return rows.where(F.col("_copy") <= F.coalesce("copies", F.lit(1))).select(*_columns(docs))
+    return hashmix.mixed(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
