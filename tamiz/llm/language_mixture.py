@@ -3,7 +3,7 @@
 A document is taken for a mixture of languages. From hashed byte trigram likelihoods,
 expectation-maximisation estimates its proportions; languages join the set one at a time, and one
 stays only if it raises the log-likelihood by more than a penalty that grows with the logarithm of
-the document's length.
+the document's length; at the end, the least of three or more goes if it isn't worth the penalty any more.
 
 The likelihoods are counted over all training rows: each task sums its rows into a table of
 languages by ``BUCKETS`` counts, and these tables are added up by bucket. What the driver receives and
@@ -34,6 +34,8 @@ OVERLAP = 3.0
 PENALTY = 1.5
 ROUNDS, SETTLED = 40, 1e-4
 UNDETERMINED = "und"
+#: A language takes 256 KB of the table that every task gets; more of them mean that the column holds something else.
+MOST_LANGUAGES = 500
 
 #: All ASCII but letters becomes a space.
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -84,6 +86,8 @@ def learn(training: DataFrame, text_col: str = "text", lang_col: str = "lang") -
     counts = training.where(F.col(lang_col).isNotNull()).select(F.col(text_col).cast("string"), F.col(lang_col).cast("string")).mapInArrow(_count_batches, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     got = counts.toArrow()
     langs = sorted(set(got["lang"].to_pylist()))
+    if len(langs) > MOST_LANGUAGES:
+        raise ValueError(f"{len(langs)} languages: their table would not stay small")
     table = np.zeros((BUCKETS, len(langs)))
     table[got["bucket"].to_numpy(), np.searchsorted(np.array(langs), np.array(got["lang"].to_pylist(), str)) if langs else []] = got["n"].to_numpy()
     return langs, (table + SMOOTHING) / (table.sum(axis=0) + SMOOTHING * BUCKETS)
@@ -120,6 +124,14 @@ def infer(p: np.ndarray, count: np.ndarray) -> tuple[list[int], np.ndarray]:
         if then - now <= need:
             break
         chosen, share, mixed, now = [*chosen, best], new_share, new_mixed, then
+    # What came first may have stood for two that came later.
+    while len(chosen) > 2:
+        rest = np.delete(np.array(chosen), np.argmin(share))
+        new_share, new_mixed = _mixture(p[:, rest], count)
+        then = float(count @ np.log(new_mixed))
+        if now - then > need:
+            break
+        chosen, share, now = rest.tolist(), new_share, then
     order = np.argsort(-share, kind="stable")
     return [chosen[k] for k in order], share[order]
 

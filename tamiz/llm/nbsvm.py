@@ -6,7 +6,7 @@ coordinate descent fits a hinge-loss linear model to the scaled vectors; a logis
 documents kept apart, turns margins into scores.
 
 The model is fitted on a bounded sample of labelled rows: the ``sample`` (default ``SAMPLE``) of
-smallest id hash. Only that bounded set of ids is broadcast and only its features meet in one task;
+smallest id hash. Only that bounded set of ids is broadcast and only its features, of one row an id, meet in one task;
 every document of the corpus is scored in place.
 
 Defined results: null text is scored as empty text; labels without a quality are ignored, a document with
@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
+from tamiz.llm.session import fresh
 from tamiz.llm.textscan import Scan, chunks, mix
 
 BUCKET_BITS = 16
@@ -202,6 +203,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     few = known.select("_id", (F.col("_share") >= 0.5).cast("int").alias("_label")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(few), "_id")
     found = rows.select("_id", "_label", "_text").mapInArrow(_feature_batches, "doc_id long, label int, found binary")
+    # One row an id, however often it is repeated: what meets in one task is bounded by the sample.
+    found = found.groupBy("doc_id").agg(F.min("label").alias("label"), F.min("found").alias("found"))
     got = found.repartition(1).mapInArrow(_fit_batches, "ratio binary, weight binary, slope double, bias double").first()
     return {"ratio": np.frombuffer(got["ratio"]), "weight": np.frombuffer(got["weight"]), "slope": got["slope"], "offset": got["bias"]}
 
@@ -217,6 +220,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col:
     """The rows of ``docs`` that the classifier accepts, with their columns."""
     model = train(docs, labels, sample, id_col, text_col, label_col)
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    rows = docs.select(*columns, F.col(text_col).cast("string").alias("_nbsvm_text"))
-    schema = StructType([*docs.schema.fields, StructField("_nbsvm_score", DoubleType()), StructField("_nbsvm_predicted", IntegerType())])
-    return rows.mapInArrow(_scorer(**model, names=("_nbsvm_score", "_nbsvm_predicted")), schema).where("_nbsvm_predicted = 1").select(*columns)
+    text, score, predicted = fresh(docs.columns, "text_to_score", "quality_score", "quality_predicted")
+    rows = docs.select(*columns, F.col(f"`{text_col}`").cast("string").alias(text))
+    schema = StructType([*docs.schema.fields, StructField(score, DoubleType()), StructField(predicted, IntegerType())])
+    return rows.mapInArrow(_scorer(**model, names=(score, predicted)), schema).where(F.col(predicted) == 1).select(*columns)

@@ -20,6 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tamiz.functions.text import bind
+
 MARK = "\u0001"
 CONTEXT_CHARS = 40
 LEAST_SCORE = 0.6
@@ -97,7 +99,7 @@ class Kind:
 # A pattern that begins at (?:\G|(?<!x)) finds what it would without: no match can begin inside a run of x
 # unless it also does at the run's start or where the match before it ended.
 KINDS = (
-    Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", _always, ("@",), 0.9, "mail|contact|write", 0.1, base=True),
+    Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", _always, ("@",), 0.9, "mail|contact|write", 0.1, base=True),
     Kind("ip", r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", _ip_ok, ("digit",), 0.6, r"\bip\b|host|server|address|login", 0.3, base=True),
     Kind("card", rf"[0-9][0-9{JOINT}]+", _card_ok, ("digit",), 0.8, "card|visa|credit|pay|account", 0.2, base=True, joined=True),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", _phone_ok, ("digit", "+"), 0.7, "phone|tel|call|mobile|fax", 0.3, base=True),
@@ -108,20 +110,39 @@ KINDS = (
 _EMPTY = "array<struct<start:int,kind_rank:int,kind:string,end:int,score:double>>"
 
 
+#: Parts of a split text that are put together at a time; even, so that a run of parts begins outside a match.
+RUN = 256
+_FOUND = "array<struct<start:int,end:int,m:string,before:string>>"
+
+
 def _matches(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, m>> of the leftmost non-overlapping matches."""
-    parts = F.split(F.regexp_replace(text, pattern, f"{MARK}$0{MARK}"), MARK)
-    none = F.array().cast("array<struct<start:int,end:int,m:string>>")
+    """array<struct<start, end, m, before>> of the leftmost non-overlapping matches; before: up to CONTEXT_CHARS characters.
+
+    An array grows by copying, so a text of very many matches is put together in runs, whose first offsets are summed up beforehand.
+    """
+    return bind(F.split(F.regexp_replace(text, pattern, f"{MARK}$0{MARK}"), MARK), lambda parts: F.when(F.size(parts) <= RUN, _run(parts, F.lit(0), F.lit(""))).otherwise(_runs(parts)))
 
+
+def _run(parts: Column, at: Column, before: Column) -> Column:
     def add(acc: Column, part: Column) -> Column:
         end = acc["pos"] + F.length(part)
-        found = F.concat(acc["out"], F.array(F.struct(acc["pos"].alias("start"), end.alias("end"), part.alias("m"))))
-        return F.struct(end.alias("pos"), (~acc["match"]).alias("match"), F.when(acc["match"], found).otherwise(acc["out"]).alias("out"))
+        found = F.concat(acc["out"], F.array(F.struct(acc["pos"].alias("start"), end.alias("end"), part.alias("m"), acc["before"].alias("before"))))
+        tail = F.right(F.concat(acc["before"], part), F.lit(CONTEXT_CHARS))
+        return F.struct(end.alias("pos"), (~acc["match"]).alias("match"), tail.alias("before"), F.when(acc["match"], found).otherwise(acc["out"]).alias("out"))
 
-    start = F.struct(F.lit(0).alias("pos"), F.lit(False).alias("match"), none.alias("out"))
+    start = F.struct(at.alias("pos"), F.lit(False).alias("match"), before.alias("before"), F.array().cast(_FOUND).alias("out"))
     return F.aggregate(parts, start, add, lambda acc: acc["out"])
 
 
+def _runs(parts: Column) -> Column:
+    numbers = F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / RUN).cast("int"))
+    sizes = F.transform(numbers, lambda k: F.aggregate(F.slice(parts, k * RUN + 1, RUN), F.lit(0), lambda n, part: n + F.length(part)))
+    begins = F.aggregate(sizes, F.array(F.lit(0)), lambda out, n: F.concat(out, F.array(F.element_at(out, -1) + n)))
+    # A match has a character at least, so twice as many parts hold enough of them.
+    tail = lambda k: F.right(F.array_join(F.slice(parts, F.greatest(k * RUN - 2 * CONTEXT_CHARS, F.lit(0)) + 1, F.least(k * RUN, F.lit(2 * CONTEXT_CHARS))), ""), F.lit(CONTEXT_CHARS))
+    return bind(begins, lambda at: F.flatten(F.transform(numbers, lambda k: _run(F.slice(parts, k * RUN + 1, RUN), F.get(at, k), tail(k)))))
+
+
 def _spans(kind: Kind, rank: int) -> Column:
     text = F.regexp_replace("_t", r"(?<=[0-9])[\x20-](?=[0-9])", JOINT) if kind.joined else F.col("_t")
     found = _matches(text, kind.pattern)
@@ -129,15 +150,14 @@ def _spans(kind: Kind, rank: int) -> Column:
 
         def longest(x: Column) -> Column:
             m = F.get(F.filter(kind.parts(x["m"]), kind.confirm), 0)
-            return F.struct(x["start"].alias("start"), (x["start"] + F.length(m)).alias("end"), m.alias("m"))
+            return F.struct(x["start"].alias("start"), (x["start"] + F.length(m)).alias("end"), m.alias("m"), x["before"].alias("before"))
 
         found = F.filter(F.transform(found, longest), lambda x: x["m"].isNotNull())
     else:
         found = F.filter(found, lambda x: kind.confirm(x["m"]))
 
     def scored(x: Column) -> Column:
-        before = F.lower(F.substring(F.col("_t"), F.greatest(x["start"] - CONTEXT_CHARS, F.lit(0)) + 1, F.least(x["start"], F.lit(CONTEXT_CHARS))))
-        score = F.lit(kind.prior) + F.when(before.rlike(kind.context), kind.context_bonus).otherwise(0.0)
+        score = F.lit(kind.prior) + F.when(F.lower(x["before"]).rlike(kind.context), kind.context_bonus).otherwise(0.0)
         return F.struct(x["start"].alias("start"), F.lit(rank).alias("kind_rank"), F.lit(kind.name).alias("kind"), x["end"].alias("end"), F.round(score, 2).alias("score"))
 
     out = F.transform(found, scored)
@@ -157,7 +177,7 @@ def _written(spans: Column, with_score: bool = False) -> Column:
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: counts of the base kinds, base_sha256, all spans, and the spans with their scores."""
+    """One row per document: counts of the base kinds, base_sha256, all spans, their number, and the spans with their scores."""
     text = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), MARK + JOINT, "\u0004\u0005")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("_t"))
     rows = rows.withColumn("_digit", F.col("_t").rlike("[0-9]"))
@@ -169,5 +189,6 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         *(F.size(k).cast("long").alias(f"n_{k}") for k in base),
         F.sha2(_written(F.concat(*map(F.col, base))), 256).alias("base_sha256"),
         _written(every).alias("spans"),
+        F.size(every).cast("long").alias("n_spans"),
         _written(every, True).alias("scored_spans"),
     )

@@ -80,6 +80,16 @@ def test_near_duplicates_of_odd_tables(spark):
     assert hyperminhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    text = lambda c, k=0: " ".join(f"{c}{i}" if i != k else "other" for i in range(60))
+    rows = [(5, text("q")), (5, text("z")), (5, None), (7, text("q", 1)), (8, text("z", 1)), (3, text("y")), (9, text("y", 59)), (9, text("v")), (2, text("v", 1))]
+    docs = spark.createDataFrame([(i, t, None, "", "") for i, t in rows], SCHEMA)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in hyperminhash.near_duplicates(docs).collect())
+    assert got == sorted((i, 56 if t else 0, {7: 5, 8: 5, 9: 3 if t and "y0" in t else 2}.get(i, i)) for i, t in rows)
+    kept = hyperminhash.without_near_duplicates(docs.withColumn("id_of_gone", docs.doc_id))
+    assert kept.columns == [*docs.columns, "id_of_gone"] and sorted(r.doc_id for r in kept.collect()) == [2, 3, 5, 5, 5]
+
+
 def test_transform_finds_what_a_table_of_substrings_finds():
     rng = np.random.default_rng(0)
     for _ in range(400):

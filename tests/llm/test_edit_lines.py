@@ -103,3 +103,15 @@ def test_empty_nulls_and_extra_columns(spark):
     docs = spark.createDataFrame([(1, "the very same line\nother", 5), (None, "the very same line", 6), (2, "the very same line", 7)], "doc_id long, text string, line int")
     assert {r.doc_id: r.text for r in dedup_lines(docs, 1, 8).collect()} == {1: "the very same line\nother", None: "the very same line", 2: ""}
     assert dedup_lines(docs.limit(0)).count() == 0
+
+
+def test_rows_that_repeat_an_id_with_another_text(spark):
+    one, near, alone = "the first of two lines that are near", "the first of two lines that are mear", "nothing like it is here at all"
+    rows = [(1, one), (2, f"{near}\nsecond line, which no one else has"), (2, f"{alone}\nfourth line, of the second text of two"), (2, None), (2, ""), (3, f"short\n{near}")]
+    got = sorted((r.doc_id, r.n_lines, r.n_removed, r.text) for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 1, 0, one), (2, 0, 0, ""), (2, 1, 0, ""), (2, 2, 0, rows[2][1]), (2, 2, 1, "second line, which no one else has"), (3, 2, 1, "short")]
+
+
+def test_identical_rows_share_their_fate(spark):
+    rows = [(1, "a line that comes twice in two rows\nx\na line that comes twice in two rows")] * 2
+    assert [r.text for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == ["a line that comes twice in two rows\nx"] * 2

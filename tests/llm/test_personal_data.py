@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from tamiz.llm.personal_data import find_personal_data
 
@@ -71,3 +72,16 @@ def test_empty_table_and_extra_columns(spark):
     docs = spark.createDataFrame([(1, "a@b.c", "x", 2)], "doc_id long, text string, spans string, email int")
     assert find_personal_data(docs).first().spans == "email:0:5"
     assert find_personal_data(docs.limit(0)).count() == 0
+
+
+def test_very_many_matches_and_labels(spark):
+    many = " ".join(f"write to user{i}@mail.example.com or 10.0.0.{i % 256}" for i in range(100_000))
+    rows = [(0, many), (1, "a@" + "b.c." * 500_000 + "d"), (2, "1." * 500_000), (3, "+1 " * 300_000), (4, "DE89 " * 200_000), (5, "9" * 1_000_000)]
+    began = time.time()
+    got = {r.doc_id: r for r in find_personal_data(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()}
+    assert time.time() - began < 60
+    assert (got[0].n_email, got[0].n_ip, got[0].n_spans) == (100_000, 100_000, 200_000)
+    base = sorted([(m.start(), rank, kind, m.end()) for rank, kind in enumerate(("email", "ip")) for m in re.finditer(BASE[kind], many)])
+    assert got[0].base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, _, k, e in base).encode()).hexdigest()
+    assert got[1].n_email == 1 and got[1].spans == f"email:0:{2 + 4 * 500_000 + 1}"
+    assert all(f"email:{s}:{e}:1.0" in got[0].scored_spans for s, _, k, e in base[:600:2])

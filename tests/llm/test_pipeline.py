@@ -76,3 +76,21 @@ def test_stages_keep_the_columns_and_pass_empty_tables(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, folder)
         assert out.columns == docs.columns and out.count() == 0, name
+
+
+def test_stages_of_repeated_ids_and_clashing_names(spark, tmp_path):
+    rows, labels = corpus()
+    folder = folder_of(spark, tmp_path, rows, labels)
+    own = ["_id", "_text", "copies", "_copy", "src", "known", "copy", "th", "gone", "_nbsvm_text", "_th", "id_of_gone", "text_of_gone", "numbers_gone"]
+    one, other = "w1 w2 w3 w4 w5 w6 w7 w8", "completely different words are in this second text of the id"
+    few = [(1, one, None, "s1", 0), (1, other, None, "s2", 0), (1, None, None, None, 0), (1, "", None, "s1", 0), (2, one, None, "s1", 0), (None, other, None, "s1", 0)]
+    docs = spark.createDataFrame([(*r, *[k] * len(own)) for k, r in enumerate(few)], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} int" for c in own))
+    stages = dict(corpus_pipeline.STAGES)
+    left = lambda name: sorted((r["_id"], r["doc_id"], r["text"]) for r in stages[name](spark, docs, folder).select("_id", "doc_id", "text").collect())
+    known = [(k, r[0], r[1]) for k, r in enumerate(few)]
+    assert left("near_dedup") == [x for x in known if x[0] != 4]
+    assert left("line_dedup") == [x for x in known if x[0] != 4]
+    assert {x[0] for x in left("source_mix")} <= set(range(6)) and {2, 3} <= {x[0] for x in left("source_mix")}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, folder).columns == docs.columns, name
+    assert stages["encode"](spark, docs, folder).count() == 6
