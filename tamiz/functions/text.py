@@ -94,15 +94,23 @@ def capitalized(c: Column) -> Column:
     return F.array_join(F.transform(F.split(c, " "), _capital), " ")
 
 
+#: Parts of a split text that are put together at a time; even, so that a run of parts begins outside a match.
+RUN = 256
+
+
 def find_all(c: Column, pattern: str, groups: int = 0) -> Column:
     """array<struct<start, end, m, g array<string>>> of all matches, as an engine with positions would give them.
 
     Every match is put between marks along with its groups; the text is split at the marks, and the lengths of the
-    parts add up to the offsets. Lookarounds see the whole text, since the replacement runs over it.
+    parts add up to the offsets. Lookarounds see the whole text, since the replacement runs over it. An array grows by
+    copying, so a text of very many matches is put together in runs.
     """
     plain = F.translate(c, MATCH + GROUP, "")
     inserted = "".join(f"${g}{GROUP}" for g in range(1, groups + 1)) + "$0"
-    parts = F.split(F.regexp_replace(plain, pattern, f"{MATCH}{inserted}{MATCH}"), MATCH)
+    return bind(F.split(F.regexp_replace(plain, pattern, f"{MATCH}{inserted}{MATCH}"), MATCH), lambda parts: F.when(F.size(parts) <= RUN, _run(parts, F.lit(0))).otherwise(_runs(parts)))
+
+
+def _run(parts: Column, at: Column) -> Column:
     none = F.array().cast("array<struct<start:int,end:int,m:string,g:array<string>>>")
 
     def add(acc: Column, part: Column) -> Column:
@@ -112,8 +120,15 @@ def find_all(c: Column, pattern: str, groups: int = 0) -> Column:
         found = F.struct(acc["pos"].alias("start"), end.alias("end"), m.alias("m"), F.slice(pieces, 1, F.size(pieces) - 1).alias("g"))
         return F.struct(end.alias("pos"), (~acc["hit"]).alias("hit"), F.when(acc["hit"], F.concat(acc["out"], F.array(found))).otherwise(acc["out"]).alias("out"))
 
-    begin = F.struct(F.lit(0).alias("pos"), F.lit(False).alias("hit"), none.alias("out"))
-    return F.aggregate(parts, begin, add, lambda acc: acc["out"])
+    return F.aggregate(parts, F.struct(at.alias("pos"), F.lit(False).alias("hit"), none.alias("out")), add, lambda acc: acc["out"])
+
+
+def _runs(parts: Column) -> Column:
+    numbers = F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / RUN).cast("int"))
+    size = lambda part: F.length(F.substring_index(part, GROUP, -1))
+    sizes = F.transform(numbers, lambda k: F.aggregate(F.slice(parts, k * RUN + 1, RUN), F.lit(0), lambda n, part: n + size(part)))
+    begins = F.aggregate(sizes, F.array(F.lit(0)), lambda out, n: F.concat(out, F.array(F.element_at(out, -1) + n)))
+    return bind(begins, lambda at: F.flatten(F.transform(numbers, lambda k: _run(F.slice(parts, k * RUN + 1, RUN), F.get(at, k)))))
 
 
 def before(c: Column, start: Column, chars: int) -> Column:
