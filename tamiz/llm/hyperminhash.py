@@ -296,7 +296,7 @@ def _judged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     lowest = linked.groupBy("component").agg(F.min("low").alias("component_id"))
     by_set = linked.join(lowest, "component").select("set_lo", "set_hi", "component_id")
     # Copies of one set fall together without a link.
-    copies = groups.select("set_lo", "set_hi", "low").join(by_set, ["set_lo", "set_hi"], "left").select(F.col("set_lo").alias("_lo"), F.col("set_hi").alias("_hi"), F.coalesce("component_id", "low").alias("component_id"))
+    copies = groups.select("set_lo", "set_hi", "low").join(by_set, ["set_lo", "set_hi"], "left").select(F.col("set_lo").alias("_lo"), F.col("set_hi").alias("_hi"), F.coalesce("component_id", "low").alias("component_id")).checkpoint()
     judged = sketched.join(copies, (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull() & (F.col("set_lo") == F.col("_lo")) & (F.col("set_hi") == F.col("_hi")), "left")
     component = F.coalesce("component_id", "doc_id")
     return judged.select("doc_id", "th", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
