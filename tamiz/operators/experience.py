@@ -17,7 +17,7 @@ _CANDIDATE = "array<struct<months:int,top:int,m:string>>"
 
 def without_footer(t: Column) -> Column:
     """Cut at the first portal footer beyond the 201st character."""
-    cuts = [F.when(F.instr(t, marker) > 201, F.instr(t, marker) - 1) for marker in v.PORTAL_FOOTERS]
+    cuts = [bind(F.instr(t, marker), lambda at: F.when(at > 201, at - 1)) for marker in v.PORTAL_FOOTERS]
     return F.substring(t, 1, F.coalesce(F.least(*cuts), F.length(t)))
 
 
@@ -75,17 +75,18 @@ def _any_clear(t: Column, pattern: str, chars_before: int, chars_after: int, noi
 def experience(normalized: Column) -> Column:
     """struct<months_min, months_max, evidence, kind>.
 
-    Texts without the stem of any unit skip the quantified patterns.
+    Texts without a number and a unit skip the quantified patterns, those without "experiencia" the ones that contain it.
     """
     cut = bind(normalized, without_footer)
     return bind(F.replace(F.replace(cut, F.lit("anos"), F.lit("anios")), F.lit("ano "), F.lit("anio ")), _experience)
 
 
 def _experience(t: Column) -> Column:
-    timed = contains_any(t, ("anio", "mes", "ano"))  # "semestre" contains "mes"
-    ranges = F.when(timed, _ranges(t)).otherwise(F.array().cast(_CANDIDATE))
-    simple = F.concat(*(_simple(t, p) for p in v.EXPERIENCE_PATTERNS))
-    return bind(F.struct(ranges.alias("ranges"), F.when(timed, simple).otherwise(F.array().cast(_CANDIDATE)).alias("simple")), lambda c: _decided(t, c["ranges"], F.concat(c["ranges"], c["simple"])))
+    none = F.array().cast(_CANDIDATE)
+    ranges = F.when(t.rlike(v.RANGE_END), _ranges(t)).otherwise(none)
+    named = F.contains(t, F.lit("experiencia"))
+    simple = F.concat(*(F.when(named, _simple(t, p)).otherwise(none) if "experiencia" in p else _simple(t, p) for p in v.EXPERIENCE_PATTERNS))
+    return bind(F.struct(ranges.alias("ranges"), F.when(t.rlike(v.SPAN), simple).otherwise(none).alias("simple")), lambda c: _decided(t, c["ranges"], F.concat(c["ranges"], c["simple"])))
 
 
 def _decided(t: Column, ranges: Column, found: Column) -> Column:
@@ -102,7 +103,7 @@ def _decided(t: Column, ranges: Column, found: Column) -> Column:
     return (
         F.when(F.trim(t) == "", result(none, none, text_none, "NO_MENCIONADA"))
         .when(best.isNotNull(), result(best["months"], top, best["m"], F.when(best["months"] == 0, "NO_REQUERIDA").otherwise("CUANTIFICADA")))
-        .when(_any_clear(t, v.NO_EXPERIENCE, 60, 40, v.NO_EXPERIENCE_NOISE), result(F.lit(0), none, F.lit("sin experiencia requerida"), "NO_REQUERIDA"))
+        .when(contains_any(t, ("experiencia", "primer")) & _any_clear(t, v.NO_EXPERIENCE, 60, 40, v.NO_EXPERIENCE_NOISE), result(F.lit(0), none, F.lit("sin experiencia requerida"), "NO_REQUERIDA"))
         .when(_any_clear(t, v.UNQUANTIFIED, 25, 35, v.CUSTOMER_EXPERIENCE), result(none, none, F.lit("requerida sin cuantificar"), "REQUERIDA_SIN_CUANTIFICAR"))
         .otherwise(result(none, none, text_none, "NO_MENCIONADA"))
     )

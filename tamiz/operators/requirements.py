@@ -36,6 +36,38 @@ def catalogue() -> list[tuple[str, re.Pattern, str, bool, str | None, int]]:
     return out
 
 
+def stems(pattern: str) -> tuple[str, ...]:
+    """Of each alternative of a catalogue pattern, literal text that any match of it contains."""
+    out = []
+    simple = re.sub(r"\(\?!.*?\)", "", pattern)
+    for alternative in re.split(r"\|(?![^()]*\))", simple):
+        loose = lambda t: re.sub(r"\[[^\]]*\]|\\[bsw][*+?]?|.[?*]|\\", " ", t)
+        outside = max(re.findall(r"[^ +]+", loose(re.sub(r"\([^)]*\)\??", " ", alternative))), key=len, default="")
+        groups = re.findall(r"\(([^)]*)\)(?!\?)", alternative)
+        out += [outside] if outside else [max(re.findall(r"[^ +]+", loose(x)), key=len) for x in groups[0].split("|")]
+    return tuple(out)
+
+
+@lru_cache(maxsize=1)
+def _needs() -> list[tuple[str, ...]]:
+    return [stems(row[1].pattern) for row in catalogue()]
+
+
+class _Kept(dict):
+    """What becomes of each character, worked out when it is first met."""
+
+    def __init__(self, kept):
+        self.kept = kept
+
+    def __missing__(self, code: int) -> str:
+        self[code] = out = self.kept(chr(code))
+        return out
+
+
+_SYMBOLS = _Kept(lambda c: " " if c == "\ufe0f" or unicodedata.category(c) in ("So", "Cn") else c)
+_ACCENTS = _Kept(lambda c: "" if unicodedata.category(c) == "Mn" else c)
+
+
 def plain(raw: str) -> str:
     """Entities decoded twice, symbols and glued words split, accents dropped, lower case; line breaks stay."""
 
@@ -43,13 +75,13 @@ def plain(raw: str) -> str:
         code = int(m[1], 16) if m[1] else int(m[2])
         return chr(code) if 32 <= code <= 0x2FFF else " "
 
-    for _ in range(2):
+    for _ in range(2 if "&" in raw else 0):
         for entity, char in k.ENTITIES.items():
             raw = re.sub(re.escape(entity), lambda _, c=char: c, raw, flags=re.IGNORECASE)
         raw = re.sub(r"&#x([0-9a-fA-F]{1,8});|&#([0-9]{1,9});", numeric, raw)
-    raw = "".join(" " if c == "️" or unicodedata.category(c) in ("So", "Cn") else c for c in raw)
+    raw = raw.translate(_SYMBOLS)
     raw = re.sub(k.GLUED, r"\1 \2", raw)
-    raw = "".join(c for c in unicodedata.normalize("NFD", raw) if unicodedata.category(c) != "Mn")
+    raw = unicodedata.normalize("NFD", raw).translate(_ACCENTS)
     return re.sub(r"[ \t]{2,}", " ", re.sub(r"[\r\n]+", "\n", raw)).lower()
 
 
@@ -82,7 +114,9 @@ def find_requirements(title: str, description: str) -> list[dict]:
     t = plain(f"{title}. {description}")
     parts = sections(t)
     found = []
-    for ordinal, (name, pattern, category, leveled, parent, relevance) in enumerate(catalogue()):
+    for ordinal, ((name, pattern, category, leveled, parent, relevance), needs) in enumerate(zip(catalogue(), _needs())):
+        if not any(stem in t for stem in needs):
+            continue
         m = next((m for m in pattern.finditer(t) if _kind_at(parts, m.start()) != "EXCLUIDA"), None)
         if m:
             found.append((m.start(), ordinal, m.end(), name, category, leveled, parent, relevance))

@@ -71,8 +71,10 @@ def gate(rows: DataFrame) -> DataFrame:
 
 def enrich(rows: DataFrame, as_of: str) -> DataFrame:
     """All derived columns of the store, the score and its reasons."""
-    d = F.col("descripcion")
-    rows = rows.withColumns({"_pay": extract.salary(d), "_english": extract.english(d), "_shift": extract.work_shift(d), "_place": geo.split_location("ubicacion"), "_req": requirements.requirements("puesto", "descripcion")})
+    # The description and the whole text are normalised once for all that is read from them.
+    rows = rows.withColumn("_plain", norm("descripcion"))
+    d = F.col("_plain")
+    rows = rows.withColumns({"_pay": extract.salary(d, True), "_english": extract.english(d, True), "_shift": extract.work_shift(d, True), "_place": geo.split_location("ubicacion"), "_req": requirements.requirements("puesto", "descripcion")})
     rows = rows.withColumns({
         "modalidad": extract.work_mode(F.col("modalidad"), F.col("texto")),
         "distrito": geo.shown_district("ubicacion"),
@@ -82,15 +84,15 @@ def enrich(rows: DataFrame, as_of: str) -> DataFrame:
         "mesesExperiencia": F.col("exp.months_min"),
         "expTipo": F.col("exp.kind"),
         "expEvidencia": text(F.col("exp.evidence")),
-        "area": extract.area("puesto", d, "area"),
+        "area": extract.area_of("area", F.col("texto")),
         "rubro": F.lit(""),
         "requisitos": F.array_join(requirements.labels(F.col("_req"), 6), "; "),
         "salarioMin": F.col("_pay.min"), "salarioMax": F.col("_pay.max"), "salarioMoneda": F.col("_pay.currency"),
-        "nivelEducativo": extract.education(d),
+        "nivelEducativo": extract.education(d, True),
         "requiereIngles": F.col("_english.required"), "nivelIngles": F.col("_english.level"),
         "regimenTrabajo": F.col("_shift.shift"), "trabajoEnCampamento": F.col("_shift.camp"),
-        "ingIndustrialExclusiva": extract.industrial_only("puesto", d),
-        "beneficios": extract.benefits(d),
+        "ingIndustrialExclusiva": extract.names_one_career(F.col("texto")),
+        "beneficios": extract.benefits(d, True),
     })
     t = norm(F.concat_ws(" ", "puesto", "descripcion", "requisitos"))
     offer = {"seniority": "seniority", "months": "mesesExperiencia", "kind": "expTipo", "mode": "modalidad", "industrial_only": "ingIndustrialExclusiva", "english_level": "nivelIngles", "zone": "zona", "shift": "regimenTrabajo", "camp": "trabajoEnCampamento"}

@@ -63,7 +63,8 @@ def csv_lines(rows: DataFrame) -> DataFrame:
     """One rendered line a posting: text in quotes, numbers and SI/NO without."""
     yes = lambda c: F.when(F.col(c), "SI").otherwise("NO")
     whole = lambda c: F.coalesce(F.col(c).cast("int").cast("string"), F.lit(""))
-    needs = F.array_join(labels(requirements("puesto", "descripcion"), 10), " | ")
+    found = F.col("_req") if "_req" in rows.columns else requirements("puesto", "descripcion")
+    needs = F.array_join(labels(found, 10), " | ")
     strings = lambda *names: [_quoted(F.col(n)) for n in names]
     fields = [
         *strings("portal", "puesto", "empresa", "ubicacion", "distrito", "departamento", "zona", "modalidad", "salario"), whole("salarioMin"), whole("salarioMax"), *strings("salarioMoneda", "seniority", "nivelEducativo"),

@@ -1,5 +1,7 @@
 """Expected values of single extractors, derived by hand."""
 
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tamiz.functions import dates, text
@@ -88,3 +90,20 @@ def test_skill_counts_of_the_whole_catalogue(spark):
     got = {r.skill: r.n for r in queries._skill_counts(rows).collect()}
     assert {k: got.get(k) for k in ("Excel", "SQL", "SAP", "Python")} == {k: sum(k in x for x in texts) for k in ("Excel", "SQL", "SAP", "Python")}
     assert "all_skill_counts" in queries.QUERIES
+
+
+@settings(max_examples=400, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.data())
+def test_every_match_of_a_skill_contains_one_of_its_stems(data):
+    row, needs = data.draw(st.sampled_from(list(zip(requirements.catalogue(), map(lambda r: requirements.stems(r[1].pattern), requirements.catalogue())))))
+    found = data.draw(st.from_regex(row[1], fullmatch=True))
+    assert any(n in found for n in needs), row[0]
+
+
+def test_find_all_of_very_many_matches(spark):
+    value = "".join(f"{i} x" if i % 7 else " 14x7 y" for i in range(3000))
+    import re
+
+    want = [(m.start(), m.end(), m[0], [m[1], m[2]]) for m in re.finditer(r"(\d+) ?(x)", value)]
+    got = one(spark, value, lambda c: text.find_all(c, r"(\d+) ?(x)", 2))
+    assert [(r["start"], r["end"], r["m"], r["g"]) for r in got] == want and len(want) > 2 * text.RUN
