@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tamiz.llm.session import forget
 
-def _lowest(pairs: DataFrame) -> DataFrame:
-    """(u, v, m): every neighbour v of u with u's lowest neighbour.
+
+def _lowest(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(u, v, m): every neighbour v of u with u's lowest neighbour; and the written minima.
 
     The minima are written first: a join of two plain shuffles is one whose hub Spark can split.
     """
     low = pairs.groupBy("u").agg(F.min("v").alias("m")).checkpoint()
-    return pairs.join(low, "u")
+    return pairs.join(low, "u"), low
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -25,12 +27,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct().checkpoint()
     while not _are_stars(now):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _lowest(both).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+        high, first = _lowest(both)
+        large = high.where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
         # Now every u has only lower neighbours.
-        low = _lowest(large)
+        low, second = _lowest(large)
         small = low.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         small = small.union(low.select("u", F.col("m").alias("v")))
-        now = small.where("u > v").distinct().checkpoint()
+        before, now = now, small.where("u > v").distinct().checkpoint()
+        forget(before, first, second)
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select("v", F.col("v").alias("w")).distinct())
 
 

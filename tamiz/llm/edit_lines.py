@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamiz.llm.components import connected_components
-from tamiz.llm.session import fresh
+from tamiz.llm.session import forget, fresh
 from tamiz.llm.textscan import SPACE, Scan, chunks, mix, powers
 
 THRESHOLD = 2
@@ -267,24 +267,25 @@ def _near_links(rows: DataFrame, threshold: int) -> DataFrame:
 
 
 def _components(docs: DataFrame, known: DataFrame, threshold: int, min_bytes: int) -> DataFrame:
-    """(line, node, component) of every line that has links to different ones."""
+    """(_line, _check, component) of every line that has links to different ones."""
     entries = docs.select("text").mapInArrow(_key_batches(threshold, min_bytes), "key long, entry long")
     shared = entries.groupBy("key").agg(F.min("entry").alias("least"), F.max("entry").alias("last"))
     shared = shared.where((F.col("least") != F.col("last")) & (F.col("least") < PROBE)).select("key")
-    shared = _broadcast_if_few(shared.checkpoint(), BROADCAST_KEYS)
+    shared = shared.checkpoint()
     line = F.when(F.col("entry") < PROBE, F.col("entry")).otherwise(F.col("entry") - PROBE)
-    members = entries.join(shared, "key").select("key", line.alias("line")).distinct().checkpoint()
-    sets = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("leader"), F.bit_xor(F.xxhash64("line")).alias("x"), F.bit_xor(F.xxhash64("line", F.lit(1))).alias("y"))
+    found = entries.join(_broadcast_if_few(shared, BROADCAST_KEYS), "key").select("key", line.alias("line")).distinct().checkpoint()
+    sets = found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("leader"), F.bit_xor(F.xxhash64("line")).alias("x"), F.bit_xor(F.xxhash64("line", F.lit(1))).alias("y"))
     # Lines that share several keys share them with the same lines for the most part.
     sets = sets.where("n > 1").groupBy("n", "leader", "x", "y").agg(F.min("key").alias("key")).select("key", "n", "leader").checkpoint()
-    members = members.join(sets, "key").checkpoint()
+    members = found.join(sets, "key").checkpoint()
+    forget(shared, found, sets)
 
     wanted = members.select("line").distinct().join(known.select("line", "check", "first"), "line").groupBy(F.col("first.doc_id").alias("_id"), F.col("first.th").alias("_th"))
     wanted = wanted.agg(F.collect_list(F.struct("line", "check", F.col("first.number").alias("number"))).alias("wanted")).checkpoint()
-    if (wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0) <= BROADCAST_LINES:
-        wanted = F.broadcast(wanted)
+    few = (wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0) <= BROADCAST_LINES
     # Repeated rows give the same line twice, which a block bears.
-    texts = docs.join(wanted, _same_row(docs, wanted)).select("text", "wanted").mapInArrow(_wanted_batches, "line long, node long, part binary").checkpoint()
+    asked = docs.join(F.broadcast(wanted) if few else wanted, _same_row(docs, wanted))
+    texts = asked.select("text", "wanted").mapInArrow(_wanted_batches, "line long, node long, part binary").checkpoint()
 
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     everywhere, own = F.sequence(F.lit(0), blocks - 1), F.array(F.pmod(F.xxhash64("line", F.lit(2)), blocks).cast("int"))
@@ -301,7 +302,9 @@ def _components(docs: DataFrame, known: DataFrame, threshold: int, min_bytes: in
         wide = wide.select("key", F.explode(F.when(F.col("probe"), everywhere).otherwise(own)).alias("block"), "line", "node", "comp", "probe")
         more = _near_links(wide.join(texts.select("node", "part").dropDuplicates(["node"]), "node"), threshold)
         labels = connected_components(links.union(more)).checkpoint()
-    return texts.select("line", "node").distinct().join(labels, F.col("node") == F.col("id")).select("line", "node", "component")
+    near = texts.select("line", "node").distinct().join(labels, F.col("node") == F.col("id")).select(F.col("line").alias("_line"), F.col("node").alias("_check"), "component").checkpoint()
+    forget(members, wanted, texts, links, labels)
+    return near
 
 
 def line_classes(docs: DataFrame, threshold: int = THRESHOLD, min_bytes: int = MIN_BYTES) -> tuple[DataFrame, DataFrame]:
@@ -312,7 +315,7 @@ def line_classes(docs: DataFrame, threshold: int = THRESHOLD, min_bytes: int = M
     docs = docs.where("doc_id is not null")
     lines = docs.mapInArrow(_line_batches(min_bytes), "doc_id long, th long, number long, line long, check long")
     known = lines.groupBy("line", "check").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "th", "number")).alias("first")).checkpoint()
-    near = _components(docs, known, threshold, min_bytes).withColumnsRenamed({"line": "_line", "node": "_check"}).checkpoint()
+    near = _components(docs, known, threshold, min_bytes)
     classed = known.join(near, (F.col("line") == F.col("_line")) & (F.col("check") == F.col("_check")), "left").where("copies > 1 or component is not null")
     first = classed.where("component is not null").groupBy("component").agg(F.min("first").alias("class_first"))
     classed = classed.join(first, "component", "left")

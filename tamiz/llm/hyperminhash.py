@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamiz.llm.components import connected_components
-from tamiz.llm.session import fresh
+from tamiz.llm.session import forget, fresh
 from tamiz.llm.textscan import ASCII_LOWER, Scan, chunks, mix, ngram_hash
 
 SHINGLE_WORDS = 5
@@ -273,6 +273,7 @@ def _judged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     # What is small is written before the joins with it, so that Spark can split the key that very many rows share.
     members = banded.withColumnsRenamed({"id": "member"}).join(shared.checkpoint(), "band").select("leader", F.col("member").alias("id")).distinct().checkpoint()
     blocks = members.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).checkpoint()
+    pairs = members
     members = members.join(blocks, "leader").withColumn("own", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int"))
 
     everywhere = F.sequence(F.lit(0), F.col("blocks") - 1)
@@ -297,6 +298,7 @@ def _judged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     by_set = linked.join(lowest, "component").select("set_lo", "set_hi", "component_id")
     # Copies of one set fall together without a link.
     copies = groups.select("set_lo", "set_hi", "low").join(by_set, ["set_lo", "set_hi"], "left").select(F.col("set_lo").alias("_lo"), F.col("set_hi").alias("_hi"), F.coalesce("component_id", "low").alias("component_id")).checkpoint()
+    forget(groups, pairs, blocks, links, labels)
     judged = sketched.join(copies, (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull() & (F.col("set_lo") == F.col("_lo")) & (F.col("set_hi") == F.col("_hi")), "left")
     component = F.coalesce("component_id", "doc_id")
     return judged.select("doc_id", "th", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -17,6 +17,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         context.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
 
 
+def forget(*written: DataFrame) -> None:
+    """Deletes the files of checkpoints that nothing reads any more, since what was made of them is written itself.
+
+    Also asks the driver for a collection, after which Spark removes the shuffle files of queries that are done.
+    """
+    for rows in written:
+        context = rows.sparkSession.sparkContext
+        file = rows._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+        if file.isDefined():
+            path = context._jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    if written:
+        written[0].sparkSession.sparkContext._jvm.System.gc()
+
+
 def fresh(taken: Iterable[str], *stems: str) -> list[str]:
     """Column names that begin with the stems and clash with none of the taken ones, whatever their case."""
     used, out = {c.lower() for c in taken}, []
