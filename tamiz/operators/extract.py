@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tamiz.functions import vocabulary as v
-from tamiz.functions.text import bind, contains_any, find_all, first_group, matches_any, norm, text
+from tamiz.functions.text import bind, contains_any, find_all, first_group, matches_any, nonblank, norm, text
 
 
 def _of(c: Column | str, normal: bool, use) -> Column:
@@ -126,5 +126,11 @@ def shift_kind(shift: Column, camp: Column, description: Column) -> Column:
     return F.when((F.trim(text(shift)) != "") | camp, "ATIPICO").when(F.length(text(description)) < v.DETAIL_FROM_CHARS, "NO_DETERMINADO").otherwise("ESTANDAR")
 
 
+def shift_text(shift: Column, camp: Column, description: Column) -> Column:
+    """What a card says of the shift; nothing for standard ones."""
+    kind, named = shift_kind(shift, camp, description), nonblank(shift)
+    return F.when(kind == "ATIPICO", F.array_join(F.filter(F.array(named, F.when(camp, "Campamento")), lambda x: x.isNotNull()), " · ")).when(kind == "NO_DETERMINADO", "Jornada s/d")
+
+
 def names_career(t: Column) -> Column:
     return t.rlike(v.CAREER) & ~(t.rlike(v.NOT_CAREER) & ~t.rlike(v.CAREER_NAMED))

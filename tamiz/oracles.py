@@ -55,6 +55,8 @@ ZONE = "CASE WHEN o.ubicacion = '' THEN 'DESCONOCIDA' WHEN o.ubicacion LIKE '%Ca
 SHIFT_FOUND = r"regexp_matches(" + n(D) + r", '(^|[^0-9.,])14x7($|[^0-9])')"
 CAMP = f"({has(n(D), v.CAMP_WORDS)} OR {SHIFT_FOUND})"
 
+PAGE_STATUS = "CASE WHEN page % 10 = 3 THEN 'Blocked' WHEN page % 10 = 5 THEN 'Error' WHEN page % 20 = 7 THEN 'Blocked' WHEN page % 20 = 17 THEN 'Empty' ELSE 'Ok' END"
+
 STORED = f"""{DEDUPED}, s AS (SELECT doc_id, clean_url AS url, portal, descripcion,
   CASE WHEN doc_id % 5 = 0 THEN 'descartada' WHEN doc_id % 5 = 1 THEN 'postulada' ELSE 'pendiente' END AS estado,
   CAST(CASE WHEN doc_id % 9 = 0 THEN 0 ELSE {MS} - (doc_id % 90) * {DAY} END AS BIGINT) AS "fechaEpoch", CAST(doc_id * 37 % 101 AS INTEGER) AS "matchScore",
@@ -69,6 +71,7 @@ def sql() -> dict[str, str]:
     pay = f"CASE WHEN {spoken} THEN CASE WHEN len({soles}) > 0 THEN {soles} WHEN len({dollars}) > 0 THEN {dollars} END END"
     both = n(f"o.puesto || ' ' || {D}")
     english = pick(t, v.ENGLISH, rf"CASE WHEN regexp_matches({t}, '\bingles\b') THEN 'Mencionado sin nivel' END")
+    by_title = "CASE " + " ".join(rf"WHEN regexp_matches({n('c.puesto')}, '\b({'|'.join(words)})\b') THEN '{label}'" for label, words in v.AREAS_BY_TEXT) + f" ELSE '{v.DEFAULT_AREA}' END"
     by_text = "CASE " + " ".join(rf"WHEN regexp_matches({both}, '\b({'|'.join(words)})\b') THEN '{label}'" for label, words in v.AREAS_BY_TEXT) + f" ELSE '{v.DEFAULT_AREA}' END"
     return {
         "text_norm": f"{O} SELECT doc_id, {n(f"o.puesto || ' ' || {D}")} AS norm_text FROM o",
@@ -86,8 +89,17 @@ def sql() -> dict[str, str]:
         "location_parts": f"{O} SELECT doc_id, CASE WHEN ubicacion = '' THEN NULL WHEN ubicacion LIKE 'Arequipa%' OR ubicacion LIKE 'Lima,%' THEN NULL ELSE {n("split_part(o.ubicacion, ',', 1)")} END AS district, CASE WHEN ubicacion = '' THEN NULL WHEN ubicacion LIKE '%Peru' THEN 'lima' ELSE {n("split_part(o.ubicacion, ',', -1)")} END AS department, CASE WHEN ubicacion = '' THEN 'Sin especificar' ELSE trim(split_part(ubicacion, ',', 1)) END AS shown FROM o",
         "work_regime": f"{O} SELECT doc_id, CASE WHEN {SHIFT_FOUND} THEN '14x7' END AS shift, {CAMP} AS camp FROM o",
         "shift_label": f"{O} SELECT doc_id, CASE WHEN {CAMP} THEN 'ATIPICO' WHEN length({D}) < 400 THEN 'NO_DETERMINADO' ELSE 'ESTANDAR' END AS kind FROM o",
+        "shift_text": f"{O} SELECT doc_id, CASE WHEN {CAMP} THEN concat_ws(' · ', CASE WHEN {SHIFT_FOUND} THEN '14x7' END, CASE WHEN {CAMP} THEN 'Campamento' END) WHEN length({D}) < 400 THEN 'Jornada s/d' END AS shown FROM o",
+        "stored_count": f"{STORED} SELECT count(*) AS n FROM s",
+        "html_page_status": f"{O}, p AS (SELECT page, count(*) AS n FROM o GROUP BY page) SELECT page, {PAGE_STATUS} AS page_status, CAST(CASE WHEN page % 20 IN (7, 17) THEN 0 ELSE n END AS INTEGER) AS n_cards FROM p",
+        "html_listing": f"""{O}, c AS (SELECT o.*, trim(split_part(ubicacion, ',', 1)) AS d, lpad(doc_id::VARCHAR, 9, '1') AS k FROM o WHERE {PAGE_STATUS} = 'Ok')
+            SELECT page, CAST(row_number() OVER (PARTITION BY page ORDER BY doc_id) - 1 AS INTEGER) AS item, 'Ok' AS page_status, puesto, 'https://jobs.example.com' || CASE WHEN doc_id % 4 = 0 THEN '/jobs/view/' ELSE '/o/x-' END || k AS url,
+            empresa, CASE WHEN ubicacion = '' THEN 'Lima' ELSE ubicacion END AS ubicacion, CASE WHEN d = '' THEN 'Lima' ELSE d END AS distrito, CASE WHEN salario = '' THEN 'No especificado' ELSE salario END AS salario,
+            CASE WHEN area <> '' THEN {pick(n('c.area'), v.AREAS_BY_PORTAL, 'trim(area)')} ELSE {by_title} END AS area, "fechaPublicacion", k AS job_id FROM c QUALIFY row_number() OVER (PARTITION BY k ORDER BY page, doc_id) = 1""",
+        "details_by_job": f"{O} SELECT doc_id::VARCHAR AS job_id, puesto || ' en ' || empresa AS descripcion FROM o",
         "career_gate": f"{O} SELECT doc_id, regexp_matches({both}, '{v.CAREER}') AND NOT (regexp_matches({both}, '{v.NOT_CAREER}') AND NOT regexp_matches({both}, '{v.CAREER_NAMED}')) AS career FROM o",
-        "district_center": f"{O}, g(name, lat) AS (VALUES {', '.join(f"('{k}', {lat}::DOUBLE)" for k, (lat, _) in v.DISTRICTS.items())}), m AS (SELECT o.doc_id, g.name, g.lat, row_number() OVER (PARTITION BY o.doc_id ORDER BY length(g.name) DESC, g.name) AS k FROM o JOIN g ON contains({n('o.ubicacion')}, g.name)) SELECT o.doc_id, m.name, m.lat FROM o LEFT JOIN m ON o.doc_id = m.doc_id AND m.k = 1",
+        # The place is normalised once for each of its spellings.
+        "district_center": f"{O}, g(name, lat) AS (VALUES {', '.join(f"('{k}', {lat}::DOUBLE)" for k, (lat, _) in v.DISTRICTS.items())}), w AS MATERIALIZED (SELECT DISTINCT ubicacion FROM o), x AS MATERIALIZED (SELECT ubicacion, {n('w.ubicacion')} AS p FROM w), m AS MATERIALIZED (SELECT x.ubicacion, arg_min(g.name, (-length(g.name), g.name)) AS name, arg_min(g.lat, (-length(g.name), g.name)) AS lat FROM x JOIN g ON contains(x.p, g.name) GROUP BY 1) SELECT o.doc_id, m.name, m.lat FROM o LEFT JOIN m ON o.ubicacion = m.ubicacion",
         "salary_label": f"""{O}, a AS (SELECT doc_id, salario, {pay} AS p, CASE WHEN {spoken} AND len({soles}) > 0 THEN 'PEN' ELSE 'USD' END AS cur FROM o), b AS (SELECT *, list_min(p) AS lo, list_max(p) AS hi FROM a)
             SELECT doc_id, CASE WHEN hi > lo THEN cur || ' ' || {short('lo')} || ' – ' || {short('hi')} WHEN lo IS NOT NULL THEN 'Desde ' || cur || ' ' || {short('lo')} WHEN trim(salario) <> '' AND NOT lower(salario) LIKE '%no especificado%' THEN salario END AS label FROM b""",
         "job_ids": f"{O} SELECT doc_id, CASE WHEN doc_id % 4 <> 3 THEN right('77777777' || doc_id::VARCHAR, 8) END AS job_id FROM o",
@@ -106,8 +118,8 @@ def sql() -> dict[str, str]:
         "stored_states": f"{STORED} SELECT url, estado FROM s WHERE estado <> 'pendiente'",
         "purge_old": f"""{STORED} SELECT url FROM s WHERE "fechaEpoch" = 0 OR "fechaEpoch" >= {MS - 30 * DAY} OR estado = 'postulada'""",
         "cached_descriptions": f"{STORED} SELECT url, descripcion FROM s WHERE length(descripcion) >= 400",
-        "new_offers": f"{STORED} SELECT url, doc_id % 2 <> 0 AS nuevo, CASE WHEN doc_id % 2 = 0 THEN estado ELSE 'pendiente' END AS estado FROM s WHERE doc_id % 3 <> 0",
-        "upsert_merge": f"""{STORED} SELECT url, CASE WHEN doc_id % 2 = 0 THEN estado ELSE 'pendiente' END AS estado, CAST("matchScore" + CASE WHEN doc_id % 3 <> 0 THEN 1 ELSE 0 END AS INTEGER) AS "matchScore", doc_id FROM s WHERE doc_id % 2 = 0 OR doc_id % 3 <> 0""",
+        "new_offers": f"{STORED} SELECT url, portal = 'portal_c' AS nuevo, CASE WHEN portal <> 'portal_c' THEN estado ELSE 'pendiente' END AS estado FROM s",
+        "upsert_merge": f"""{STORED} SELECT url, CASE WHEN portal <> 'portal_c' THEN estado ELSE 'pendiente' END AS estado, CAST("matchScore" + CASE WHEN portal <> 'portal_a' THEN 2 ELSE 0 END AS INTEGER) AS "matchScore", doc_id, portal FROM s""",
         "sort_recent": f"""{STORED} SELECT url, "fechaEpoch", "matchScore" FROM s ORDER BY 2 DESC, 3 DESC, 1""",
         "sort_least_experience": f"""{STORED} SELECT url, "mesesExperiencia", "matchScore" FROM s ORDER BY 2 NULLS LAST, 3 DESC, 1""",
         "tab_counts": f"{STORED} SELECT CASE WHEN odd THEN 'atipico' ELSE 'estandar' END AS tab, count(*) AS n FROM s GROUP BY 1",

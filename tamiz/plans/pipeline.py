@@ -10,6 +10,7 @@ from tamiz.functions.dates import days_since, epoch_of
 from tamiz.functions.text import clean_url, nonblank, norm, strip_html, text
 from tamiz.operators import experience, extract, geo, requirements
 from tamiz.operators.match import match
+from tamiz.sources.html_pages import job_id
 
 
 def as_of_column(as_of: str) -> Column:
@@ -38,18 +39,36 @@ def prefilter(unique: DataFrame, as_of: str) -> DataFrame:
     return rows.withColumn("motivo", prefilter_reason(F.col("puesto"), F.col("seniority"), F.col("age")))
 
 
-def choose_description(rows: DataFrame, cached: DataFrame | None, details: DataFrame | None, portals: tuple[str, ...]) -> DataFrame:
-    """A long cached description first; else, on the given portals, the detail page's in place of a short one."""
+def in_task_order(*sources: DataFrame) -> DataFrame:
+    """All sources, each with its place in ``src_ord``; a null is a query that failed and brings nothing."""
+    out = None
+    for k, rows in enumerate(sources):
+        if rows is not None:
+            rows = rows.withColumn("src_ord", F.lit(k))
+            out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    if out is None:
+        raise ValueError("no source brought anything")
+    return out
+
+
+def choose_description(rows: DataFrame, cached: DataFrame | None, details: DataFrame | None, portals: tuple[str, ...], by_job: DataFrame | None = None) -> DataFrame:
+    """A long cached description first; else, on the given portals, the detail page's in place of a short one.
+
+    Detail pages are known by (url, descripcion) in ``details`` and by (job_id, descripcion) in ``by_job``.
+    """
     if cached is not None:
         rows = rows.join(cached.select("url", F.col("descripcion").alias("_cached")), "url", "left")
     if details is not None:
         rows = rows.join(details.select("url", F.col("descripcion").alias("_detail")), "url", "left")
+    if by_job is not None:
+        rows = rows.withColumn("_job", job_id(F.col("url"))).join(by_job.select(F.col("job_id").alias("_job"), F.col("descripcion").alias("_by_job")), "_job", "left")
     own, out = text("descripcion"), text("descripcion")
-    if details is not None:
-        out = F.when(F.col("portal").isin(*portals) & (F.length(own) < v.DETAIL_FROM_CHARS), F.coalesce(nonblank(F.col("_detail")), own)).otherwise(own)
+    found = [nonblank(F.col(c)) for c, given in (("_detail", details), ("_by_job", by_job)) if given is not None]
+    if found:
+        out = F.when(F.col("portal").isin(*portals) & (F.length(own) < v.DETAIL_FROM_CHARS), F.coalesce(*found, own)).otherwise(own)
     if cached is not None:
         out = F.when(F.length("_cached") >= v.DETAIL_FROM_CHARS, F.col("_cached")).otherwise(out)
-    return rows.withColumn("descripcion", out).drop("_cached", "_detail")
+    return rows.withColumn("descripcion", out).drop("_cached", "_detail", "_job", "_by_job")
 
 
 def gate_reason(career: Column, months: Column, evidence: Column, level: Column) -> Column:
@@ -106,10 +125,10 @@ STORE_COLUMNS = (
 ).split()
 
 
-def refresh(raw: DataFrame, as_of: str, cached: DataFrame | None = None, details: DataFrame | None = None, portals: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+def refresh(raw: DataFrame, as_of: str, cached: DataFrame | None = None, details: DataFrame | None = None, portals: tuple[str, ...] = (), by_job: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(accepted with all derived columns, rejected with motivo)."""
     early = prefilter(dedupe(raw), as_of)
-    late = gate(choose_description(early.where("motivo is null"), cached, details, portals))
+    late = gate(choose_description(early.where("motivo is null"), cached, details, portals, by_job))
     accepted = enrich(late.where("motivo is null"), as_of)
     columns = ["portal", "puesto", "empresa", "motivo", "url", "descripcion", "ubicacion"]
     rejected = early.where("motivo is not null").select(*columns).unionByName(late.where("motivo is not null").select(*columns))

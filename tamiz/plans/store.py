@@ -20,8 +20,10 @@ def last_of_each(rows: DataFrame, order: str) -> DataFrame:
     return rows.withColumn("_n", n).where("_n = 1").drop("_n")
 
 
-def upsert(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Incoming rows replace stored ones of the same URL; both have one row a URL."""
+def upsert(stored: DataFrame, incoming: DataFrame, order: str | None = None) -> DataFrame:
+    """Incoming rows replace stored ones of the same URL. Where URLs come repeatedly, ``order`` tells the arrival; the last wins and the column goes."""
+    if order is not None:
+        incoming = last_of_each(incoming, order).drop(order)
     return incoming.unionByName(stored.join(incoming.select("url"), "url", "left_anti"))
 
 
@@ -35,6 +37,16 @@ def set_state(stored: DataFrame, url: str, state: str) -> DataFrame:
     return stored.withColumn("estado", F.when(F.col("url") == url, state).otherwise(F.col("estado")))
 
 
+def apply_or_undo(stored: DataFrame, url: str) -> DataFrame:
+    """A posting applied to is pending again; any other counts as applied to."""
+    toggled = F.when(F.col("estado") == "postulada", "pendiente").otherwise("postulada")
+    return stored.withColumn("estado", F.when(F.col("url") == url, toggled).otherwise(F.col("estado")))
+
+
+def discard(stored: DataFrame, url: str) -> DataFrame:
+    return set_state(stored, url, "descartada")
+
+
 def restore_discarded(stored: DataFrame) -> DataFrame:
     return stored.withColumn("estado", F.when(F.col("estado") == "descartada", "pendiente").otherwise(F.col("estado")))
 
@@ -83,8 +95,19 @@ class Store:
         rows.write.mode("overwrite").parquet(f"{self.folder}/v{version}")
         self.spark.createDataFrame([(version,)], "version int").coalesce(1).write.mode("append").parquet(f"{self.folder}/pointer")
 
-    def merge(self, incoming: DataFrame) -> None:
+    def clear(self) -> None:
+        """Deletes all rows: a new version without any."""
         stored = self.read()
+        if stored is not None:
+            self.write(stored.limit(0))
+
+    def count(self) -> int:
+        stored = self.read()
+        return 0 if stored is None else stored.count()
+
+    def merge(self, incoming: DataFrame, stored: DataFrame | None = None) -> None:
+        """Upserts into the stored rows, or into what is left of them in ``stored``."""
+        stored = self.read() if stored is None else stored
         if stored is None:
             self.write(incoming.drop("nuevo", "estado").withColumns({"nuevo": F.lit(True), "estado": F.lit("pendiente")}))
         else:

@@ -48,6 +48,7 @@ _simple("work_mode", mode=lambda: extract.work_mode(F.col("modalidad"), tx.norm(
 _simple("location_parts", district=lambda: geo.split_location("ubicacion")["district"], department=lambda: geo.split_location("ubicacion")["department"], shown=lambda: geo.shown_district("ubicacion"))
 _simple("work_regime", shift=lambda: extract.work_shift(_D)["shift"], camp=lambda: extract.work_shift(_D)["camp"])
 _simple("shift_label", kind=lambda: extract.shift_kind(extract.work_shift(_D)["shift"], extract.work_shift(_D)["camp"], F.col(_D)))
+_simple("shift_text", shown=lambda: extract.shift_text(extract.work_shift(_D)["shift"], extract.work_shift(_D)["camp"], F.col(_D)))
 _simple("career_gate", career=lambda: extract.names_career(tx.norm(F.concat("puesto", F.lit(" "), F.col(_D)))))
 _simple("district_center", name=lambda: geo.district_center(tx.norm("ubicacion"))["name"], lat=lambda: geo.district_center(tx.norm("ubicacion"))["lat"])
 
@@ -73,7 +74,7 @@ def stated_modes(spark, sf_dir):
 
 @query
 def detail_texts(spark, sf_dir):
-    return html_pages.detail_texts(spark.read.parquet(f"{sf_dir}/pages.parquet").groupBy("url").agg(F.min("html").alias("html")))
+    return html_pages.detail_texts(spark.read.parquet(f"{sf_dir}/pages.parquet").groupBy("url").agg(F.min("html").alias("html")), html_pages.ANY_BLOCK)
 
 
 @query
@@ -223,17 +224,26 @@ def cached_descriptions(spark, sf_dir):
     return store.descriptions(_stored(spark, sf_dir))
 
 
+@query
+def stored_count(spark, sf_dir):
+    return _stored(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def new_offers(spark, sf_dir):
+    """All postings come in; those of two portals are stored already."""
     rows = _stored(spark, sf_dir)
-    return store.keep_state(rows.where("doc_id % 3 != 0"), rows.where("doc_id % 2 = 0")).select("url", "nuevo", "estado")
+    return store.keep_state(rows, rows.where("portal != 'portal_c'")).select("url", "nuevo", "estado")
 
 
 @query
 def upsert_merge(spark, sf_dir):
-    rows = _stored(spark, sf_dir).select("url", "estado", "matchScore", "doc_id")
-    old, new = rows.where("doc_id % 2 = 0"), rows.where("doc_id % 3 != 0").withColumn("matchScore", F.col("matchScore") + 1)
-    return store.upsert(old, store.keep_state(new, old).select(*old.columns))
+    """Postings of portal_b are stored and come in again, twice; those of portal_a are stored only, those of portal_c new."""
+    rows = _stored(spark, sf_dir).select("url", "estado", "matchScore", "doc_id", "portal")
+    old, new = rows.where("portal != 'portal_c'"), rows.where("portal != 'portal_a'")
+    again = new.withColumn("arrival", F.lit(1)).unionByName(new.withColumn("arrival", F.lit(2)))
+    again = again.withColumn("matchScore", F.col("matchScore") + F.col("arrival"))
+    return store.upsert(old, store.keep_state(again, old).select(*old.columns, "arrival"), order="arrival")
 
 
 @query
@@ -284,17 +294,37 @@ def html_pages_text(spark, sf_dir):
 
 
 def _html_pages(spark, sf_dir):
+    """A page of cards for each page of postings; some are blocked, some fail, and one in ten has no cards: a long notice or nothing."""
     rows = offers(spark, sf_dir)
+    link = F.when(F.col("doc_id") % 4 == 0, "").otherwise(F.concat(F.lit('href="/o/x-'), F.lpad(F.col("doc_id").cast("string"), 9, "1"), F.lit('"')))
     card = F.format_string(
-        '<article class="card" data-id="%s"><h2><a href="/o/x-%s">%s Vista</a></h2><p>%s</p><p><span>%s</span></p><time datetime="%s"></time></article>',
-        F.col("doc_id").cast("string"), F.lpad(F.col("doc_id").cast("string"), 9, "1"), "puesto", "empresa", "ubicacion", "fechaPublicacion",
+        '<article class="card" data-entity-urn="urn:li:posting:%s"><h2><a %s>%s Vista</a></h2><p class="f"><a href="/empresas/e">%s</a></p><p><span>%s</span></p><div><span title="Salario"></span>%s</div><p><span class="tag">%s</span></p><time datetime="%s"></time></article>',
+        F.lpad(F.col("doc_id").cast("string"), 9, "1"), link, "puesto", "empresa", "ubicacion", "salario", "area", "fechaPublicacion",
     )
-    return rows.groupBy("page").agg(F.concat(F.lit("<html><body>"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", card.alias("c")))), lambda x: x["c"]), "\n"), F.lit("</body></html>")).alias("body")).withColumn("http_status", F.lit(200))
+    listed = F.concat(F.lit("<html><body>"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", card.alias("c")))), lambda x: x["c"]), "\n"), F.lit("</body></html>"))
+    code = F.when(F.col("page") % 10 == 3, 429).when(F.col("page") % 10 == 5, 500).otherwise(200)
+    pages = rows.groupBy("page").agg(listed.alias("body")).withColumn("http_status", code)
+    return pages.withColumn("body", F.when(F.col("page") % 20 == 7, F.repeat(F.lit("Inicie sesión. "), 200)).when(F.col("page") % 20 == 17, "").otherwise(F.col("body")))
+
+
+@query
+def html_page_status(spark, sf_dir):
+    return html_pages.page_statuses(_html_pages(spark, sf_dir))
 
 
 @query
 def html_listing(spark, sf_dir):
-    return html_pages.listing(_html_pages(spark, sf_dir), "portal_b", "https://jobs.example.com").select("page", "item", "page_status", "puesto", "url", "empresa", "ubicacion", "fechaPublicacion", "job_id")
+    rows = html_pages.listing(_html_pages(spark, sf_dir), "portal_b", "https://jobs.example.com")
+    return rows.select("page", "item", "page_status", "puesto", "url", "empresa", "ubicacion", "distrito", "salario", "area", "fechaPublicacion", "job_id")
+
+
+@query
+def details_by_job(spark, sf_dir):
+    """Detail pages by job id: the first marked block, whatever is nested in it."""
+    rows = offers(spark, sf_dir)
+    url = F.concat(F.lit("https://jobs.example.com/jobs/view/"), F.col("doc_id").cast("string"))
+    html = F.concat(F.lit('<div class="top">menu</div><section class="description"><div><b>'), F.col("puesto"), F.lit("</b></div> en <p>"), F.col("empresa"), F.lit('</p></section><div class="description__text">otro texto mucho mas largo que el primero de la pagina</div>'))
+    return html_pages.details_by_job(rows.select(url.alias("url"), html.alias("html")))
 
 
 @query

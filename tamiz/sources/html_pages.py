@@ -10,32 +10,56 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from tamiz.functions.text import nonblank, norm, text
+from tamiz.operators.extract import area
 
 DETAIL_CHARS, SOFT_BLOCK_CHARS, BLOCKED = 6000, 1500, (403, 429, 999)
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 # Spelled out, since workers import this module without a session that could parse a string.
-_CARD = ArrayType(StructType([StructField(n, ArrayType(StringType()) if n in ("dates", "paragraphs", "texts") else StringType()) for n in "title href id dates paragraphs texts whole".split()]))
+_CARD = ArrayType(StructType([StructField(n, ArrayType(StringType()) if n in ("dates", "paragraphs", "texts") else StringType()) for n in "title href id company salary area dates paragraphs texts whole".split()]))
+#: Where the details of the two portals stand, as (tag or none, class, whether a part of the class suffices).
+LONGEST_OF = (("div", "bWord", False), ("div", "box_detail", False), ("section", "box_detail", False), ("div", "description", True))
+FIRST_OF = (("div", "show-more-less-html__markup", False), ("div", "description__text", False), ("section", "description", False), ("", "decorated-job-posting__details", False))
+#: Any block, for pages of no known portal.
+ANY_BLOCK = (("div", "", True), ("section", "", True), ("p", "", True))
 
 
 class _Cards(HTMLParser):
-    """Collects, of every element whose tag and class mark a card, its texts and links."""
+    """Collects, of every element whose tag and class mark a card, its texts, links and marked fields."""
 
     def __init__(self, tag: str, marker: str):
         super().__init__(convert_charrefs=True)
-        self.tag, self.marker, self.cards, self.depth, self.open = tag, marker, [], 0, []
+        self.tag, self.marker, self.cards, self.depth, self.open, self.outer_pay = tag, marker, [], 0, [], False
+
+    @staticmethod
+    def _field(tag: str, at: dict) -> str:
+        """Which field of the card an element holds; a salary's mark stands inside the element that holds it."""
+        classes, href = (at.get("class") or "").split(), at.get("href") or ""
+        if tag == "a" and ("offer-grid-article-company-url" in at or "/empresas/" in href or "hidden-nested-link" in classes) or tag == "h4" and "base-search-card__subtitle" in classes:
+            return "company"
+        if tag == "span" and "Salario" in (at.get("title") or "") or "i_salary" in classes:
+            return "pay"
+        if tag == "span" and "tag" in classes or tag == "a" and "/empleos-de-" in href:
+            return "area"
+        return ""
 
     def handle_starttag(self, tag, attrs):
         at = dict(attrs)
         if not self.depth:
             if tag == self.tag and self.marker in (at.get("class") or "").split():
-                self.cards.append({"title": "", "href": "", "id": at.get("data-id") or at.get("data-entity-urn") or "", "dates": [], "paragraphs": [], "texts": [], "whole": ""})
-                self.depth, self.open = 1, []
+                new = dict.fromkeys("title href company salary area whole".split(), "") | {n: [] for n in ("dates", "paragraphs", "texts")}
+                self.cards.append(new | {"id": at.get("data-id") or (at.get("data-entity-urn") or "").rpartition(":")[2]})
+                self.depth, self.open, self.outer_pay = 1, [], False
             return
-        card = self.cards[-1]
+        card, field = self.cards[-1], self._field(tag, at)
+        if field == "pay":
+            if self.open:
+                self.open[-1][2] = "salary"
+            else:
+                self.outer_pay = True
         if tag not in _VOID:
             self.depth += 1
-            self.open.append([tag, ""])
-        if tag == "a" and at.get("href") and not card["href"]:
+            self.open.append([tag, "", "" if field == "pay" else field])
+        if tag == "a" and at.get("href") and not card["href"] and field not in ("company", "area"):
             card["href"] = at["href"]
         if tag == "time" and at.get("datetime"):
             card["dates"].append(at["datetime"])
@@ -44,21 +68,25 @@ class _Cards(HTMLParser):
         if not self.depth or tag in _VOID:
             return
         self.depth -= 1
+        card = self.cards[-1]
         if self.open:
-            name, own = self.open.pop()
+            name, own, field = self.open.pop()
             own = " ".join(own.split())
-            card = self.cards[-1]
             if own:
-                if name in ("h1", "h2", "h3") or name == "a" and not card["title"]:
+                if name in ("h1", "h2", "h3") or name == "a" and not card["title"] and not field:
                     card["title"] = card["title"] or own
                 elif name == "time":
                     card["dates"].append(own)
+                if field:
+                    card[field] = card[field] or own
                 if name == "p":
                     card["paragraphs"].append(own)
                 if name in ("p", "span"):
                     card["texts"].append(own)
             if self.open:
                 self.open[-1][1] += " " + own
+        if not self.depth and self.outer_pay:
+            card["salary"] = card["salary"] or " ".join(card["whole"].split())
 
     def handle_data(self, data):
         if self.depth:
@@ -67,6 +95,60 @@ class _Cards(HTMLParser):
                 self.open[-1][1] += data
 
 
+class _Blocks(HTMLParser):
+    """The texts of marked elements, with all that is nested in them, in the order of their beginnings."""
+
+    def __init__(self, marks):
+        super().__init__(convert_charrefs=True)
+        self.marks, self.blocks, self.open, self.skip = marks, [], [], 0
+
+    def _marked(self, tag: str, classes: str) -> bool:
+        return any((not name or name == tag) and (mark in classes if part else mark in classes.split()) for name, mark, part in self.marks)
+
+    def handle_starttag(self, tag, attrs):
+        self.skip += tag in ("script", "style")
+        if tag in _VOID:
+            self.handle_data(" ")
+            return
+        at = None
+        if self._marked(tag, dict(attrs).get("class") or ""):
+            at = len(self.blocks)
+            self.blocks.append([])
+        self.open.append((tag, at))
+        self.handle_data(" ")
+
+    def handle_endtag(self, tag):
+        self.skip -= tag in ("script", "style") and self.skip > 0
+        if any(name == tag for name, _ in self.open):
+            self.handle_data(" ")
+            while self.open.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        if not self.skip:
+            for _, at in self.open:
+                if at is not None:
+                    self.blocks[at].append(data)
+
+    def texts(self) -> list[str]:
+        return [" ".join("".join(parts).split()) for parts in self.blocks]
+
+
+def block_parser(marks):
+    """Texts of the marked blocks of a page."""
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def parse(bodies: pd.Series) -> pd.Series:
+        out = []
+        for body in bodies:
+            p = _Blocks(marks)
+            p.feed(body or "")
+            out.append(p.texts())
+        return pd.Series(out)
+
+    return parse
+
+
 def card_parser(tag: str, css_class: str):
     @F.pandas_udf(_CARD)
     def parse(bodies: pd.Series) -> pd.Series:
@@ -110,12 +192,12 @@ def flat_text(html: pd.Series) -> pd.Series:
 
 
 def page_status(http_status: Column, body: Column, cards: Column) -> Column:
-    """Ok, Empty, Blocked (also long pages without a card) or Error."""
+    """Ok, Empty (also blank pages), Blocked (also long pages without a card) or Error (also pages without body or code)."""
     return (
         F.when(http_status.isin(*BLOCKED), "Blocked")
-        .when(~http_status.between(200, 299), "Error")
+        .when(~http_status.between(200, 299) | http_status.isNull() | body.isNull(), "Error")
         .when(F.size(cards) > 0, "Ok")
-        .when(F.length(text(body)) > SOFT_BLOCK_CHARS, "Blocked")
+        .when(body.rlike(r"\S") & (F.length(body) > SOFT_BLOCK_CHARS), "Blocked")
         .otherwise("Empty")
     )
 
@@ -142,24 +224,45 @@ def stated_mode(title: Column, location: Column) -> Column:
     return F.when(t.rlike(r"\b(remoto|remota|remote|teletrabajo|home office)\b"), "Remoto").when(t.rlike(r"\b(hibrido|hibrida|hybrid)\b"), "Hibrido").otherwise("Presencial")
 
 
+def page_statuses(pages: DataFrame, tag: str = "article", css_class: str = "card") -> DataFrame:
+    """(page, page_status, n_cards) of every landed page (page, http_status, body), those without cards too."""
+    parsed = pages.withColumn("cards", card_parser(tag, css_class)("body"))
+    return parsed.select("page", page_status(F.col("http_status"), F.col("body"), F.col("cards")).alias("page_status"), F.size("cards").alias("n_cards"))
+
+
 def listing(pages: DataFrame, portal: str, base_url: str, tag: str = "article", css_class: str = "card") -> DataFrame:
-    """Cards of landed pages (page, http_status, body), first of each id, in page order."""
+    """Cards of landed pages (page, http_status, body), first of each id, in page order. A card without a link takes the one of its id."""
     parsed = pages.withColumn("cards", card_parser(tag, css_class)("body"))
-    rows = parsed.select("page", page_status(F.col("http_status"), F.col("body"), F.col("cards")).alias("page_status"), F.posexplode("cards").alias("item", "c"))
-    title = F.trim(F.regexp_replace("c.title", r"\b(?:Postulado|Vista)\b", ""))
-    url = F.when(F.col("c.href").startswith("/"), F.concat(F.lit(base_url.rstrip("/")), F.col("c.href"))).otherwise(text("c.href"))
-    company = text(F.get(F.filter("c.texts", lambda x: ~x.contains(",")), 0))
-    snippet = F.array_join(F.filter("c.paragraphs", lambda p: (F.length(p) > 30) & ~p.contains("Hace") & ~p.contains("S/") & ~p.contains(",")), " ")
-    lowered = F.lower("c.whole")
+    rows = parsed.select("page", page_status(F.col("http_status"), F.col("body"), F.col("cards")).alias("page_status"), F.posexplode("cards").alias("item", "c")).where("page_status = 'Ok'")
+    title = F.trim(F.regexp_replace("c.title", "Postulado|Vista", ""))
+    site = base_url.rstrip("/")
+    linked = F.when(F.col("c.href").startswith("http"), F.col("c.href")).otherwise(F.concat(F.lit(site), F.when(F.col("c.href").startswith("/"), "").otherwise("/"), F.col("c.href")))
+    url = F.when(F.trim("c.href") != "", linked).when(F.trim("c.id") != "", F.concat(F.lit(f"{site}/jobs/view/"), F.trim("c.id"))).otherwise("")
+    company = text("c.company")
+    place = pick_location(F.col("c.texts"), company)
+    snippet = F.array_join(F.filter("c.paragraphs", lambda p: (F.length(p) > 30) & ~p.rlike("(?i)hace|s/") & ~p.contains(",")), " ")
+    lowered = F.lower(F.concat_ws(" ", title, snippet, "c.whole"))
     mode = F.when(lowered.rlike("remot|teletrabajo"), "Remoto").when(lowered.rlike("hibrid|hybrid"), "Hibrido").otherwise("Presencial")
+    or_else = lambda x, other: F.coalesce(nonblank(x), F.lit(other))
     rows = rows.select(
-        "page", "item", "page_status", F.lit(portal).alias("portal"), title.alias("puesto"), url.alias("url"), company.alias("empresa"), pick_location(F.col("c.texts"), company).alias("ubicacion"),
+        "page", "item", "page_status", F.lit(portal).alias("portal"), title.alias("puesto"), url.alias("url"), or_else(company, "Confidencial").alias("empresa"), or_else(place, "Lima").alias("ubicacion"),
+        or_else(F.trim(F.get(F.split(place, ","), 0)), "Lima").alias("distrito"), or_else(F.col("c.salary"), "No especificado").alias("salario"), area(title, snippet, F.col("c.area")).alias("area"),
         pick_date(F.col("c.dates"), F.col("c.texts")).alias("fechaPublicacion"), snippet.alias("descripcion"), mode.alias("modalidad"), F.coalesce(job_id(url), url).alias("job_id"),
     ).where("puesto != '' and url != ''")
     first = F.row_number().over(Window.partitionBy("job_id").orderBy("page", "item"))
     return rows.withColumn("_n", first).where("_n = 1").drop("_n")
 
 
+def until_nothing_new(pages: DataFrame, cards: DataFrame) -> DataFrame:
+    """The cards of ``listing`` before the first page of ``pages`` that brings no new id, where an offset scan ends.
+
+    Of each page only its number meets the others: one row a page of a scan, a few dozen a query.
+    """
+    new = cards.groupBy("page").agg(F.count(F.lit(1)).alias("_new"))
+    end = pages.select("page").distinct().join(new, "page", "left").where("_new is null").agg(F.min("page").alias("_end"))
+    return cards.join(F.broadcast(end), F.col("_end").isNull() | (F.col("page") < F.col("_end"))).drop("_end")
+
+
 _SCRIPT = r"(?is)<script[^>]*type\s*=\s*[\"']?application/ld\+json[\"']?[^>]*>(.*?)</script>"
 
 
@@ -180,10 +283,20 @@ def json_ld_postings(pages: DataFrame, html: str = "html") -> DataFrame:
     return rows.where("trim(descripcion) != ''")
 
 
-def detail_texts(pages: DataFrame) -> DataFrame:
-    """(url, descripcion): a page's first JSON-LD description, else the longest of its blocks; cut to a limit."""
-    found = json_ld_postings(pages.select("url", "html")).groupBy("url").agg(F.min_by("descripcion", "script_no").alias("_ld"))
-    blocks = F.filter(F.transform(F.regexp_extract_all("html", F.lit(r"(?is)<(?:div|section|p)\b[^>]*>(.*?)</(?:div|section|p)>"), F.lit(1)), lambda b: F.trim(F.regexp_replace(F.regexp_replace(b, "<[^>]*>", " "), r"\s+", " "))), lambda b: b != "")
-    longest = F.array_max(F.transform(blocks, lambda b, i: F.struct(F.length(b).alias("n"), (-i).alias("i"), b.alias("b"))))["b"]
-    own = pages.select("url", longest.alias("_block"))
-    return own.join(found, "url", "left").select("url", F.substring(text(F.coalesce(nonblank(F.col("_ld")), F.col("_block"))), 1, DETAIL_CHARS).alias("descripcion"))
+def _details(pages: DataFrame, key: str, block: Column) -> DataFrame:
+    found = json_ld_postings(pages.select(key, "html")).groupBy(key).agg(F.min_by("descripcion", "script_no").alias("_ld"))
+    own = pages.select(key, block.alias("_block"))
+    return own.join(found, key, "left").select(key, F.substring(text(F.coalesce(nonblank(F.col("_ld")), F.col("_block"))), 1, DETAIL_CHARS).alias("descripcion"))
+
+
+def detail_texts(pages: DataFrame, marks=LONGEST_OF) -> DataFrame:
+    """(url, descripcion): a page's first JSON-LD description, else the longest of its marked blocks, of equal ones the first; cut to a limit."""
+    longest = F.array_max(F.transform(block_parser(marks)("html"), lambda b, i: F.struct(F.length(b).alias("n"), (-i).alias("i"), b.alias("b"))))["b"]
+    return _details(pages, "url", longest)
+
+
+def details_by_job(pages: DataFrame, marks=FIRST_OF) -> DataFrame:
+    """(job_id, descripcion) of (url, html): one page of each id that a link holds; its first JSON-LD description, else its first marked block."""
+    by_id = pages.withColumn("job_id", job_id(F.col("url"))).where("job_id is not null and trim(html) != ''")
+    one = by_id.groupBy("job_id").agg(F.min_by("html", "url").alias("html"))
+    return _details(one, "job_id", F.get(block_parser(marks)("html"), 0))

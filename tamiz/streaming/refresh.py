@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from tamiz.plans.pipeline import STORE_COLUMNS, refresh
-from tamiz.plans.store import Store, descriptions
+from tamiz.plans.pipeline import STORE_COLUMNS, as_of_column, refresh
+from tamiz.plans.store import Store, descriptions, purge
 
 
-def merge_batch(store: Store, raw: DataFrame, as_of: str) -> None:
-    """Merges one batch; merging it again changes nothing but ``nuevo``."""
+def merge_batch(store: Store, raw: DataFrame, as_of: str) -> dict[str, int]:
+    """Purges old postings and merges one batch; merging it again changes nothing but ``nuevo``. Returns how many rows were merged and their best score."""
     stored = store.read()
+    if stored is not None:
+        now = raw.sparkSession.range(1).select(F.unix_millis(as_of_column(as_of))).first()[0]
+        stored = purge(stored, now)
     accepted, _ = refresh(raw, as_of, cached=None if stored is None else descriptions(stored))
-    store.merge(accepted.select(*[c for c in STORE_COLUMNS if c not in ("nuevo", "estado")]))
+    progress = Observation("refresh")
+    accepted = accepted.observe(progress, F.count(F.lit(1)).alias("accepted"), F.max("matchScore").alias("best_score"))
+    store.merge(accepted.select(*[c for c in STORE_COLUMNS if c not in ("nuevo", "estado")]), stored)
+    return progress.get
 
 
 def start(spark: SparkSession, source: str, schema: str, store: Store, checkpoint: str, as_of: str, files_a_batch: int = 100) -> StreamingQuery:
