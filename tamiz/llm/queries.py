@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamiz.llm import bwt_repeats, edit_lines, forced_bpe, hashmix, hyperminhash, language_mixture, nbsvm, personal_data, piece_agenda, progressive_jpeg, quality_rules
+from tamiz.llm import bwt_repeats, edit_lines, forced_bpe, hashmix, hyperminhash, language_mixture, nbsvm, personal_data, piece_agenda, progressive_jpeg, quality_rules, source_divergence
 from tamiz.llm.session import ensure_checkpoint_dir
 
 
@@ -61,9 +61,13 @@ def op12_piece_agenda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_agenda.piece_round_trip(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), digests=True)
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.source_divergence(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_source_mix": hashmix.ORACLE_SQL}
+    return {"op8_source_mix": hashmix.ORACLE_SQL, "op13_source_divergence": source_divergence.ORACLE_SQL}
