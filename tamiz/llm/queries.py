@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamiz.llm import bwt_repeats, edit_lines, forced_bpe, hashmix, hyperminhash, language_mixture, nbsvm, personal_data, piece_agenda, progressive_jpeg, quality_rules, source_divergence
+from tamiz.llm import bwt_repeats, edit_lines, forced_bpe, hashmix, hyperminhash, language_mixture, nbsvm, personal_data, piece_agenda, progressive_jpeg, quality_rules, segment_codes, source_divergence
 from tamiz.llm.session import ensure_checkpoint_dir
 
 
@@ -57,6 +57,10 @@ def op10_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nbsvm.quality_scores(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op11_segment_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment_codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op12_piece_agenda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_agenda.piece_round_trip(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), digests=True)
 
@@ -70,4 +74,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_source_mix": hashmix.ORACLE_SQL, "op13_source_divergence": source_divergence.ORACLE_SQL}
+    return {"op11_segment_codes": segment_codes.ORACLE_SQL, "op8_source_mix": hashmix.ORACLE_SQL, "op13_source_divergence": source_divergence.ORACLE_SQL}
