@@ -62,7 +62,7 @@ def op11_segment_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_piece_agenda(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return piece_agenda.piece_round_trip(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), digests=True)
+    return piece_agenda.piece_round_trip(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), digests=True, check="texts")
 
 
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
