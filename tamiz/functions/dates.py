@@ -28,35 +28,35 @@ def relative_days(c: Column | str) -> Column:
 
 
 def _relative_days(t: Column) -> Column:
-    n = F.try_to_number(F.substring(F.regexp_extract(t, r"(\d+)", 1), 1, 9), F.lit("999999999")).cast("int")
+    n = F.regexp_extract(t, r"(\d+)", 1).try_cast("int").cast("bigint")
     out = F.when(contains_any(t, v.TODAY), F.lit(0)).when(contains_any(t, v.YESTERDAY), F.lit(1))
     for words, days in v.UNIT_DAYS:
-        out = out.when(n.isNotNull() & contains_any(t, words), n * days)
+        out = out.when(n.isNotNull() & contains_any(t, words), (n * days).try_cast("int"))
     return out
 
 
-def _whole(x: Column) -> Column:
-    """Towards zero."""
-    return F.when(x < 0, F.ceil(x)).otherwise(F.floor(x)).cast("int")
+def _days(earlier: Column, later: Column, unit: int) -> Column:
+    """Whole days between two times in parts of ``unit`` to the day, towards zero; null beyond 32 bits."""
+    return F.call_function("div", later - earlier, F.lit(unit)).try_cast("int")
 
 
 def days_since(c: Column | str, as_of: Column) -> Column:
-    """Age in days: epoch milliseconds or seconds, relative words, then the formats; null if none fits."""
+    """Age in days: epoch milliseconds or seconds, relative words, then the formats; null if none fits, whatever the text."""
     return bind(F.trim(text(c)), lambda s: _days_since(s, as_of))
 
 
 def _days_since(s: Column, as_of: Column) -> Column:
     now_ms = F.unix_millis(as_of)
-    number = s.try_cast("bigint")
+    number = F.when(s.rlike(r"^[+-]?\d+$"), s.try_cast("bigint"))
     formatted = []
     for prefix, pattern in FORMATS:
         when = F.try_to_timestamp(F.nullif(F.regexp_extract(s, prefix, 0), F.lit("")), F.lit(pattern))
-        days = _whole((now_ms - F.unix_millis(when)) / DAY_MS)
+        days = _days(F.unix_millis(when), now_ms, DAY_MS)
         formatted.append(F.when(days.between(*ACCEPTED_DAYS), days))
     return (
         F.when(s == "", None)
-        .when(number > 1_000_000_000_000, _whole((now_ms - number) / DAY_MS))
-        .when(number > 1_000_000_000, _whole((F.floor(now_ms / 1000) - number) / 86_400))
+        .when(number > 1_000_000_000_000, _days(number, now_ms, DAY_MS))
+        .when(number > 1_000_000_000, _days(number, F.floor(now_ms / 1000), 86_400))
         .otherwise(F.coalesce(relative_days(s), *formatted))
     )
 

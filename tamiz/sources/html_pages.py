@@ -23,12 +23,24 @@ FIRST_OF = (("div", "show-more-less-html__markup", False), ("div", "description_
 ANY_BLOCK = (("div", "", True), ("section", "", True), ("p", "", True))
 
 
+#: Elements that end an open paragraph, and elements that end an open one of their own kind.
+_ENDS_P = set("address article aside blockquote dd div dl dt fieldset footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table ul".split())
+_ENDS_OWN = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+#: Elements beyond which an end tag that HTML lets one leave out isn't supplied.
+_P_SCOPE, _OWN_SCOPE = {"table", "td", "th", "button"}, {"table", "ul", "ol", "dl", "select", "section", "article"}
+
+
 class _Cards(HTMLParser):
-    """Collects, of every element whose tag and class mark a card, its texts, links and marked fields."""
+    """Collects, of every element whose tag and class mark a card, its texts, links and marked fields.
+
+    An end tag closes all that was left open inside its element and is passed over if nothing matches; a card also ends where the next
+    one begins, where an element around it ends and at the end of the page.
+    """
 
     def __init__(self, tag: str, marker: str):
         super().__init__(convert_charrefs=True)
-        self.tag, self.marker, self.cards, self.depth, self.open, self.outer_pay = tag, marker, [], 0, [], False
+        #: stack: [tag, text, field] of the open elements; from ``base`` on they belong to the open card.
+        self.tag, self.marker, self.cards, self.stack, self.base, self.outer_pay = tag, marker, [], [], -1, False
 
     @staticmethod
     def _field(tag: str, at: dict) -> str:
@@ -42,57 +54,88 @@ class _Cards(HTMLParser):
             return "area"
         return ""
 
+    def _supply_ends(self, tag: str) -> None:
+        """Closes what the beginning of an element ends."""
+        for ended, scope in ((_ENDS_OWN.get(tag), _OWN_SCOPE), ({"p"} if tag in _ENDS_P else None, _P_SCOPE)):
+            for k in range(len(self.stack) - 1, max(self.base, -1), -1):
+                if ended and self.stack[k][0] in ended:
+                    self._close_to(k)
+                    break
+                if self.stack[k][0] in scope:
+                    break
+
     def handle_starttag(self, tag, attrs):
         at = dict(attrs)
-        if not self.depth:
-            if tag == self.tag and self.marker in (at.get("class") or "").split():
-                new = dict.fromkeys("title href company salary area whole".split(), "") | {n: [] for n in ("dates", "paragraphs", "texts")}
-                self.cards.append(new | {"id": at.get("data-id") or (at.get("data-entity-urn") or "").rpartition(":")[2]})
-                self.depth, self.open, self.outer_pay = 1, [], False
+        if tag == self.tag and self.marker in (at.get("class") or "").split():
+            if self.base >= 0:
+                self._close_to(self.base)
+            new = dict.fromkeys("title href company salary area whole".split(), "") | {n: [] for n in ("dates", "paragraphs", "texts")}
+            self.cards.append(new | {"id": at.get("data-id") or (at.get("data-entity-urn") or "").rpartition(":")[2]})
+            self.base, self.outer_pay = len(self.stack), False
+            self.stack.append([tag, "", ""])
+            return
+        self._supply_ends(tag)
+        if self.base < 0:
+            if tag not in _VOID:
+                self.stack.append([tag, "", ""])
             return
         card, field = self.cards[-1], self._field(tag, at)
         if field == "pay":
-            if self.open:
-                self.open[-1][2] = "salary"
+            if len(self.stack) > self.base + 1:
+                self.stack[-1][2] = "salary"
             else:
                 self.outer_pay = True
         if tag not in _VOID:
-            self.depth += 1
-            self.open.append([tag, "", "" if field == "pay" else field])
+            self.stack.append([tag, "", "" if field == "pay" else field])
         if tag == "a" and at.get("href") and not card["href"] and field not in ("company", "area"):
             card["href"] = at["href"]
         if tag == "time" and at.get("datetime"):
             card["dates"].append(at["datetime"])
 
     def handle_endtag(self, tag):
-        if not self.depth or tag in _VOID:
+        for k in range(len(self.stack) - 1, -1, -1):
+            if self.stack[k][0] == tag:
+                self._close_to(k)
+                return
+
+    def _close_to(self, k: int) -> None:
+        while len(self.stack) > k:
+            name, own, field = self.stack.pop()
+            at = len(self.stack)
+            if at == self.base:
+                card, self.base = self.cards[-1], -1
+                if self.outer_pay:
+                    card["salary"] = card["salary"] or " ".join(card["whole"].split())
+            elif self.base >= 0:
+                self._read(name, " ".join(own.split()), field)
+                if at > self.base + 1:
+                    self.stack[-1][1] += " " + " ".join(own.split())
+
+    def _read(self, name: str, own: str, field: str) -> None:
+        """What a closed element of the card tells."""
+        if not own:
             return
-        self.depth -= 1
         card = self.cards[-1]
-        if self.open:
-            name, own, field = self.open.pop()
-            own = " ".join(own.split())
-            if own:
-                if name in ("h1", "h2", "h3") or name == "a" and not card["title"] and not field:
-                    card["title"] = card["title"] or own
-                elif name == "time":
-                    card["dates"].append(own)
-                if field:
-                    card[field] = card[field] or own
-                if name == "p":
-                    card["paragraphs"].append(own)
-                if name in ("p", "span"):
-                    card["texts"].append(own)
-            if self.open:
-                self.open[-1][1] += " " + own
-        if not self.depth and self.outer_pay:
-            card["salary"] = card["salary"] or " ".join(card["whole"].split())
+        if name in ("h1", "h2", "h3") or name == "a" and not card["title"] and not field:
+            card["title"] = card["title"] or own
+        elif name == "time":
+            card["dates"].append(own)
+        if field:
+            card[field] = card[field] or own
+        if name == "p":
+            card["paragraphs"].append(own)
+        if name in ("p", "span"):
+            card["texts"].append(own)
 
     def handle_data(self, data):
-        if self.depth:
+        if self.base >= 0:
             self.cards[-1]["whole"] += data
-            if self.open:
-                self.open[-1][1] += data
+            if len(self.stack) > self.base + 1:
+                self.stack[-1][1] += data
+
+    def close(self):
+        super().close()
+        self._close_to(0)
 
 
 class _Blocks(HTMLParser):
@@ -156,6 +199,7 @@ def card_parser(tag: str, css_class: str):
         for body in bodies:
             p = _Cards(tag, css_class)
             p.feed(body or "")
+            p.close()
             out.append(p.cards)
         return pd.Series(out)
 
@@ -266,25 +310,31 @@ def until_nothing_new(pages: DataFrame, cards: DataFrame) -> DataFrame:
 _SCRIPT = r"(?is)<script[^>]*type\s*=\s*[\"']?application/ld\+json[\"']?[^>]*>(.*?)</script>"
 
 
-def json_ld_postings(pages: DataFrame, html: str = "html") -> DataFrame:
-    """One row for each JobPosting of a page's JSON-LD, whether it stands alone, in an array or in a graph."""
+def _ld_nodes(pages: DataFrame, html: str) -> DataFrame:
+    """The JobPosting nodes of a page's JSON-LD, blank descriptions too, with the number of their script and their place in it."""
     scripts = pages.select("*", F.posexplode(F.regexp_extract_all(F.col(html), F.lit(_SCRIPT), F.lit(1))).alias("script_no", "script")).withColumn("_v", F.try_parse_json("script"))
     nested = F.expr("""coalesce(try_variant_get(_v, '$["@graph"]', 'array<variant>'), try_variant_get(_v, '$', 'array<variant>'), array(_v))""")
-    rows = scripts.where("_v is not null").withColumn("_o", F.explode(nested))
+    rows = scripts.where("_v is not null").select("*", F.posexplode(nested).alias("place", "_o"))
     kinds = F.expr("""coalesce(try_variant_get(_o, '$["@type"]', 'array<string>'), array(try_variant_get(_o, '$["@type"]', 'string')))""")
     rows = rows.where(F.exists(kinds, lambda k: F.lower(k) == "jobposting"))
     get = lambda path, kind="string": F.expr(f"try_variant_get(_o, '{path}', '{kind}')")
-    place = F.array_distinct(F.filter(F.array(get("$.jobLocation.address.addressLocality"), get("$.jobLocation.address.addressRegion")), lambda x: F.trim(x) != ""))
+    where = F.array_distinct(F.filter(F.array(get("$.jobLocation.address.addressLocality"), get("$.jobLocation.address.addressRegion")), lambda x: F.trim(x) != ""))
     months = F.coalesce(get("$.experienceRequirements.monthsOfExperience", "int"), get("$.experienceRequirements.monthsOfExperience").try_cast("int"))
-    rows = rows.select(
-        *[c for c in pages.columns if c != html], "script_no", flat_text(get("$.description")).alias("descripcion"), text(get("$.datePosted")).alias("fechaPublicacion"),
-        text(get("$.hiringOrganization.name")).alias("empresa"), F.array_join(place, ", ").alias("ubicacion"), months.alias("meses"),
+    return rows.select(
+        *[c for c in pages.columns if c != html], "script_no", "place", flat_text(get("$.description")).alias("descripcion"), text(get("$.datePosted")).alias("fechaPublicacion"),
+        text(get("$.hiringOrganization.name")).alias("empresa"), F.array_join(where, ", ").alias("ubicacion"), months.alias("meses"),
     )
-    return rows.where("trim(descripcion) != ''")
+
+
+def json_ld_postings(pages: DataFrame, html: str = "html") -> DataFrame:
+    """One row for each JobPosting of a page's JSON-LD, whether it stands alone, in an array or in a graph."""
+    return _ld_nodes(pages, html).where("trim(descripcion) != ''")
 
 
 def _details(pages: DataFrame, key: str, block: Column) -> DataFrame:
-    found = json_ld_postings(pages.select(key, "html")).groupBy(key).agg(F.min_by("descripcion", "script_no").alias("_ld"))
+    """A script's first posting counts; if it is blank, the next script's."""
+    firsts = _ld_nodes(pages.select(key, "html"), "html").groupBy(key, "script_no").agg(F.min_by("descripcion", "place").alias("descripcion"))
+    found = firsts.where("trim(descripcion) != ''").groupBy(key).agg(F.min_by("descripcion", "script_no").alias("_ld"))
     own = pages.select(key, block.alias("_block"))
     return own.join(found, key, "left").select(key, F.substring(text(F.coalesce(nonblank(F.col("_ld")), F.col("_block"))), 1, DETAIL_CHARS).alias("descripcion"))
 

@@ -45,3 +45,19 @@ def test_details(spark):
     first = '<div class="show-more-less-html__markup">corto<br>y</div><section class="description">mucho mas largo</section>'
     rows = spark.createDataFrame([("http://j/jobs/view/7", first), ("http://j/jobs/view/7?again", first), ("http://j/none", first), ("http://j/jobs/view/8", ld)], "url string, html string")
     assert {r.job_id: r.descripcion for r in hp.details_by_job(rows).collect()} == {"7": "corto y", "8": "del guion"}
+
+
+def test_unclosed_tags_lose_no_card(spark):
+    one = '<article class="card"><h2><a href="/jobs/view/{0}">Uno {0}</a></h2><p>Acme<p><span>San Isidro, Lima</span><p>Buscamos una persona ordenada para la planta<li>a<li>b{1}'
+    closed, left_open = one.format(1, "</article>"), one.format(2, "")
+    body = f'<div class="list">{closed}{left_open}{one.format(3, "</b></article>")}</div><p>Lima, fuera'
+    rows = hp.listing(spark.createDataFrame([(0, 200, body), (1, 200, '<ul><li><article class="card"><h3>Dos</h3><a href="/jobs/view/9">x<time>ayer</ul><p>Otra, cosa</p>')], PAGES), "p", "http://j").orderBy("page", "item").collect()
+    assert [(r.page, r.job_id, r.puesto, r.ubicacion, r.descripcion) for r in rows] == [(0, str(k), f"Uno {k}", "San Isidro, Lima", "Buscamos una persona ordenada para la planta") for k in (1, 2, 3)] + [(1, "9", "Dos", "Lima", "")]
+    assert rows[-1].fechaPublicacion == "ayer"
+
+
+def test_a_script_gives_its_first_posting(spark):
+    ld = lambda *texts: '<script type="application/ld+json">[' + ",".join('{"@type": "JobPosting", "description": "%s"}' % t for t in texts) + "]</script>"
+    rows = [("a", ld("zz", "aa")), ("b", ld(" ", "aa") + ld("cc", "bb")), ("c", ld("")), ("d", ld("x") + ld("a"))]
+    got = {r.url: r.descripcion for r in hp.detail_texts(spark.createDataFrame(rows, "url string, html string")).collect()}
+    assert got == {"a": "zz", "b": "cc", "c": "", "d": "x"}
