@@ -113,14 +113,14 @@ class BucketStore:
             if self.files.publish(f"m-{new['version']:012d}.json", json.dumps(new)):
                 return new["version"]
 
-    def _change(self, touched: Callable[[dict], set[int]], make: Callable[[DataFrame | None], DataFrame], transaction: tuple[str, int] | None = None) -> int:
+    def _change(self, touched: Callable[[dict], set[int]], make: Callable[[DataFrame | None], DataFrame], transaction: tuple[str, int] | None = None, create: bool = False) -> int:
         """Replaces the touched buckets by what ``make`` makes of them; anew if another writer was faster."""
         for _ in range(self.attempts):
             base = self.manifest()
             if transaction and base["transactions"].get(transaction[0], -1) >= transaction[1]:
                 return base["version"]
             of = touched(base)
-            if not of and base["version"] >= 0:
+            if not of and not (create and base["schema"] is None):
                 return base["version"]
             rows = make(self._read(base, of))
             version = self._publish(base, self._write(rows, base["buckets"], of), rows.schema, transaction)
@@ -146,7 +146,7 @@ class BucketStore:
             return upsert(stored, keep_state(rows, stored).select(*stored.columns))
 
         try:
-            return self._change(lambda base: self._touched(rows, base["buckets"]), make, transaction)
+            return self._change(lambda base: self._touched(rows, base["buckets"]), make, transaction, create=True)
         finally:
             self.files.delete(staged)
 

@@ -1,7 +1,9 @@
-"""From raw postings to ranked ones: dedupe, prefilter, enrich, gate, score. One lazy plan; its only shuffle is the dedupe."""
+"""From raw postings to ranked ones: dedupe, prefilter, enrich, gate, score. One lazy plan; it shuffles for the dedupe, and for cached and detail texts where they are given."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,10 +127,11 @@ STORE_COLUMNS = (
 ).split()
 
 
-def refresh(raw: DataFrame, as_of: str, cached: DataFrame | None = None, details: DataFrame | None = None, portals: tuple[str, ...] = (), by_job: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(accepted with all derived columns, rejected with motivo)."""
+def refresh(raw: DataFrame, as_of: str, cached: DataFrame | None = None, details: DataFrame | None = None, portals: tuple[str, ...] = (), by_job: DataFrame | None = None, keep: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(accepted with all derived columns, rejected with motivo). Both read the gated rows; ``keep`` may write them and read them again, so that they are computed once."""
     early = prefilter(dedupe(raw), as_of)
     late = gate(choose_description(early.where("motivo is null"), cached, details, portals, by_job))
+    late = late if keep is None else keep(late)
     accepted = enrich(late.where("motivo is null"), as_of)
     columns = ["portal", "puesto", "empresa", "motivo", "url", "descripcion", "ubicacion"]
     rejected = early.where("motivo is not null").select(*columns).unionByName(late.where("motivo is not null").select(*columns))
