@@ -9,7 +9,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
+from collections.abc import Callable
 from functools import lru_cache
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column
@@ -53,23 +56,54 @@ def _needs() -> list[tuple[str, ...]]:
     return [stems(row[1].pattern) for row in catalogue()]
 
 
-class _Kept(dict):
-    """What becomes of each character, worked out when it is first met."""
-
-    def __init__(self, kept):
-        self.kept = kept
-
-    def __missing__(self, code: int) -> str:
-        self[code] = out = self.kept(chr(code))
-        return out
-
-
-_SYMBOLS = _Kept(lambda c: " " if c == "\ufe0f" or unicodedata.category(c) in ("So", "Cn") else c)
-_ACCENTS = _Kept(lambda c: "" if unicodedata.category(c) == "Mn" else c)
-
-
-def plain(raw: str) -> str:
-    """Entities decoded twice, symbols and glued words split, accents dropped, lower case; line breaks stay."""
+@lru_cache(maxsize=1)
+def _automaton():
+    """All stems in one automaton, each with the places of its skills in the catalogue; none where the library is missing."""
+    try:
+        import ahocorasick
+    except ImportError:
+        return None
+    skills: dict[str, list[int]] = {}
+    for ordinal, needs in enumerate(_needs()):
+        for stem in needs:
+            skills.setdefault(stem, []).append(ordinal)
+    found = ahocorasick.Automaton()
+    for stem, ordinals in skills.items():
+        found.add_word(stem, tuple(ordinals))
+    found.make_automaton()
+    return found
+
+
+def candidates(joined: str, ends: list[int]) -> list[list[int]]:
+    """Of each text, given where each ends in the joined ones, the skills of which it holds a stem, in catalogue order."""
+    found = _automaton()
+    if found is None:
+        begins = [0, *(e + 1 for e in ends[:-1])]
+        return [[n for n, needs in enumerate(_needs()) if any(joined.find(stem, b, e) >= 0 for stem in needs)] for b, e in zip(begins, ends)]
+    out: list[set[int]] = [set() for _ in ends]
+    k, end, here = 0, ends[0] if ends else 0, out[0] if ends else set()
+    for at, ordinals in found.iter(joined):
+        if at >= end:
+            k = bisect_right(ends, at, k)
+            end, here = ends[k], out[k]
+        here.update(ordinals)
+    return [sorted(x) for x in out]
+
+
+#: A character of private use that stands between joined texts.
+_BETWEEN = "\ue000"
+
+
+def _without(t: str, drop: Callable[[str], bool], instead: str) -> str:
+    """Each character of which ``drop`` holds replaced; ASCII ones stay."""
+    for c in set(t):
+        if c > "\x7f" and drop(c):
+            t = t.replace(c, instead)
+    return t
+
+
+def _decoded(raw: str) -> str:
+    """Entities decoded twice."""
 
     def numeric(m: re.Match) -> str:
         code = int(m[1], 16) if m[1] else int(m[2])
@@ -79,13 +113,29 @@ def plain(raw: str) -> str:
         for entity, char in k.ENTITIES.items():
             raw = re.sub(re.escape(entity), lambda _, c=char: c, raw, flags=re.IGNORECASE)
         raw = re.sub(r"&#x([0-9a-fA-F]{1,8});|&#([0-9]{1,9});", numeric, raw)
-    raw = raw.translate(_SYMBOLS)
-    raw = re.sub(k.GLUED, r"\1 \2", raw)
-    raw = unicodedata.normalize("NFD", raw).translate(_ACCENTS)
+    return raw
+
+
+#: The letter that begins a glued word, seen from the one before it.
+_GLUED = re.compile(k.GLUED.replace("(", "(?<=", 1))
+
+
+def _lowered(raw: str) -> str:
+    """Symbols and glued words split, accents dropped, lower case; line breaks stay. Nothing here looks beyond a character of private use."""
+    if not raw.isascii():
+        raw = _without(raw, lambda c: c == "\ufe0f" or unicodedata.category(c) in ("So", "Cn"), " ")
+    raw = _GLUED.sub(r" \1", raw)
+    if not raw.isascii():
+        raw = _without(unicodedata.normalize("NFD", raw), lambda c: unicodedata.category(c) == "Mn", "")
     return re.sub(r"[ \t]{2,}", " ", re.sub(r"[\r\n]+", "\n", raw)).lower()
 
 
-_HEADING = re.compile(rf"¿?\s*\b({k.EXCLUDED_HEADING}|{k.REQUIRED_HEADING}|{k.DUTIES_HEADING}){k.HEADING_TAIL}", re.ASCII)
+def plain(raw: str) -> str:
+    """Entities decoded, symbols and glued words split, accents dropped, lower case; line breaks stay."""
+    return _lowered(_decoded(raw))
+
+
+_HEADING = re.compile(rf"\b({k.EXCLUDED_HEADING}|{k.REQUIRED_HEADING}|{k.DUTIES_HEADING}){k.HEADING_TAIL}", re.ASCII)
 
 
 def sections(t: str) -> list[tuple[int, str]]:
@@ -111,12 +161,42 @@ def _context(t: str, start: int, end: int, starts: list[int], ends: list[int]) -
 
 def find_requirements(title: str, description: str) -> list[dict]:
     """All skills of one posting in order of position, before parents and children are reconciled."""
-    t = plain(f"{title}. {description}")
+    return find_all_requirements([f"{title}. {description}"])[0]
+
+
+#: Characters of texts that are searched at a time.
+JOINED_CHARS = 1 << 20
+
+
+def find_all_requirements(raw: list[str]) -> list[list[dict]]:
+    """The skills of each text. Texts are joined, normalised and searched for the stems of all patterns at once, in runs of bounded size."""
+    out: list[list[dict]] = []
+    run: list[str] = []
+    size = 0
+    for text_ in raw:
+        run.append(_decoded(text_).replace(_BETWEEN, " "))
+        size += len(text_)
+        if size >= JOINED_CHARS:
+            out += _searched(run)
+            run, size = [], 0
+    return out + _searched(run)
+
+
+def _searched(run: list[str]) -> list[list[dict]]:
+    if not run:
+        return []
+    joined = _lowered(_BETWEEN.join(run))
+    texts = joined.split(_BETWEEN)
+    ends = list(accumulate((len(t) + 1 for t in texts), initial=-1))[1:]
+    return [_read(t, ordinals) for t, ordinals in zip(texts, candidates(joined, ends), strict=True)]
+
+
+def _read(t: str, ordinals: list[int]) -> list[dict]:
+    """The skills of a normalised text among those whose stems it holds."""
     parts = sections(t)
     found = []
-    for ordinal, ((name, pattern, category, leveled, parent, relevance), needs) in enumerate(zip(catalogue(), _needs())):
-        if not any(stem in t for stem in needs):
-            continue
+    for ordinal in ordinals:
+        name, pattern, category, leveled, parent, relevance = catalogue()[ordinal]
         m = next((m for m in pattern.finditer(t) if _kind_at(parts, m.start()) != "EXCLUIDA"), None)
         if m:
             found.append((m.start(), ordinal, m.end(), name, category, leveled, parent, relevance))
@@ -140,7 +220,7 @@ def find_requirements(title: str, description: str) -> list[dict]:
 
 @F.pandas_udf(_FOUND)
 def _found(title: pd.Series, description: pd.Series) -> pd.Series:
-    return pd.Series([find_requirements(a or "", b or "") for a, b in zip(title, description)])
+    return pd.Series(find_all_requirements([f"{a or ''}. {b or ''}" for a, b in zip(title, description)]))
 
 
 def requirements(title: Column | str, description: Column | str) -> Column:

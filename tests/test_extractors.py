@@ -107,3 +107,24 @@ def test_find_all_of_very_many_matches(spark):
     want = [(m.start(), m.end(), m[0], [m[1], m[2]]) for m in re.finditer(r"(\d+) ?(x)", value)]
     got = one(spark, value, lambda c: text.find_all(c, r"(\d+) ?(x)", 2))
     assert [(r["start"], r["end"], r["m"], r["g"]) for r in got] == want and len(want) > 2 * text.RUN
+
+
+def test_joined_texts_are_read_as_each_alone():
+    raw = ["Analista. Excel y SQL", "", "x. Beneficios: power bi. Requisitos: SAP\r\n\r\ninglés", "ab. python", "&amp;nbsp;Excel &#8226; KPIs ⭐JavaScript", "́x. Σ", "y. R y C#, 5S" * 3]
+    alone = [requirements.find_all_requirements([t])[0] for t in raw]
+    assert requirements.find_all_requirements(raw) == alone and sum(map(len, alone)) >= 9
+    run = requirements.JOINED_CHARS
+    try:
+        requirements.JOINED_CHARS = 30
+        assert requirements.find_all_requirements(raw) == alone
+    finally:
+        requirements.JOINED_CHARS = run
+
+
+def test_stems_are_found_with_and_without_the_automaton(monkeypatch):
+    texts = ["excel sql", "", "sap", "nada", "power bi y excel"]
+    ends = [9, 10, 14, 19, 36]
+    joined = "".join(texts)
+    with_it = requirements.candidates(joined, ends)
+    monkeypatch.setattr(requirements, "_automaton", lambda: None)
+    assert requirements.candidates(joined, ends) == with_it and with_it[1] == [] and len(with_it[0]) >= 2
