@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tamiz import oracles
 from tamiz.functions import dates
+from tamiz.functions.text import norm
 from tamiz.operators import geo
 from tamiz.plans import pipeline, scans
 from tamiz.plans.bucket_store import BucketStore
@@ -134,6 +135,23 @@ def landed_recent(spark, sf_dir):
     return landed.recent(landed.landed(spark, folder).where("portal != 'portal_b' and http_status = 200"), F.lit("2026-07-20").cast("date"), 30)
 
 
+@query
+def gazetteer_centers(spark, sf_dir):
+    """Places with the district that their text names, the districts taken from a table."""
+    rows = offers(spark, sf_dir).select("doc_id", norm("ubicacion").alias("place"))
+    return geo.centers(rows, "place", geo.gazetteer(spark)).select("doc_id", F.col("center.name").alias("name"), F.col("center.lat").alias("lat"))
+
+
+@query
+def part_words(spark, sf_dir):
+    """The longest word of any part's name or type that a part's text contains, also inside others."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    text = F.lower(F.concat_ws(" ", "p_name", "p_type", "p_brand"))
+    words = part.select(F.explode(F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " ")).alias("name")).distinct()
+    names = words.select("name", F.length("name").cast("double").alias("lat"), F.lit(0.0).alias("lon"))
+    return geo.centers(part.select("p_partkey", text.alias("place")), "place", names).select("p_partkey", F.col("center.name").alias("name"), F.col("center.lat").alias("size"))
+
+
 # Odd inputs.
 
 
@@ -192,6 +210,9 @@ def _sql() -> dict[str, str]:
         "scan_reasons": f"{scan} SELECT rules, portal, query, page, n_cards, n_new, last_age, reason FROM e",
         "landed_recent": f"""{oracles.O}, p AS (SELECT portal, 'q/' || modalidad AS query, CAST(floor(doc_id / 500) AS INTEGER) AS page, string_agg(puesto, chr(10) ORDER BY doc_id) AS body FROM o GROUP BY ALL)
             SELECT portal, query, page, CAST(200 AS INTEGER) AS http_status, CASE WHEN page % 5 <> 4 THEN DATE '2026-07-20' - page * 9 % 50 END AS newest, body FROM p WHERE portal <> 'portal_b' AND page % 7 <> 6 AND (page % 5 = 4 OR page * 9 % 50 <= 30)""",
+        "gazetteer_centers": oracles.sql()["district_center"],
+        "part_words": """WITH t AS (SELECT p_partkey, lower(concat_ws(' ', p_name, p_type, p_brand)) AS place FROM part), w AS (SELECT DISTINCT unnest(string_split(lower(concat_ws(' ', p_name, p_type)), ' ')) AS name FROM part)
+            SELECT p_partkey, arg_min(name, (-length(name), name)) AS name, CAST(max(length(name)) AS DOUBLE) AS size FROM t JOIN w ON contains(place, name) GROUP BY p_partkey""",
         "age_of_odd_dates": f"{oracles.O}, a AS (SELECT doc_id, {odd} AS n FROM o), b AS (SELECT doc_id, CASE WHEN n BETWEEN -2147483648 AND 2147483647 THEN n::INTEGER END AS days FROM a) SELECT doc_id, days, coalesce({ms} - CAST(days AS BIGINT) * {day}, 0) AS epoch FROM b",
         "html_listing_unclosed": oracles.sql()["html_listing"],
     }

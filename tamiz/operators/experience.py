@@ -109,7 +109,19 @@ def _decided(t: Column, ranges: Column, found: Column) -> Column:
     )
 
 
+KINDS = ("CUANTIFICADA", "NO_REQUERIDA", "REQUERIDA_SIN_CUANTIFICAR", "NO_MENCIONADA")
+
+
+def known_kind(kind: Column) -> Column:
+    """A stored kind; one that isn't known, or none, counts as not mentioned."""
+    return F.when(kind.isin(*KINDS), kind).otherwise("NO_MENCIONADA")
+
+
 def experience_label(months: Column, kind: Column) -> Column:
+    return bind(known_kind(kind), lambda k: _label(months, k))
+
+
+def _label(months: Column, kind: Column) -> Column:
     years = F.floor(months / 12).cast("string")
     return (
         F.when((kind == "NO_REQUERIDA") | ((kind == "CUANTIFICADA") & (months == 0)), "Sin exp.")

@@ -14,6 +14,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tamiz.operators.geo import known_zone
 from tamiz.plans.bucket_store import BucketStore
 from tamiz.plans.shared import Files
 from tamiz.plans.views import with_tab
@@ -25,7 +26,7 @@ def counted(rows: DataFrame, sign: int) -> DataFrame:
     entry = lambda view, key: F.struct(F.lit(view).alias("view"), F.col(key).alias("key"))
     shown = F.when(live, F.array(entry("zona", "zona"), entry("portal", "portal"), entry("tab", "tab"))).otherwise(F.array().cast("array<struct<view:string,key:string>>"))
     every = F.concat(shown, F.array(entry("estado", "estado")))
-    return with_tab(rows).select(F.explode(every).alias("e")).select("e.view", "e.key", F.lit(sign).cast("long").alias("n"))
+    return with_tab(rows).withColumn("zona", known_zone(F.col("zona"))).select(F.explode(every).alias("e")).select("e.view", "e.key", F.lit(sign).cast("long").alias("n"))
 
 
 def summed(counts: DataFrame) -> DataFrame:

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamiz.functions.text import amount_label, norm, text, title_case
-from tamiz.operators.experience import experience_label
+from tamiz.operators.experience import experience_label, known_kind
 from tamiz.operators.extract import shift_kind, shift_text
-from tamiz.operators.geo import short_location
+from tamiz.operators.geo import known_zone, short_location
 from tamiz.operators.requirements import labels, requirements
 
 
@@ -46,7 +46,7 @@ def cards(rows: DataFrame) -> DataFrame:
     chips = F.slice(F.filter(F.transform(F.split(text("requisitos"), "[;|]"), lambda x: F.trim(x)), lambda x: x != ""), 1, 4)
     return rows.select(
         "url", title_case("puesto").alias("puesto"), title_case("empresa").alias("empresa"), "portal", "modalidad", "matchScore", "nuevo", "estado",
-        short_location(F.col("distrito"), F.col("departamento"), F.col("zona")).alias("ubicacion"),
+        short_location(F.col("distrito"), F.col("departamento"), known_zone(F.col("zona"))).alias("ubicacion"),
         amount_label(F.col("salarioMin"), F.col("salarioMax"), F.col("salarioMoneda"), F.col("salario")).alias("salario"),
         experience_label(F.col("mesesExperiencia"), F.col("expTipo")).alias("experiencia"),
         shift_kind(F.col("regimenTrabajo"), F.col("trabajoEnCampamento"), F.col("descripcion")).alias("jornada"),
@@ -79,7 +79,7 @@ def csv_lines(rows: DataFrame) -> DataFrame:
     english = F.when(F.col("requiereIngles"), F.coalesce("nivelIngles", F.lit("Si"))).otherwise("No")
     fields = [
         *map(_quoted, ("portal", "puesto", "empresa", "ubicacion", "distrito", "departamento", zone, "modalidad", kind, "regimenTrabajo")), F.when(F.col("trabajoEnCampamento"), "SI").otherwise("NO"),
-        *map(_quoted, ("seniority", "expTipo")), whole("mesesExperiencia"), *map(_quoted, ("expEvidencia", "nivelEducativo", english, "salario")), whole("salarioMin"), whole("salarioMax"),
+        *map(_quoted, ("seniority", known_kind(F.col("expTipo")))), whole("mesesExperiencia"), *map(_quoted, ("expEvidencia", "nivelEducativo", english, "salario")), whole("salarioMin"), whole("salarioMax"),
         *map(_quoted, ("salarioMoneda", F.array_join("beneficios", " | "))), whole("matchScore"), *map(_quoted, ("fechaPublicacion", F.array_join(labels(found, 10), " | "), "descripcion", "url")),
     ]
     return rows.select("url", (kind == "ATIPICO").alias("atypical"), "matchScore", F.concat_ws(",", *fields).alias("line"))

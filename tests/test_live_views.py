@@ -10,7 +10,7 @@ SCHEMA = "url string, portal string, zona string, regimenTrabajo string, trabajo
 
 def batch(spark, rng, n):
     day = 86_400_000
-    rows = [(f"u{rng.randrange(60):02d}", rng.choice("abc"), rng.choice(["LIMA", "CALLAO", None]), rng.choice([None, "14x7"]), rng.random() < 0.2, "x", rng.randrange(101), rng.randrange(90) * day, k) for k in range(n)]
+    rows = [(f"u{rng.randrange(60):02d}", rng.choice("abc"), rng.choice(["LIMA_PROVINCIAS", "CALLAO", "otra", None]), rng.choice([None, "14x7"]), rng.random() < 0.2, "x", rng.randrange(101), rng.randrange(90) * day, k) for k in range(n)]
     return spark.createDataFrame(rows, SCHEMA)
 
 
