@@ -169,6 +169,8 @@ _UNIT = r"(anios?|anos?|semestres?|meses|mes)\b"
 _SPAN = rf"(?<!\d)(?<![\d][.,])(\d{{1,2}}(?:[.,]5)?|{_WORDS})\b\s*(?:\+|o\s*mas|a\s*mas|en adelante)?\s*(?:de\s+)?{_UNIT}"
 #: What every quantified pattern contains, and what every range ends with.
 SPAN, RANGE_END = _SPAN, rf"(?:\d|{_WORDS})\s*(?:de\s+)?{_UNIT}"
+#: What every span and range holds: the last of a number, and its unit.
+SPAN_CORE = rf"(?:\d|{_WORDS})\s*(?:\+|o\s*mas|a\s*mas|en adelante)?\s*(?:de\s+)?(?:anios?|anos?|semestres?|meses|mes)\b"
 EXPERIENCE_PATTERNS = (
     rf"experiencia\b[^.;]{{0,45}}?{_SPAN}",
     rf"{_SPAN}[^.;]{{0,25}}?experiencia",

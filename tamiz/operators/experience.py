@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tamiz.functions import vocabulary as v
-from tamiz.functions.text import after, before, bind, contains_any, find_all
+from tamiz.functions.text import MATCH, after, before, bind, contains_any, find_all
 
 _CANDIDATE = "array<struct<months:int,top:int,m:string>>"
 
@@ -72,10 +72,36 @@ def _any_clear(t: Column, pattern: str, chars_before: int, chars_after: int, noi
     return F.exists(find_all(t, pattern), clear)
 
 
+#: Characters kept on either side of a number with its unit: more than the widest pattern and what is looked at around it.
+AROUND = 200
+
+
+def near_spans(t: Column) -> Column:
+    """The stretches of a text around its numbers with a unit, parted by ends of sentences; null if there is none.
+
+    All quantified patterns match inside these stretches as they do in the whole text. Only a word beyond all measure could reach further; a text that
+    holds one near a span is kept whole.
+    """
+
+    def joined(parts: Column) -> Column:
+        last = F.size(parts) - 1
+
+        def kept(part: Column, i: Column) -> Column:
+            # Every other part is a span; the text before the first and after the last one is cut on one side.
+            left, right = F.substring(part, 1, AROUND), F.substring(part, -AROUND, AROUND)
+            between = F.when(F.length(part) <= 2 * AROUND, part).otherwise(F.concat(left, F.lit(" ; "), right))
+            return F.when(i % 2 == 1, part).when(i == 0, F.when(F.length(part) > AROUND, F.concat(F.lit("; "), right)).otherwise(part)).when(i == last, left).otherwise(between)
+
+        return bind(F.array_join(F.transform(parts, kept), ""), lambda x: F.when(x.rlike("[a-z]{80}"), F.array_join(parts, "")).otherwise(x))
+
+    marked = F.split(F.regexp_replace(F.translate(t, MATCH, ""), v.SPAN_CORE, f"{MATCH}$0{MATCH}"), MATCH)
+    return bind(marked, lambda parts: F.when(F.size(parts) > 1, joined(parts)))
+
+
 def experience(normalized: Column) -> Column:
     """struct<months_min, months_max, evidence, kind>.
 
-    Texts without a number and a unit skip the quantified patterns, those without "experiencia" the ones that contain it.
+    The quantified patterns run over the surroundings of numbers with a unit only; texts without "experiencia" skip the patterns that contain it.
     """
     cut = bind(normalized, without_footer)
     return bind(F.replace(F.replace(cut, F.lit("anos"), F.lit("anios")), F.lit("ano "), F.lit("anio ")), _experience)
@@ -83,10 +109,14 @@ def experience(normalized: Column) -> Column:
 
 def _experience(t: Column) -> Column:
     none = F.array().cast(_CANDIDATE)
-    ranges = F.when(t.rlike(v.RANGE_END), _ranges(t)).otherwise(none)
-    named = F.contains(t, F.lit("experiencia"))
-    simple = F.concat(*(F.when(named, _simple(t, p)).otherwise(none) if "experiencia" in p else _simple(t, p) for p in v.EXPERIENCE_PATTERNS))
-    return bind(F.struct(ranges.alias("ranges"), F.when(t.rlike(v.SPAN), simple).otherwise(none).alias("simple")), lambda c: _decided(t, c["ranges"], F.concat(c["ranges"], c["simple"])))
+
+    def quantified(near: Column) -> Column:
+        named = F.contains(near, F.lit("experiencia"))
+        simple = F.concat(*(F.when(named, _simple(near, p)).otherwise(none) if "experiencia" in p else _simple(near, p) for p in v.EXPERIENCE_PATTERNS))
+        some = lambda c, found: F.when(near.isNotNull() & c, found).otherwise(none)
+        return F.struct(some(near.rlike(v.RANGE_END), _ranges(near)).alias("ranges"), some(near.rlike(v.SPAN), simple).alias("simple"))
+
+    return bind(bind(near_spans(t), quantified), lambda c: _decided(t, c["ranges"], F.concat(c["ranges"], c["simple"])))
 
 
 def _decided(t: Column, ranges: Column, found: Column) -> Column:
@@ -104,7 +134,7 @@ def _decided(t: Column, ranges: Column, found: Column) -> Column:
         F.when(F.trim(t) == "", result(none, none, text_none, "NO_MENCIONADA"))
         .when(best.isNotNull(), result(best["months"], top, best["m"], F.when(best["months"] == 0, "NO_REQUERIDA").otherwise("CUANTIFICADA")))
         .when(contains_any(t, ("experiencia", "primer")) & _any_clear(t, v.NO_EXPERIENCE, 60, 40, v.NO_EXPERIENCE_NOISE), result(F.lit(0), none, F.lit("sin experiencia requerida"), "NO_REQUERIDA"))
-        .when(_any_clear(t, v.UNQUANTIFIED, 25, 35, v.CUSTOMER_EXPERIENCE), result(none, none, F.lit("requerida sin cuantificar"), "REQUERIDA_SIN_CUANTIFICAR"))
+        .when(F.contains(t, F.lit("experiencia")) & _any_clear(t, v.UNQUANTIFIED, 25, 35, v.CUSTOMER_EXPERIENCE), result(none, none, F.lit("requerida sin cuantificar"), "REQUERIDA_SIN_CUANTIFICAR"))
         .otherwise(result(none, none, text_none, "NO_MENCIONADA"))
     )
 

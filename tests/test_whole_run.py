@@ -224,3 +224,50 @@ def test_cards_and_export(run):
             "RequisitosIdentificados": " | ".join(top_requirements(r.puesto, r.descripcion, 10)), "Descripcion": r.descripcion.replace("\r", "").replace("\n", " "), "URL": r.url,
         }
         assert got == want
+
+
+def naive_requirements(raw):
+    """The skills of one text: every pattern over the whole text, character by character."""
+    import unicodedata
+
+    def number(m):
+        code = int(m[1], 16) if m[1] else int(m[2])
+        return chr(code) if 32 <= code <= 0x2FFF else " "
+
+    for _ in range(2):
+        for entity, char in k.ENTITIES.items():
+            raw = re.sub(re.escape(entity), lambda _, c=char: c, raw, flags=re.IGNORECASE)
+        raw = re.sub(r"&#x([0-9a-fA-F]{1,8});|&#([0-9]{1,9});", number, raw)
+    raw = "".join(" " if c == "️" or unicodedata.category(c) in ("So", "Cn") else c for c in raw)
+    raw = unicodedata.normalize("NFD", re.sub(k.GLUED, r"\1 \2", raw))
+    t = re.sub(r"[ \t]{2,}", " ", re.sub(r"[\r\n]+", "\n", "".join(c for c in raw if unicodedata.category(c) != "Mn"))).lower()
+    kinds, kind = [], "INTRO"
+    heads = list(re.finditer(rf"¿?\s*\b({k.EXCLUDED_HEADING}|{k.REQUIRED_HEADING}|{k.DUTIES_HEADING}){k.HEADING_TAIL}", t, re.ASCII))
+    for m in heads:
+        kinds += [kind] * (m.end() - len(kinds))
+        kind = next(name for name, p in (("EXCLUIDA", k.EXCLUDED_HEADING), ("REQUISITOS", k.REQUIRED_HEADING), ("FUNCIONES", k.DUTIES_HEADING)) if re.fullmatch(p, m[1], re.ASCII))
+    kinds += [kind] * (len(t) + 1 - len(kinds))
+    hits = []
+    for ordinal, (name, pattern, category, leveled, parent, relevance) in enumerate(requirements.catalogue()):
+        for m in pattern.finditer(t):
+            if kinds[m.start()] != "EXCLUIDA":
+                hits.append((m.start(), ordinal, m.end(), name, category, leveled, parent, relevance))
+                break
+    hits.sort()
+    out, carried, carried_end = [], None, None
+    for start, ordinal, end, name, category, leveled, parent, relevance in hits:
+        stop = min([len(t), end + k.CHARS_AFTER, *(h[0] for h in hits if h[0] > end)])
+        floor = max([0, start - k.CHARS_BEFORE, *[h[2] for h in hits if h[2] <= start][-1:]])
+        post, pre = re.split(r"[.;\n]", t[end:stop])[0], re.split(r"[.;\n]", t[floor:start])[-1]
+        grade = next((label for label, p in k.LEVELS if found(p, f"{pre} {post}")), None) if leveled else None
+        exigency = next((word for w in (post, pre) for word, p in (("DESEABLE", k.DESIRABLE), ("INDISPENSABLE", k.MANDATORY)) if found(p, w)), None)
+        if exigency is None and carried and carried_end <= start and re.fullmatch(k.CONNECTOR, t[carried_end:start], re.ASCII):
+            exigency = carried
+        carried, carried_end = exigency, end
+        out.append({"name": name, "category": category, "level": grade, "exigency": exigency or "NO_ESPECIFICADO", "confidence": {"REQUISITOS": "ALTA", "FUNCIONES": "MEDIA"}.get(kinds[start], "BAJA"), "relevance": relevance, "position": start, "parent": parent, "ordinal": ordinal})
+    return out
+
+
+def test_skills_of_every_posting(plain):
+    texts = [f"{r['puesto']}. {r['descripcion']}" for r in plain[2]]
+    assert requirements.find_all_requirements(texts) == [naive_requirements(t) for t in texts]
