@@ -81,13 +81,14 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["lang", "bucket", "n"])
 
 
-def learn(training: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
-    """The languages in order and P(trigram bucket | language), one column a language."""
-    counts = training.where(F.col(lang_col).isNotNull()).select(F.col(text_col).cast("string"), F.col(lang_col).cast("string")).mapInArrow(_count_batches, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+def learn(training: DataFrame, text_col: str = "text", lang_col: str = "lang", most_languages: int = MOST_LANGUAGES) -> tuple[list[str], np.ndarray]:
+    """The languages in order and P(trigram bucket | language), one column a language; more than ``most_languages`` are refused before any text is read."""
+    training = training.where(F.col(lang_col).isNotNull())
+    if training.select(F.col(lang_col).cast("string")).distinct().limit(most_languages + 1).count() > most_languages:
+        raise ValueError(f"more than {most_languages} languages: their table would not stay small")
+    counts = training.select(F.col(text_col).cast("string"), F.col(lang_col).cast("string")).mapInArrow(_count_batches, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     got = counts.toArrow()
     langs = sorted(set(got["lang"].to_pylist()))
-    if len(langs) > MOST_LANGUAGES:
-        raise ValueError(f"{len(langs)} languages: their table would not stay small")
     table = np.zeros((BUCKETS, len(langs)))
     table[got["bucket"].to_numpy(), np.searchsorted(np.array(langs), np.array(got["lang"].to_pylist(), str)) if langs else []] = got["n"].to_numpy()
     return langs, (table + SMOOTHING) / (table.sum(axis=0) + SMOOTHING * BUCKETS)
@@ -167,8 +168,8 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
 
 
-def language_mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def language_mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_languages: int = MOST_LANGUAGES) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score (the main language's proportion), n_langs, mixture."""
-    langs, p = learn(docs.where(~held_out(id_col)), text_col, lang_col)
+    langs, p = learn(docs.where(~held_out(id_col)), text_col, lang_col, most_languages)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_predictor(langs, p), "doc_id long, held_out boolean, lang_pred string, score double, n_langs int, mixture string")

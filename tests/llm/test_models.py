@@ -64,3 +64,14 @@ def test_ratio_equals_counting():
         for b in r:
             side[b] += 1
     assert np.allclose(got, np.log(p / p.sum()) - np.log(q / q.sum()))
+
+
+def test_too_many_languages_are_refused_before_texts_are_read(spark):
+    import pytest
+
+    from tamiz.llm.language_mixture import language_mixture
+
+    docs = spark.createDataFrame([(k, f"text {k}", f"lang{k}") for k in range(30)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="more than 5 languages"):
+        language_mixture(docs, most_languages=5)
+    assert language_mixture(docs, most_languages=30).count() == 30
