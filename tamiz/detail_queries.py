@@ -157,7 +157,12 @@ def _sql() -> dict[str, str]:
         array_to_string(list_concat(list_filter(why, lambda x, i: list_position(why, x) = i)[1:4], alerts)[1:6], ' / ') AS reasons FROM d"""
     slug = "regexp_replace(regexp_replace(lower(puesto), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
     label = "CASE WHEN m < 12 THEN m || ' meses' WHEN m % 12 = 0 THEN m // 12 || '+ años' ELSE m // 12 || '.' || m % 12 * 10 // 12 || '+ años' END"
+    flat = "regexp_replace(regexp_replace(html, '(?s)<!--.*?-->|<!DOCTYPE[^>]*>', '', 'gi'), '(?s)<(?:script|style)[^>]*>.*?</(?:script|style)>', '  ', 'g')"
+    flat = f"regexp_replace(regexp_replace({flat}, '<(?:br|p|li|div|tr|h1|h2|h3)(?:[ /][^>]*)?>', chr(10), 'g'), '<[^>]*>', ' ', 'g')"
+    for entity, char in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+        flat = f"replace({flat}, '{entity}', '{char}')"
     return {
+        "html_pages_text": rf"SELECT page_id, array_to_string(list_filter(list_transform(string_split({flat}, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS plain FROM pages",
         "json_links": f"""{o} SELECT 'https://jobs.example.com/o/' || {slug} || '-' || doc_id || '.html' AS url, trim(regexp_replace(replace(descripcion, 'Requisitos:', '<b>Requisitos:</b><br/>'), '<[^>]+>', ' ', 'g')) AS descripcion FROM o""",
         "card_modes": f"""{o}, c AS (SELECT lpad(doc_id::VARCHAR, 9, '1') AS k, page, replace(replace(puesto, 'Analista', 'Analista (trabajo HÍBRIDO o hybrid)'), 'Operario', 'Operario en teletrabajo') AS puesto, doc_id FROM o WHERE {oracles.PAGE_STATUS} = 'Ok')
             SELECT k AS job_id, puesto, CASE WHEN puesto LIKE '%teletrabajo%' THEN 'Remoto' WHEN puesto LIKE '%hybrid%' THEN 'Hibrido' ELSE 'Presencial' END AS modalidad FROM c QUALIFY row_number() OVER (PARTITION BY k ORDER BY page, doc_id) = 1""",
