@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from tamiz import oracles
 from tamiz.functions import text as tx
 from tamiz.functions import vocabulary as v
-from tamiz.operators import experience
+from tamiz.operators import experience, extract, geo
 from tamiz.operators.match import match
 from tamiz.plans import pipeline, store, views
+from tamiz.plans import rows as rows_of
 from tamiz.queries import _html_pages, _json_pages, _stored
 from tamiz.sources import html_pages, json_pages
 from tamiz.sources.offers import offers
@@ -129,6 +130,30 @@ def changed_states(spark, sf_dir):
     return rows.select("url", "estado")
 
 
+@query
+def stored_rows(spark, sf_dir):
+    """Postings in the store's flat form and back: the text and the number of their benefits, defaults and names of what isn't known."""
+    k = F.col("doc_id")
+    rows = offers(spark, sf_dir).select("url", "puesto", "portal", extract.benefits(_D).alias("beneficios"), F.when(k % 3 == 0, "CALLAO").when(k % 3 == 1, "otra").alias("zona"), F.when(k % 2 == 0, 900.5).alias("salarioMin"))
+    flat = rows_of.to_stored(rows)
+    back = rows_of.to_offer(flat).select("url", F.size("beneficios").alias("n_benefits"))
+    return flat.select("url", "puesto", "empresa", "zona", "expTipo", "estado", "nuevo", "matchScore", "salarioMin", "beneficios").join(back, "url")
+
+
+@query
+def plain_html(spark, sf_dir):
+    """Pages with every tag as a space."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return pages.select("page_id", tx.strip_html("html").alias("plain"))
+
+
+@query
+def card_places(spark, sf_dir):
+    place = geo.split_location("ubicacion")
+    rows = offers(spark, sf_dir).select("doc_id", geo.shown_department(place).alias("department"), geo.short_location(geo.shown_district("ubicacion"), geo.shown_department(place), geo.zone(place)).alias("shown"))
+    return rows
+
+
 def _sql() -> dict[str, str]:
     o, n, has = oracles.O, oracles.n, oracles.has
     t = n(f"o.puesto || ' ' || {oracles.D}")
@@ -155,6 +180,7 @@ def _sql() -> dict[str, str]:
         list_concat(tool_l[1:2], CASE WHEN r[1].p < 0 THEN list_concat([r[1].name], r[1].l[1:2]) ELSE [] END, CASE WHEN m <= 24 THEN ['Pide ≤ 2 años'] ELSE [] END, CASE WHEN asked THEN ['Pide Ing. Industrial'] ELSE [] END, CASE WHEN doc_id % 6 = 0 THEN ['Exclusiva Ing. Industrial'] ELSE [] END) AS why FROM c)
       SELECT doc_id, greatest(least(tool_p + domain + fit + CASE WHEN asked THEN 8 ELSE 0 END + CASE WHEN doc_id % 6 = 0 THEN 4 ELSE 0 END - minus, 100), 0)::INTEGER AS score,
         array_to_string(list_concat(list_filter(why, lambda x, i: list_position(why, x) = i)[1:4], alerts)[1:6], ' / ') AS reasons FROM d"""
+    benefits = f"concat_ws('|', {', '.join(f"CASE WHEN {has(n(oracles.D), words)} THEN '{label}' END" for label, words in v.BENEFITS)})"
     slug = "regexp_replace(regexp_replace(lower(puesto), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
     label = "CASE WHEN m < 12 THEN m || ' meses' WHEN m % 12 = 0 THEN m // 12 || '+ años' ELSE m // 12 || '.' || m % 12 * 10 // 12 || '+ años' END"
     flat = "regexp_replace(regexp_replace(html, '(?s)<!--.*?-->|<!DOCTYPE[^>]*>', '', 'gi'), '(?s)<(?:script|style)[^>]*>.*?</(?:script|style)>', '  ', 'g')"
@@ -177,6 +203,11 @@ def _sql() -> dict[str, str]:
         "experience_labels": f"""{o}, a AS (SELECT doc_id, CASE WHEN doc_id % 7 <> 0 THEN doc_id * 5 % 70 END AS m FROM o)
             SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'Exp. sin precisar' WHEN doc_id % 5 = 1 THEN 'Sin exp.' WHEN doc_id % 5 = 2 OR doc_id % 11 = 3 OR m IS NULL THEN 'Exp. no indicada' WHEN m = 0 THEN 'Sin exp.' ELSE {label} END AS label FROM a""",
         "match_points": points,
+        "stored_rows": f"""{o}, a AS (SELECT *, {benefits} AS b FROM o) SELECT url, puesto, '' AS empresa, CASE WHEN doc_id % 3 = 0 THEN 'CALLAO' ELSE 'DESCONOCIDA' END AS zona, 'NO_MENCIONADA' AS "expTipo", 'pendiente' AS estado, true AS nuevo, 0::INTEGER AS "matchScore",
+            CASE WHEN doc_id % 2 = 0 THEN 900.5::DOUBLE END AS "salarioMin", b AS beneficios, CASE WHEN b = '' THEN 0 ELSE len(string_split(b, '|')) END::INTEGER AS n_benefits FROM a""",
+        "plain_html": r"SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS plain FROM pages",
+        "card_places": f"""{o} SELECT doc_id, CASE WHEN ubicacion LIKE '%Lima%' THEN 'Lima' WHEN ubicacion LIKE '%Callao' THEN 'Callao' WHEN ubicacion LIKE 'Arequipa%' THEN 'Arequipa' WHEN ubicacion LIKE 'Trujillo%' THEN 'La Libertad' END AS department,
+            CASE ubicacion WHEN 'San Isidro, Lima' THEN 'San Isidro' WHEN 'Huaral, Lima' THEN 'Huaral, Lima' WHEN 'Arequipa, Arequipa' THEN 'Arequipa' WHEN '' THEN 'Sin especificar' WHEN 'Bellavista, Callao' THEN 'Bellavista' WHEN 'Lima, Lima Province, Peru' THEN 'Lima' ELSE 'Trujillo, La Libertad' END AS shown FROM o""",
         "stored_urls": f"{oracles.STORED} SELECT url FROM s",
         "changed_states": f"""{oracles.STORED} SELECT url, CASE WHEN url LIKE '%/o/12' THEN 'descartada' WHEN url LIKE '%/o/11' OR url LIKE '%/o/17' THEN CASE WHEN estado = 'postulada' THEN 'pendiente' ELSE 'postulada' END ELSE estado END AS estado FROM s""",
     }

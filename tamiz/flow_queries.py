@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,6 +65,17 @@ def store_changes(spark, sf_dir):
     return rows.select("url", F.col("old.matchScore").alias("old_score"), F.col("new.matchScore").alias("new_score"))
 
 
+@query
+def cleared_store(spark, sf_dir):
+    """How many rows a store holds before it is cleared, after it, and in the version before."""
+    rows = _incoming(spark, sf_dir)
+    store = BucketStore(spark, shared_folder(spark, "store"), buckets=16)
+    store.merge(rows)
+    store.clear()
+    counts = (store.read(v).agg(F.count(F.lit(1)).alias("n")).withColumn("version", F.lit(v)) for v in store.versions())
+    return functools.reduce(DataFrame.unionByName, counts)
+
+
 def _views(spark, sf_dir) -> LiveViews:
     """Brought up to date after each change of the store."""
     made: list[LiveViews] = []
@@ -202,6 +214,7 @@ def _sql() -> dict[str, str]:
     odd += f" WHEN doc_id % 6 = 5 THEN -((CAST('9' || CAST(doc_id * 1000000007 + 9000000000000000 AS VARCHAR) AS BIGINT) - {ms}) // {day}) END"
     return {
         "bucket_merge": f"""{stored} SELECT url, portal, portal <> 'portal_b' AS nuevo, 'pendiente' AS estado, "matchScore", doc_id FROM r""",
+        "cleared_store": f"{stored} SELECT count(*) AS n, 0::INTEGER AS version FROM s UNION ALL SELECT 0, 1",
         "store_changes": f"""{stored} SELECT url, CASE WHEN portal <> 'portal_c' THEN score END AS old_score, r."matchScore" AS new_score FROM s LEFT JOIN (SELECT url, "matchScore" FROM r) r USING (url) WHERE portal = 'portal_b' OR (portal = 'portal_a' AND r.url IS NULL) OR (portal = 'portal_c' AND r.url IS NOT NULL)""",
         "live_counts": f"{stored} {counts}",
         "live_best": f"""{stored} SELECT url, "matchScore" FROM r ORDER BY 2 DESC, 1 LIMIT 50""",

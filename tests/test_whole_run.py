@@ -271,3 +271,15 @@ def naive_requirements(raw):
 def test_skills_of_every_posting(plain):
     texts = [f"{r['puesto']}. {r['descripcion']}" for r in plain[2]]
     assert requirements.find_all_requirements(texts) == [naive_requirements(t) for t in texts]
+
+
+def test_requirements_of_categories(spark, plain):
+    wanted = ("OFIMATICA", "IDIOMA")
+    some = plain[2][:200]
+    rows = spark.createDataFrame([(r["doc_id"], r["puesto"], r["descripcion"]) for r in some], "doc_id long, puesto string, descripcion string")
+    got = {r.doc_id: r.names for r in rows.select("doc_id", F.transform(requirements.of_categories(requirements.requirements("puesto", "descripcion"), wanted), lambda x: x["name"]).alias("names")).collect()}
+    category = {row[0]: row[2] for row in requirements.catalogue()}
+    for r in some:
+        every = [name for name in top_requirements(r["puesto"], r["descripcion"], None)]
+        named = [next(c for c in sorted(category, key=len, reverse=True) if name == c or name.startswith(f"{c} ")) for name in every]
+        assert got[r["doc_id"]] == [name for name in named if category[name] in wanted]
