@@ -51,10 +51,13 @@ class BucketStore:
         return max(self.versions(), default=-1)
 
     def manifest(self, version: int | None = None) -> dict:
-        """version, buckets (their number), paths (by bucket), schema, transactions (the last of each writer) and time."""
+        """version, buckets (their number), paths and stats (by bucket), schema, transactions (the last of each writer) and time.
+
+        The stats of a bucket are its rows and the oldest date in milliseconds of those that a purge may take, null if there is none.
+        """
         version = self.version() if version is None else version
         if version < 0:
-            return {"version": -1, "buckets": self._new, "paths": {}, "schema": None, "transactions": {}, "at": 0}
+            return {"version": -1, "buckets": self._new, "paths": {}, "stats": {}, "schema": None, "transactions": {}, "at": 0}
         return json.loads(self.files.read(f"m-{version:012d}.json"))
 
     def _read(self, manifest: dict, buckets: set[int] | None = None) -> DataFrame | None:
@@ -73,8 +76,8 @@ class BucketStore:
         return self._read(manifest, self._touched(rows, manifest["buckets"]))
 
     def count(self) -> int:
-        stored = self.read()
-        return 0 if stored is None else stored.count()
+        """By the manifest alone."""
+        return sum(rows for rows, _ in self.manifest()["stats"].values())
 
     # Changes.
 
@@ -82,23 +85,30 @@ class BucketStore:
         """At most as many numbers as there are buckets."""
         return {r[0] for r in rows.select(bucket_of("url", buckets)).distinct().collect()}
 
-    def _write(self, rows: DataFrame, buckets: int, touched: set[int]) -> dict[str, str | None]:
-        """The touched buckets' new folders; a bucket without rows has none."""
+    def _write(self, rows: DataFrame, buckets: int, touched: set[int]) -> dict[str, tuple[str, list] | None]:
+        """The touched buckets' new folders and stats; a bucket without rows has none. One pass over the keys checks them and sums up."""
         name = uuid.uuid4().hex
         target = f"{self.folder}/data/{name}"
         dealt = rows.withColumn("_bucket", bucket_of("url", buckets)).repartition(max(len(touched), 1), "_bucket")
         dealt.write.partitionBy("_bucket").parquet(target)
         written = {int(d.rpartition("=")[2]) for d in self.files.names(f"data/{name}") if d.startswith("_bucket=")}
-        if written - touched:
-            raise KeyViolation("a row's url is null" if rows.where("url is null").limit(1).count() else "a row left its bucket")
-        if written:
-            keys = self.spark.read.parquet(*(f"{target}/_bucket={b}" for b in sorted(written))).select("url")
-            twice = keys.groupBy("url").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or url is null").limit(1).collect()
-            if twice:
-                raise KeyViolation(f"the url {twice[0].url!r} comes {twice[0].n} times")
-        return {str(b): f"{name}/_bucket={b}" if b in written else None for b in touched}
-
-    def _publish(self, base: dict, changed: dict[str, str | None], schema: StructType, transaction: tuple[str, int] | None) -> int | None:
+        out: dict[str, tuple[str, list] | None] = dict.fromkeys(map(str, touched))
+        if not written:
+            return out
+        kept = self.spark.read.schema(dealt.schema).parquet(target)
+        dated = {"fechaEpoch", "estado"} <= set(rows.columns)
+        old = F.when((F.col("fechaEpoch") > 0) & (F.col("estado") != "postulada"), F.col("fechaEpoch")) if dated else F.lit(None)
+        by_url = kept.groupBy("_bucket", "url").agg(F.count(F.lit(1)).alias("n"), F.min(old.cast("bigint")).alias("oldest"))
+        worst = F.max(F.struct(F.col("url").isNull().alias("missing"), "n", "url")).alias("worst")
+        for r in by_url.groupBy("_bucket").agg(F.sum("n").alias("rows"), F.min("oldest").alias("oldest"), worst).collect():
+            if r.worst.missing or r.worst.n > 1:
+                raise KeyViolation(f"the url {r.worst.url!r} comes {r.worst.n} times")
+            if r["_bucket"] not in touched:
+                raise KeyViolation("a row left its bucket")
+            out[str(r["_bucket"])] = f"{name}/_bucket={r['_bucket']}", [r.rows, r.oldest]
+        return out
+
+    def _publish(self, base: dict, changed: dict[str, tuple[str, list] | None], schema: StructType, transaction: tuple[str, int] | None) -> int | None:
         """The published version; none if another writer has changed one of the buckets since ``base``."""
         while True:
             last = self.manifest()
@@ -106,8 +116,8 @@ class BucketStore:
                 return None
             if transaction and last["transactions"].get(transaction[0], -1) >= transaction[1]:
                 return last["version"]
-            paths = {b: p for b, p in (last["paths"] | changed).items() if p}
-            new = last | {"version": last["version"] + 1, "buckets": base["buckets"], "paths": paths, "schema": schema.jsonValue(), "at": int(time.time() * 1000)}
+            paths, stats = ({b: x for b, x in (last[of] | {b: c and c[k] for b, c in changed.items()}).items() if x} for k, of in enumerate(("paths", "stats")))
+            new = last | {"version": last["version"] + 1, "buckets": base["buckets"], "paths": paths, "stats": stats, "schema": schema.jsonValue(), "at": int(time.time() * 1000)}
             if transaction:
                 new["transactions"] = last["transactions"] | {transaction[0]: transaction[1]}
             if self.files.publish(f"m-{new['version']:012d}.json", json.dumps(new)):
@@ -159,23 +169,21 @@ class BucketStore:
 
     def restore_discarded(self) -> int:
         """Rewrites the buckets that hold a discarded row."""
-        return self._rewrite("estado = 'descartada'", lambda stored: stored.withColumn("estado", F.when(F.col("estado") == "descartada", "pendiente").otherwise(F.col("estado"))))
+
+        def touched(base: dict) -> set[int]:
+            stored = self._read(base)
+            return set() if stored is None else self._touched(stored.where("estado = 'descartada'"), base["buckets"])
+
+        return self._change(touched, lambda stored: stored.withColumn("estado", F.when(F.col("estado") == "descartada", "pendiente").otherwise(F.col("estado"))))
 
     def purge(self, as_of_ms: int, days: int = 30) -> int:
-        """Rewrites the buckets that hold a row too old."""
+        """Rewrites the buckets that hold a row too old, as the manifest tells; no other bucket is read."""
         limit = as_of_ms - days * 86_400_000
-        return self._rewrite(f"fechaEpoch > 0 and fechaEpoch < {limit} and estado != 'postulada'", lambda stored: purge(stored, as_of_ms, days))
+        return self._change(lambda base: {int(b) for b, (_, oldest) in base["stats"].items() if oldest is not None and oldest < limit}, lambda stored: purge(stored, as_of_ms, days))
 
     def clear(self) -> int:
         return self._change(lambda base: {int(b) for b in base["paths"]}, lambda stored: stored.limit(0))
 
-    def _rewrite(self, condition: str, make: Callable[[DataFrame], DataFrame]) -> int:
-        def touched(base: dict) -> set[int]:
-            stored = self._read(base)
-            return set() if stored is None else self._touched(stored.where(condition), base["buckets"])
-
-        return self._change(touched, make)
-
     def changes(self, since: int, until: int | None = None) -> DataFrame:
         """(url, old, new) of all rows that differ between two versions; reads only buckets that were rewritten."""
         one, two = self.manifest(since), self.manifest(until)

@@ -21,7 +21,7 @@ def test_views_after_every_change(spark, tmp_path):
     assert views.refresh() == -1
     for k in range(10):
         store.merge(batch(spark, rng, rng.choice([0, 1, 8, 25])), order="arrival")
-        for url in rng.sample(range(60), 3):
+        for url in rng.sample(range(60), 1):
             store.set_state(f"u{url:02d}", rng.choice(["descartada", "postulada", "pendiente"]))
         if k == 4:
             store.purge(80 * 86_400_000)
