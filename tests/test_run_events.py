@@ -33,8 +33,8 @@ def test_events_of_a_run(spark, tmp_path):
     assert {e.batch for e in events} == {0, 1}
     want = {}
     for part in (raw(spark).where("item < 4"), more):
-        accepted, rejected = pipeline.refresh(part, AS_OF)
-        want[len(want)] = (accepted.count(), rejected.count(), sorted(r.url for r in accepted.collect()))
+        accepted, rejected = ([r.url for r in rows.select("url").collect()] for rows in pipeline.refresh(part, AS_OF))
+        want[len(want)] = (len(accepted), len(rejected), sorted(accepted))
     got = {}
     for k in (0, 1):
         of = sorted((e for e in events if e.batch == k), key=lambda e: e.seq)
