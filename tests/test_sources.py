@@ -61,3 +61,47 @@ def test_a_script_gives_its_first_posting(spark):
     rows = [("a", ld("zz", "aa")), ("b", ld(" ", "aa") + ld("cc", "bb")), ("c", ld("")), ("d", ld("x") + ld("a"))]
     got = {r.url: r.descripcion for r in hp.detail_texts(spark.createDataFrame(rows, "url string, html string")).collect()}
     assert got == {"a": "zz", "b": "cc", "c": "", "d": "x"}
+
+
+def longest_block(html):
+    """The longest text of a div, section or p, with all that stands in it, by tokens."""
+    import re
+    from html import unescape
+
+    void = set("area base br col embed hr img input link meta source track wbr".split())
+    html = re.sub(r"(?s)<!--.*?-->|<![^>]*>", "", html or "")
+    html = re.sub(r"(?si)<(script|style)\b[^>]*>.*?</\1\s*>", r"<\1></\1>", html)
+    blocks, stack = [], []
+    for m in re.finditer(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)[^>]*>|([^<]+)", html):
+        close, tag, text = m[1], (m[2] or "").lower(), m[3]
+        piece = unescape(text) if text else " "
+        if tag and not close and tag not in void:
+            stack.append((tag, len(blocks) if tag in ("div", "section", "p") else None))
+            if stack[-1][1] is not None:
+                blocks.append([])
+        if text or not close or tag in [t for t, _ in stack]:
+            for _, at in stack:
+                if at is not None:
+                    blocks[at].append(piece)
+        if close and tag in [t for t, _ in stack]:
+            while stack.pop()[0] != tag:
+                pass
+    texts = [" ".join("".join(b).split()) for b in blocks]
+    return max(texts, key=len, default="")[:6000]
+
+
+def test_details_of_every_page(spark):
+    import os
+
+    import pytest
+
+    from tamiz import queries
+
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("needs the data folder")
+    pages = {}
+    for r in spark.read.parquet(f"{folder}/pages.parquet").select("url", "html").collect():
+        pages[r.url] = min((x for x in (pages.get(r.url), r.html) if x is not None), default=None)
+    got = {r.url: r.descripcion for r in queries.QUERIES["detail_texts"](spark, folder).collect()}
+    assert got == {url: longest_block(html) for url, html in pages.items()} and len(got) > 100
