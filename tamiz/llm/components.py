@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamiz.llm.session import forget
+from tamiz.llm.session import forget, settled
 
 
 def _lowest(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -21,10 +21,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """(id, component): for every id of an edge, the smallest id it can reach.
 
     Large-star and small-star steps alternate until the edges are stars around the smallest ids. Each round is written
-    to the checkpoint folder, so that its lineage ends there. Self-loops and repeated edges are harmless; without edges
+    to the checkpoint folder as a table, so that its lineage and its estimated size end there. Self-loops and repeated edges are harmless; without edges
     the result is empty.
     """
-    now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct().checkpoint()
+    now = settled(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct())
     while not _are_stars(now):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         high, first = _lowest(both)
@@ -33,7 +33,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         low, second = _lowest(large)
         small = low.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         small = small.union(low.select("u", F.col("m").alias("v")))
-        before, now = now, small.where("u > v").distinct().checkpoint()
+        before, now = now, settled(small.where("u > v").distinct())
         forget(before, first, second)
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select("v", F.col("v").alias("w")).distinct())
 

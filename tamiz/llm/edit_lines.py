@@ -8,14 +8,17 @@ substrings at those places. Candidates are verified by a banded bit-parallel edi
 
 Equal lines are one line with a count, so copies cost nothing. Keys with the same members count once. The members of a key
 are dealt out in blocks of about ``BLOCK``, each with one leader, and compared within their block; a block returns only edges
-that join two of its parts. Of keys of several blocks that are not one class by then, the members outside the largest class
-are taken to all other blocks. So no link is lost, and a large group of near copies isn't expanded into its pairs.
+that join two of its parts. Of keys of several blocks that are not one class by then, a few members outside the largest class
+(``SPREAD`` blocks of them) are taken to all other blocks. If there are more, the key is split: what two linked members share is
+cut out of both, what is left of them is again within the threshold, and so shares one of threshold-plus-one segments of itself. Each of
+these is a key of fewer members, and is treated alike, until what is left is shorter than its segments. So no link is
+lost, a large group of near copies isn't expanded into its pairs, and lines that merely begin alike aren't either.
 
 Defined results: null text has no lines and gives an empty text; lines of fewer than ``min_bytes`` bytes are
 linked only to equal ones, and blank ones of them stay; documents without removed lines keep their text as it is. Rows are
 known by doc_id and a hash of their text: rows that repeat both share their fate line by line, rows that repeat a doc_id with
 another text are documents of their own; rows with null doc_id are returned unchanged;
-other columns are not read. Equal lines are known by 126 bits of hashes, linked ones by 64.
+other columns are not read. Lines are known by 126 bits of hashes, and by a number of their own while links are sought.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamiz.llm.components import connected_components
-from tamiz.llm.session import forget, fresh
+from tamiz.llm.session import forget, fresh, settled
 from tamiz.llm.textscan import SPACE, Scan, chunks, mix, powers
 
 THRESHOLD = 2
@@ -36,11 +39,15 @@ THRESHOLD = 2
 MIN_BYTES = 15
 #: Members of one key that one task compares with each other at a time.
 BLOCK = 512
+#: Up to so many blocks of members outside the largest class go to all blocks of their key; keys with more are split.
+SPREAD = 2
 PROBE = 1 << 62
 #: Up to so many shared keys (8 bytes each) are broadcast; more meet their entries in a second shuffle.
 BROADCAST_KEYS = 1_000_000
 #: Up to so many lines to be fetched (16 bytes each, by document) are broadcast; more are joined by shuffle.
 BROADCAST_LINES = 500_000
+#: Bytes of rests that a task splits at a time.
+SPLIT_CHUNK = 1 << 20
 _U = np.uint64
 _ID_BITS = _U((1 << 62) - 1)
 
@@ -84,11 +91,8 @@ def _line_batches(min_bytes: int):
     return cut
 
 
-def keys(s: Scan, start: np.ndarray, end: np.ndarray, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-    """(line indices, keys, whether they are index entries) for every segment, length and place.
-
-    A probe that equals the line's own index entry is left out: two different entries of a key are two lines.
-    """
+def places(start: np.ndarray, end: np.ndarray, threshold: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, int]]:
+    """(length that is asked for less the own, segment number, line indices, begin, width, shift) of every segment at every place, a line's own one first."""
     size, parts = end - start, threshold + 1
     for less in range(threshold + 1):
         other = size - less  # the length whose index is probed
@@ -96,18 +100,66 @@ def keys(s: Scan, start: np.ndarray, end: np.ndarray, threshold: int) -> Iterato
             short, longer = other // parts, parts - other % parts  # segments from `longer` on are one byte longer
             at = k * short + np.maximum(k - longer, 0)
             width = short + (k >= longer)
-            index = np.zeros(len(size), _U)
             for shift in sorted(range(max(-k, less - (threshold - k)), min(k, less + (threshold - k)) + 1), key=abs):
-                own = less == 0 and shift == 0
                 ok = np.flatnonzero((width > 0) & (at + shift >= 0) & (at + shift + width <= size))
-                begin = start[ok] + at[ok] + shift
-                key = mix(s.span_hash(begin, begin + width[ok]) + other[ok].astype(_U) * _U(0x9E3779B97F4A7C55) + _U(k))
-                if own:
-                    index[ok] = key
-                elif less == 0:
-                    new = key != index[ok]
-                    ok, key = ok[new], key[new]
-                yield ok, key, own
+                yield less, k, ok, start[ok] + at[ok] + shift, width[ok], shift
+
+
+def _key(s: Scan, begin: np.ndarray, width: np.ndarray, length: np.ndarray, k: int) -> np.ndarray:
+    return mix(s.span_hash(begin, begin + width) + length.astype(_U) * _U(0x9E3779B97F4A7C55) + _U(k))
+
+
+def keys(s: Scan, start: np.ndarray, end: np.ndarray, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """(line indices, keys, whether they are index entries) for every segment, length and place.
+
+    A probe that equals the line's own index entry is left out: two different entries of a key are two lines.
+    """
+    size = end - start
+    for less, k, ok, begin, width, shift in places(start, end, threshold):
+        own = less == 0 and shift == 0
+        key = _key(s, begin, width, size[ok] - less, k)
+        if own:
+            index = np.zeros(len(size), _U)
+            index[ok] = key
+        elif less == 0:
+            new = key != index[ok]
+            ok, key = ok[new], key[new]
+        yield ok, key, own
+
+
+def _split_batches(threshold: int):
+    """Of rows (key, node, rest): (parent, key, node, own, rest) for every segment of what is left of a line, which is cut out of it.
+
+    What is shorter than its segments is many goes under one key without a rest: such keys aren't split again.
+    """
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parent, node, rests = (c.to_pylist() for c in batch.columns)
+            salt = mix(batch.column(0).to_numpy().view(_U))
+            for i, j, raw, off in chunks(batch.column(2), SPLIT_CHUNK):
+                s, size = Scan(raw, off), np.diff(off)
+                found: set[tuple] = set()
+
+                def rows() -> pa.RecordBatch:
+                    at, key, own, rest = zip(*found) if found else ((), (), (), ())
+                    cols = [pa.array([parent[r] for r in at], pa.int64()), pa.array(np.array(key, _U).view(np.int64)), pa.array([node[r] for r in at], pa.int64()), pa.array(own, pa.bool_()), pa.array(rest, pa.binary())]
+                    return pa.RecordBatch.from_arrays(cols, names=["parent", "key", "node", "own", "rest"])
+
+                for less, k, ok, begin, width, shift in places(off[:-1], off[1:], threshold):
+                    key = mix(_key(s, begin, width, size[ok] - less, k) ^ salt[i:j][ok])
+                    for r, h, b, w in zip((ok + i).tolist(), key.tolist(), (begin - off[ok]).tolist(), width.tolist()):
+                        found.add((r, h, less == 0 and shift == 0, rests[r][:b] + rests[r][b + w :]))
+                    if len(found) * max(1, len(raw) // max(1, j - i)) > SPLIT_CHUNK:
+                        yield rows()
+                        found.clear()
+                for less in range(threshold + 1):
+                    few = np.flatnonzero((size >= less) & (size - less <= threshold))
+                    key = mix(mix((size[few] - less + threshold + 2).astype(_U)) ^ salt[i:j][few])
+                    found.update((r, h, less == 0, None) for r, h in zip((few + i).tolist(), key.tolist()))
+                yield rows()
+
+    return split
 
 
 def _key_batches(threshold: int, min_bytes: int):
@@ -240,16 +292,16 @@ def _block_batches(threshold: int):
 
 
 def _wanted_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(line, check, bytes) of the lines asked for of each text."""
+    """(line, node, bytes) of the lines asked for of each text."""
     for batch in batches:
-        lines, checks, parts = [], [], []
+        lines, nodes, parts = [], [], []
         for text, wanted in zip(batch.column(0), batch.column(1).to_pylist()):
             own = text.as_py().encode().split(b"\n")
             for w in wanted:
                 lines.append(w["line"])
-                checks.append(w["check"])
+                nodes.append(w["node"])
                 parts.append(own[w["number"]])
-        yield pa.RecordBatch.from_arrays([pa.array(lines, pa.int64()), pa.array(checks, pa.int64()), pa.array(parts, pa.binary())], names=["line", "node", "part"])
+        yield pa.RecordBatch.from_arrays([pa.array(lines, pa.int64()), pa.array(nodes, pa.int64()), pa.array(parts, pa.binary())], names=["line", "node", "part"])
 
 
 def _broadcast_if_few(rows: DataFrame, most: int) -> DataFrame:
@@ -280,33 +332,104 @@ def _components(docs: DataFrame, known: DataFrame, threshold: int, min_bytes: in
     members = found.join(sets, "key").checkpoint()
     forget(shared, found, sets)
 
-    wanted = members.select("line").distinct().join(known.select("line", "check", "first"), "line").groupBy(F.col("first.doc_id").alias("_id"), F.col("first.th").alias("_th"))
-    wanted = wanted.agg(F.collect_list(F.struct("line", "check", F.col("first.number").alias("number"))).alias("wanted")).checkpoint()
+    # A line's number is fixed once it's written.
+    numbered = members.select("line").distinct().join(known.select("line", "check", "first"), "line").withColumn("node", F.monotonically_increasing_id()).checkpoint()
+    wanted = numbered.groupBy(F.col("first.doc_id").alias("_id"), F.col("first.th").alias("_th"))
+    wanted = wanted.agg(F.collect_list(F.struct("line", "node", F.col("first.number").alias("number"))).alias("wanted")).checkpoint()
     few = (wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0) <= BROADCAST_LINES
     # Repeated rows give the same line twice, which a block bears.
     asked = docs.join(F.broadcast(wanted) if few else wanted, _same_row(docs, wanted))
     texts = asked.select("text", "wanted").mapInArrow(_wanted_batches, "line long, node long, part binary").checkpoint()
 
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    everywhere, own = F.sequence(F.lit(0), blocks - 1), F.array(F.pmod(F.xxhash64("line", F.lit(2)), blocks).cast("int"))
     rows = members.join(texts, "line")
-    own_blocks = F.explode(F.when(F.col("line") == F.col("leader"), everywhere).otherwise(own)).alias("block")
-    links = _near_links(rows.select("key", own_blocks, "node", F.col("node").alias("comp"), F.lit(True).alias("probe"), "part"), threshold).checkpoint()
+    dealt = rows.select("key", _own_blocks("line"), "node", F.col("node").alias("comp"), F.lit(True).alias("probe"), "part")
+    links = _near_links(dealt, threshold).checkpoint()
     labels = connected_components(links).checkpoint()
 
     wide = members.where(F.col("n") > BLOCK)
     if not wide.isEmpty():
-        wide = wide.join(texts.select("line", "node"), "line").join(labels, F.col("node") == F.col("id"), "left").withColumn("comp", F.coalesce("component", "node"))
-        largest = wide.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max(F.struct("m", "comp")).alias("most"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
-        wide = wide.join(largest.select("key", F.col("most.comp").alias("main")).checkpoint(), "key").withColumn("probe", F.col("comp") != F.col("main"))
-        wide = wide.select("key", F.explode(F.when(F.col("probe"), everywhere).otherwise(own)).alias("block"), "line", "node", "comp", "probe")
-        more = _near_links(wide.join(texts.select("node", "part").dropDuplicates(["node"]), "node"), threshold)
-        labels = connected_components(links.union(more)).checkpoint()
-    near = texts.select("line", "node").distinct().join(labels, F.col("node") == F.col("id")).select(F.col("line").alias("_line"), F.col("node").alias("_check"), "component").checkpoint()
-    forget(members, wanted, texts, links, labels)
+        once = texts.select("node", "part").dropDuplicates(["node"])
+        wide = wide.join(numbered.select("line", "node"), "line").select("key", "n", "node")
+        links, labels = _wide_links(wide, once, links, labels, threshold)
+    near = numbered.join(labels, F.col("node") == F.col("id")).select(F.col("line").alias("_line"), F.col("check").alias("_check"), "component").checkpoint()
+    forget(members, numbered, wanted, texts, links, labels)
     return near
 
 
+def _blocks() -> F.Column:
+    return F.ceil(F.col("n") / BLOCK).cast("int")
+
+
+def _everywhere() -> F.Column:
+    return F.sequence(F.lit(0), _blocks() - 1)
+
+
+def _own_blocks(name: str) -> F.Column:
+    """The block of a member; the leader's are all."""
+    own = F.array(F.pmod(F.xxhash64(name, F.lit(2)), _blocks()).cast("int"))
+    return F.explode(F.when(F.col(name) == F.col("leader"), _everywhere()).otherwise(own)).alias("block")
+
+
+def _wide_links(wide: DataFrame, once: DataFrame, links: DataFrame, labels: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """The links and classes with those that keys of several blocks lack; ``wide``: (key, n, node), ``once``: (node, part).
+
+    Each round judges the keys that are not one class yet, and splits those with many members outside their largest one.
+    A round's keys hold what is left of its members without the segments that they share, so that there are about as many
+    rounds as a line can be cut to two thirds.
+    """
+    rests = None
+    while True:
+        classed = wide.join(labels, F.col("node") == F.col("id"), "left").select("key", "n", "node", F.coalesce("component", "node").alias("comp")).checkpoint()
+        size = classed.groupBy("key", "n", "comp").agg(F.count(F.lit(1)).alias("m"))
+        size = size.groupBy("key", "n").agg(F.max(F.struct("m", "comp")).alias("most"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
+        largest = size.select("key", F.col("most.comp").alias("main"), (F.col("n") - F.col("most.m") > SPREAD * BLOCK).alias("many"))
+        if rests is not None:
+            largest = largest.join(rests.where("rest is null").select("key").distinct().withColumn("last", F.lit(True)), "key", "left")
+            largest = largest.select("key", "main", (F.col("many") & F.col("last").isNull()).alias("many"))
+        largest = largest.checkpoint()
+
+        spread = classed.join(largest.where("not many"), "key").withColumn("probe", F.col("comp") != F.col("main"))
+        own = F.array(F.pmod(F.xxhash64("node", F.lit(3)), _blocks()).cast("int"))
+        spread = spread.select("key", F.explode(F.when(F.col("probe"), _everywhere()).otherwise(own)).alias("block"), "node", "comp", "probe")
+        found = _near_links(spread.join(once, "node"), threshold)
+        many = largest.where("many").select("key")
+        if many.isEmpty():
+            links = settled(links.union(found))
+            return links, connected_components(links).checkpoint()
+
+        if rests is None:  # the keys of whole lines, of which those with all members are wanted
+            whole = classed.join(many, "key").join(once, "node").select("key", "node", F.col("part").alias("rest"))
+            cut, groups = _split(whole, threshold)
+            groups = groups.join(classed.select(F.col("key").alias("parent"), F.col("n").alias("n_parent")).distinct(), "parent").where("n >= n_parent")
+        else:
+            cut, groups = _split(rests.join(many, "key"), threshold)
+            alike = groups.groupBy("n", "leader", "x", "y").agg(F.min("key").alias("key")).select("key", "n", "leader")
+            dealt = cut.select("key", "node").distinct().join(alike, "key").select("key", _own_blocks("node"), "node", F.col("node").alias("comp"), F.lit(True).alias("probe"))
+            found = found.union(_near_links(dealt.join(once, "node"), threshold))
+        links = settled(links.union(found))
+        labels = connected_components(links).checkpoint()
+        # Keys whose members have the same rests would be split alike.
+        hot = groups.where(F.col("n") > BLOCK).groupBy("n", "leader", "x", "y", "r").agg(F.min("key").alias("key")).select("key", "n").checkpoint()
+        rests = settled(cut.join(hot, "key").select("key", "n", "node", "rest"))
+        wide = rests.select("key", "n", "node").distinct()
+        rests = rests.drop("n")
+
+
+def _split(rests: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """(key, node, rest) cut further, and (parent, key, n, leader and hashes of its members and rests) of the keys that can hold links."""
+    cut = rests.select("key", "node", "rest").mapInArrow(_split_batches(threshold), "parent long, key long, node long, own boolean, rest binary").distinct().checkpoint()
+    members = cut.groupBy("parent", "key", "node").agg(F.max("own").alias("own"), F.bit_xor(F.xxhash64("rest", "own")).alias("r"))
+    groups = members.groupBy("parent", "key").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.max("own").alias("own"),
+        F.min("node").alias("leader"),
+        F.bit_xor(F.xxhash64("node")).alias("x"),
+        F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"),
+        F.bit_xor(F.xxhash64("node", "r")).alias("r"),
+    )
+    return cut.select("key", "node", "rest"), groups.where("own and n > 1").checkpoint()
+
+
 def line_classes(docs: DataFrame, threshold: int = THRESHOLD, min_bytes: int = MIN_BYTES) -> tuple[DataFrame, DataFrame]:
     """Of (doc_id, th, text): every compared line (doc_id, th, number, line, check), and (line, check, copies, near, class_first) of those that repeat or have links.
 
@@ -318,8 +441,9 @@ def line_classes(docs: DataFrame, threshold: int = THRESHOLD, min_bytes: int = M
     near = _components(docs, known, threshold, min_bytes)
     classed = known.join(near, (F.col("line") == F.col("_line")) & (F.col("check") == F.col("_check")), "left").where("copies > 1 or component is not null")
     first = classed.where("component is not null").groupBy("component").agg(F.min("first").alias("class_first"))
-    classed = classed.join(first, "component", "left")
-    return lines, classed.select("line", "check", "copies", F.col("component").isNotNull().alias("near"), F.coalesce("class_first", "first").alias("class_first"))
+    classed = classed.join(first, "component", "left").select("line", "check", "copies", F.col("component").isNotNull().alias("near"), F.coalesce("class_first", "first").alias("class_first"))
+    # Written first: then the join with all lines is of two plain shuffles, and Spark can split a line that very many rows hold.
+    return lines, settled(classed)
 
 
 def _rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -81,6 +81,47 @@ def test_one_large_group_of_variants_is_split(spark, monkeypatch):
     assert got == brute(docs, 2, 12)
 
 
+def unlike_after_a_head(n, seed=3):
+    """Lines of one length and head that differ otherwise; a few are near."""
+    rng = random.Random(seed)
+    docs = [(i, "Posted in category: " + "".join(rng.choice("abcdefghij") for _ in range(rng.choice([4, 9, 9, 9])))) for i in range(n)]
+    return docs + [(n + i, edited(rng, docs[i][1], 2)) for i in range(0, n, 7)]
+
+
+def test_keys_whose_members_are_unlike_are_split(spark, monkeypatch):
+    import tamiz.llm.edit_lines as module
+
+    monkeypatch.setattr(module, "BLOCK", 8)
+    monkeypatch.setattr(module, "SPREAD", 1)
+    rng = random.Random(12)
+    docs = unlike_after_a_head(60)
+    docs += [(1000 + i, "ab" * 9 + "".join(rng.choice("abab-") for _ in range(8))) for i in range(40)]  # segments that repeat at other places
+    docs += [(2000 + i, "=" * rng.randint(15, 19) + rng.choice(["", "x", "yy", "zz x"])) for i in range(30)]
+    got = {r.doc_id: r.text for r in dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), 2, 15).collect()}
+    assert got == brute(docs, 2, 15)
+
+
+def test_rows_of_unlike_lines_grow_with_the_lines(spark, monkeypatch):
+    import tamiz.llm.edit_lines as module
+
+    monkeypatch.setattr(module, "BLOCK", 16)
+    plain, dealt = module._near_links, []
+
+    def counted(rows, threshold):
+        dealt.append(rows.count())
+        return plain(rows, threshold)
+
+    monkeypatch.setattr(module, "_near_links", counted)
+    rows = []
+    for n in (200, 400):
+        dealt.clear()
+        rng = random.Random(n)
+        docs = [(i, "All of these lines begin alike: " + "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(24))) for i in range(n)]
+        assert dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).where("n_removed > 0").count() == 0
+        rows.append(sum(dealt))
+    assert rows[1] < 2.6 * rows[0], rows
+
+
 def test_lines_that_probe_their_own_segment(spark):
     # Pairs, each of its own length, that share only the run of dots; which line has the smaller hash differs.
     docs = []
