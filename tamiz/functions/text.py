@@ -36,6 +36,14 @@ def contains_any(c: Column, words: tuple[str, ...]) -> Column:
     return c.rlike("|".join(map(re.escape, words)))
 
 
+def holds_any(c: Column, words: tuple[str, ...]) -> Column:
+    """As ``contains_any``, by a byte search for each word, which is far cheaper on long texts; ``c`` is computed for each word, so it is to be bound."""
+    hit = F.contains(c, F.lit(words[0]))
+    for w in words[1:]:
+        hit = hit | F.contains(c, F.lit(w))
+    return hit
+
+
 def matches_any(c: Column, patterns: tuple[str, ...]) -> Column:
     return c.rlike("|".join(f"(?:{p})" for p in patterns))
 

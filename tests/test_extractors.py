@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tamiz.functions import dates, text
 from tamiz.operators import experience, extract, geo, requirements
+from tamiz.operators.match import match
 
 AS_OF = "2026-07-20 12:00:00"
 
@@ -128,3 +129,12 @@ def test_stems_are_found_with_and_without_the_automaton(monkeypatch):
     with_it = requirements.candidates(joined, ends)
     monkeypatch.setattr(requirements, "_automaton", lambda: None)
     assert requirements.candidates(joined, ends) == with_it and with_it[1] == [] and len(with_it[0]) >= 2
+
+
+def test_match_computes_its_text_once(spark):
+    """Every rule reads the text; each reference to it used to normalise it anew."""
+    offer = {k: F.lit(None).cast("string") for k in ("seniority", "kind", "mode", "english_level", "zone", "shift")} | {"months": F.lit(12), "industrial_only": F.lit(True), "camp": F.lit(False)}
+    rows = spark.createDataFrame([("LAICOS OIRARELAS LQS Y IB REWOP",)], "t string").select(match(F.lower(F.reverse("t")), offer).alias("m"))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("reverse(") == 1
+    found = rows.first()["m"]
+    assert (found.score, found.reasons) == (10 + 7 + 10 + 2 + 4, ["Power BI", "SQL", "Pide ≤ 2 años", "Exclusiva Ing. Industrial"])
