@@ -87,7 +87,9 @@ def gate(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("texto", norm(F.concat(text("puesto"), F.lit(" "), F.col("descripcion"))))
     rows = rows.withColumn("exp", experience.experience(F.col("texto")))
     reason = gate_reason(extract.names_career(F.col("texto")), F.col("exp.months_min"), F.col("exp.evidence"), F.col("seniority"))
-    return rows.withColumn("motivo", reason)
+    # Through the generator no filter on the motivo goes down, which would read every text again to test it.
+    known = F.struct(F.col("descripcion").alias("descripcion"), F.col("texto").alias("texto"), F.col("exp").alias("exp"), reason.alias("motivo"))
+    return rows.select(*[c for c in rows.columns if c not in ("descripcion", "texto", "exp", "motivo")], F.inline(F.array(known)))
 
 
 def enrich(rows: DataFrame, as_of: str) -> DataFrame:
@@ -139,4 +141,5 @@ def refresh(raw: DataFrame, as_of: str, cached: DataFrame | None = None, details
 
 
 def ranked(accepted: DataFrame) -> DataFrame:
-    return accepted.orderBy(F.desc("matchScore"), "url")
+    """Best first. A sort over all rows samples what it sorts; dealt out before it, the rows are sampled from the shuffle and not derived twice."""
+    return accepted.repartition("url").orderBy(F.desc("matchScore"), "url")

@@ -116,3 +116,18 @@ def test_csv_export(spark, tmp_path):
     assert [len(r) for r in rows] == [27, 27, 27]
     by_name = [dict(zip(rows[0], r)) for r in rows[1:]]
     assert [(r["Puesto"], r["Campamento"], r["Jornada"], r["Zona"]) for r in by_name] == [("Analista de Logística", "NO", "NO_DETERMINADO", "Lima Metropolitana"), ('a "b"', "SI", "ATIPICO", "Lima Metropolitana")]
+
+
+def test_texts_are_read_once_for_the_gate(spark):
+    """A filter on the motivo that went down through the projections read each text anew for every part of it."""
+    accepted, rejected = pipeline.refresh(raw(spark), AS_OF)
+    for rows, gates in ((accepted.select("url"), 1), (rejected.select("url"), 1)):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("<[^>]*>") == gates and plan.count("en adelante)?") <= 6
+
+
+def test_sorted_rows_are_not_derived_twice(spark):
+    """The sort samples its input; a shuffle below it keeps what was derived."""
+    ranked = pipeline.ranked(pipeline.refresh(raw(spark), AS_OF)[0])
+    assert "RepartitionByExpression" in ranked._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.url for r in ranked.collect()] == ["http://j/1?a"]
