@@ -10,17 +10,18 @@ The URL is the key: never null, never twice. What is written is checked before i
 
 from __future__ import annotations
 
+import functools
 import json
 import time
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tamiz.plans.shared import Files
-from tamiz.plans.store import STATES, keep_state, last_of_each, purge, upsert
+from tamiz.plans.store import STATES, last_of_each, purge, restore_discarded
 
 
 class KeyViolation(ValueError):
@@ -35,6 +36,35 @@ def bucket_of(url: Column | str, buckets: int) -> Column:
     return F.pmod(F.xxhash64(url), F.lit(buckets)).cast("int")
 
 
+def dealt_out(rows: DataFrame, buckets: int, touched: set[int]) -> DataFrame:
+    return rows.withColumn("_bucket", bucket_of("url", buckets)).repartition(max(len(touched), 1), "_bucket")
+
+
+def upsert_dealt(stored: DataFrame, incoming: DataFrame, deal: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``keep_state`` and ``upsert`` in one shuffle: old and new rows are dealt out to their buckets and meet there.
+
+    Rows of a URL that comes in go before the stored one and take its state. A URL that comes in twice stays so.
+    """
+    new = incoming.drop("nuevo", "estado").withColumns({"nuevo": F.lit(True), "estado": F.lit("pendiente")}).select(*stored.columns)
+    both = deal(new.withColumn("_new", F.lit(True)).unionByName(stored.withColumn("_new", F.lit(False))))
+    of_url = Window.partitionBy("_bucket", "url")
+    both = both.withColumns({"_comes": F.max("_new").over(of_url), "_stays": F.min("_new").over(of_url), "_state": F.max(F.when(~F.col("_new"), F.col("estado"))).over(of_url)})
+    rows = both.where(F.col("_new") == F.col("_comes"))
+    rows = rows.withColumns({"nuevo": F.when(F.col("_new"), F.col("_stays")).otherwise(F.col("nuevo")), "estado": F.when(F.col("_new"), F.coalesce("_state", "estado")).otherwise(F.col("estado"))})
+    return rows.drop("_new", "_comes", "_stays", "_state")
+
+
+#: Bytes of a text beyond which its digest stands for it where rows are compared.
+COMPARED_BYTES = 64
+
+
+def _compared(c: str, kind: str) -> Column:
+    """What tells a value from others: of a long text its length and SHA-256."""
+    if kind != "string":
+        return F.col(c)
+    return F.struct(F.octet_length(c).alias("n"), F.when(F.octet_length(c) > COMPARED_BYTES, F.sha2(c, 256)).otherwise(F.col(c)).alias("text")).alias(c)
+
+
 class BucketStore:
     """Versions of a table keyed by ``url`` under one folder. ``buckets`` holds for a new store and is kept from then on; about a gigabyte a bucket is a good size."""
 
@@ -86,10 +116,10 @@ class BucketStore:
         return {r[0] for r in rows.select(bucket_of("url", buckets)).distinct().collect()}
 
     def _write(self, rows: DataFrame, buckets: int, touched: set[int]) -> dict[str, tuple[str, list] | None]:
-        """The touched buckets' new folders and stats; a bucket without rows has none. One pass over the keys checks them and sums up."""
+        """The touched buckets' new folders and stats, a bucket without rows has none. One pass over the keys checks them and sums up. Rows that aren't dealt out to their buckets yet are so here."""
         name = uuid.uuid4().hex
         target = f"{self.folder}/data/{name}"
-        dealt = rows.withColumn("_bucket", bucket_of("url", buckets)).repartition(max(len(touched), 1), "_bucket")
+        dealt = rows if "_bucket" in rows.columns else dealt_out(rows, buckets, touched)
         dealt.write.partitionBy("_bucket").parquet(target)
         written = {int(d.rpartition("=")[2]) for d in self.files.names(f"data/{name}") if d.startswith("_bucket=")}
         out: dict[str, tuple[str, list] | None] = dict.fromkeys(map(str, touched))
@@ -123,8 +153,8 @@ class BucketStore:
             if self.files.publish(f"m-{new['version']:012d}.json", json.dumps(new)):
                 return new["version"]
 
-    def _change(self, touched: Callable[[dict], set[int]], make: Callable[[DataFrame | None], DataFrame], transaction: tuple[str, int] | None = None, create: bool = False) -> int:
-        """Replaces the touched buckets by what ``make`` makes of them; anew if another writer was faster."""
+    def _change(self, touched: Callable[[dict], set[int]], make: Callable[[DataFrame | None, Callable[[DataFrame], DataFrame]], DataFrame], transaction: tuple[str, int] | None = None, create: bool = False) -> int:
+        """Replaces the touched buckets by what ``make`` makes of them, given what deals rows out to their buckets; anew if another writer was faster."""
         for _ in range(self.attempts):
             base = self.manifest()
             if transaction and base["transactions"].get(transaction[0], -1) >= transaction[1]:
@@ -132,8 +162,8 @@ class BucketStore:
             of = touched(base)
             if not of and not (create and base["schema"] is None):
                 return base["version"]
-            rows = make(self._read(base, of))
-            version = self._publish(base, self._write(rows, base["buckets"], of), rows.schema, transaction)
+            rows = make(self._read(base, of), functools.partial(dealt_out, buckets=base["buckets"], touched=of))
+            version = self._publish(base, self._write(rows, base["buckets"], of), rows.drop("_bucket").schema, transaction)
             if version is not None:
                 return version
         raise Conflict(f"given up after {self.attempts} attempts")
@@ -150,10 +180,10 @@ class BucketStore:
         incoming.write.parquet(f"{self.folder}/{staged}")
         rows = self.spark.read.parquet(f"{self.folder}/{staged}")
 
-        def make(stored: DataFrame | None) -> DataFrame:
+        def make(stored: DataFrame | None, deal: Callable[[DataFrame], DataFrame]) -> DataFrame:
             if stored is None:
                 return rows.drop("nuevo", "estado").withColumns({"nuevo": F.lit(True), "estado": F.lit("pendiente")})
-            return upsert(stored, keep_state(rows, stored).select(*stored.columns))
+            return upsert_dealt(stored, rows, deal)
 
         try:
             return self._change(lambda base: self._touched(rows, base["buckets"]), make, transaction, create=True)
@@ -165,7 +195,7 @@ class BucketStore:
         if state not in STATES:
             raise ValueError(f"unknown state {state}")
         one = self.spark.range(1).select(F.lit(url).alias("url"))
-        return self._change(lambda base: self._touched(one, base["buckets"]) if base["schema"] else set(), lambda stored: stored.withColumn("estado", F.when(F.col("url") == url, state).otherwise(F.col("estado"))))
+        return self._change(lambda base: self._touched(one, base["buckets"]) if base["schema"] else set(), lambda stored, _: stored.withColumn("estado", F.when(F.col("url") == url, state).otherwise(F.col("estado"))))
 
     def restore_discarded(self) -> int:
         """Rewrites the buckets that hold a discarded row."""
@@ -174,26 +204,34 @@ class BucketStore:
             stored = self._read(base)
             return set() if stored is None else self._touched(stored.where("estado = 'descartada'"), base["buckets"])
 
-        return self._change(touched, lambda stored: stored.withColumn("estado", F.when(F.col("estado") == "descartada", "pendiente").otherwise(F.col("estado"))))
+        return self._change(touched, lambda stored, _: restore_discarded(stored))
 
     def purge(self, as_of_ms: int, days: int = 30) -> int:
         """Rewrites the buckets that hold a row too old, as the manifest tells; no other bucket is read."""
         limit = as_of_ms - days * 86_400_000
-        return self._change(lambda base: {int(b) for b, (_, oldest) in base["stats"].items() if oldest is not None and oldest < limit}, lambda stored: purge(stored, as_of_ms, days))
+        return self._change(lambda base: {int(b) for b, (_, oldest) in base["stats"].items() if oldest is not None and oldest < limit}, lambda stored, _: purge(stored, as_of_ms, days))
 
     def clear(self) -> int:
-        return self._change(lambda base: {int(b) for b in base["paths"]}, lambda stored: stored.limit(0))
+        return self._change(lambda base: {int(b) for b in base["paths"]}, lambda stored, _: stored.limit(0))
+
+    def changes(self, since: int, until: int | None = None, columns: list[str] | None = None) -> DataFrame:
+        """(url, old, new) of all rows that differ between two versions; reads only buckets that were rewritten.
 
-    def changes(self, since: int, until: int | None = None) -> DataFrame:
-        """(url, old, new) of all rows that differ between two versions; reads only buckets that were rewritten."""
+        With ``columns`` only those are read and compared. Long texts are compared by digest, so that none is shuffled that isn't asked for.
+        """
         one, two = self.manifest(since), self.manifest(until)
         changed = {int(b) for b in one["paths"].keys() | two["paths"].keys() if one["paths"].get(b) != two["paths"].get(b)}
         new = self._read(two, changed)
         old = self._read(one, changed)
         old = new.limit(0) if old is None else old
-        whole = lambda rows, name: rows.select("url", F.struct(*rows.columns).alias(name))
-        both = whole(old, "old").join(whole(new.select(*old.columns), "new"), "url", "full")
-        return both.where(~F.col("old").eqNullSafe(F.col("new")))
+        names = old.columns if columns is None else [c for c in old.columns if c == "url" or c in columns]
+
+        def whole(rows: DataFrame, name: str) -> DataFrame:
+            rows = rows.select(*names)
+            return rows.select("url", F.struct(*names).alias(name), F.struct(*(_compared(c, t) for c, t in rows.dtypes)).alias(f"_{name}"))
+
+        both = whole(old, "old").join(whole(new, "new"), "url", "full")
+        return both.where(~F.col("_old").eqNullSafe(F.col("_new"))).select("url", "old", "new")
 
     def vacuum(self, keep_ms: int, now_ms: int | None = None) -> list[str]:
         """Removes versions published longer ago than ``keep_ms``, but for the last, and files as old that no other version names. Returns what it removed."""

@@ -20,6 +20,10 @@ from tamiz.plans.shared import Files
 from tamiz.plans.views import with_tab
 
 
+#: The columns that the views depend on; no text of a posting is among them.
+SHOWN = ("url", "portal", "zona", "estado", "regimenTrabajo", "trabajoEnCampamento", "matchScore")
+
+
 def counted(rows: DataFrame, sign: int) -> DataFrame:
     """(view, key, n): what each row adds to the counts, or takes from them."""
     live = F.col("estado") != "descartada"
@@ -76,7 +80,7 @@ class LiveViews:
             stored = self.store.read(now)
             counts, (best, floor) = counts_of(stored), self._rebuilt(stored)
         else:
-            changes = self.store.changes(last["store"], now)
+            changes = self.store.changes(last["store"], now, list(SHOWN))
             old, new = (changes.where(F.col(x).isNotNull()).select(f"{x}.*") for x in ("old", "new"))
             before = self.spark.read.parquet(f"{self.folder}/{last['name']}/counts")
             counts = summed(before.unionByName(counted(old, -1)).unionByName(counted(new, 1)))

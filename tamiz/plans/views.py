@@ -27,7 +27,8 @@ def facet_filter(rows: DataFrame, zones=(), portals=(), modes=()) -> DataFrame:
 
 
 def with_tab(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("tab", F.when(shift_kind(F.col("regimenTrabajo"), F.col("trabajoEnCampamento"), F.col("descripcion")) == "ATIPICO", "atipico").otherwise("estandar"))
+    # Whether a shift is atypical doesn't depend on the description, which so needn't be read.
+    return rows.withColumn("tab", F.when(shift_kind(F.col("regimenTrabajo"), F.col("trabajoEnCampamento"), F.lit("")) == "ATIPICO", "atipico").otherwise("estandar"))
 
 
 ORDERS = {

@@ -1,5 +1,6 @@
 """The store in buckets: what a batch touches, the key, writers at once, versions."""
 
+import functools
 import random
 import threading
 import time
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tamiz.plans import store as plain
-from tamiz.plans.bucket_store import BucketStore, Conflict, KeyViolation, bucket_of
+from tamiz.plans.bucket_store import BucketStore, Conflict, KeyViolation, bucket_of, dealt_out, upsert_dealt
 
 SCHEMA = "url string, portal string, matchScore int, fechaEpoch long"
 
@@ -157,3 +158,22 @@ def test_changes_between_versions(spark, tmp_path):
     got = {r.url: (r.old and (r.old.matchScore, r.old.estado), r.new and (r.new.matchScore, r.new.estado)) for r in store.changes(0).collect()}
     assert got == {"a": ((1, "pendiente"), None), "b": ((1, "pendiente"), (1, "postulada")), "c": ((1, "pendiente"), None), "d": (None, (3, "pendiente"))}
     assert store.changes(-1).count() == 2 and store.changes(store.version()).count() == 0
+
+
+def test_merge_and_changes_shuffle_no_text_needlessly(spark, tmp_path):
+    """Old and new rows met by URL in two more shuffles before they were dealt out; changes shuffled every text of both versions."""
+    store = BucketStore(spark, str(tmp_path / "s"), buckets=4)
+    text = lambda c: c * 500
+    rows = lambda *r: spark.createDataFrame(r, "url string, descripcion string, matchScore int")
+    store.merge(rows(("a", text("x"), 1), ("b", text("y"), 2), ("c", None, 3)))
+    store.merge(rows(("a", text("x"), 1), ("b", text("z"), 2), ("c", "", 3)))
+    stored = store.read()
+    merged = upsert_dealt(stored, rows(("a", text("w"), 4)), functools.partial(dealt_out, buckets=4, touched={0, 1, 2, 3}))
+    assert merged._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    # Only nuevo differs in a; it does in all rows, so it is left out of the comparison.
+    changes = store.changes(0, columns=["descripcion", "matchScore"])
+    assert {r.url for r in changes.collect()} == {"b", "c"}
+    plan = store.changes(0).select("url", "old.matchScore", "new.matchScore")._jdf.queryExecution().optimizedPlan().toString()
+    above_files = plan[plan.index("Join") :]
+    met = [line for line in above_files.splitlines() if "Project [url" in line]
+    assert len(met) == 2 and all("sha2(" in line and "descripcion, descripcion" not in line for line in met)
