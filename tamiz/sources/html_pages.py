@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DataType, StringType, StructField, StructType
 
 from tamiz.functions.text import nonblank, norm, text
 from tamiz.operators.extract import area
@@ -16,6 +18,7 @@ DETAIL_CHARS, SOFT_BLOCK_CHARS, BLOCKED = 6000, 1500, (403, 429, 999)
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 # Spelled out, since workers import this module without a session that could parse a string.
 _CARD = ArrayType(StructType([StructField(n, ArrayType(StringType()) if n in ("dates", "paragraphs", "texts") else StringType()) for n in "title href id company salary area dates paragraphs texts whole".split()]))
+_ARROW_CARD = pa.list_(pa.struct([(f.name, pa.list_(pa.string()) if isinstance(f.dataType, ArrayType) else pa.string()) for f in _CARD.elementType.fields]))
 #: Where the details of the two portals stand, as (tag or none, class, whether a part of the class suffices).
 LONGEST_OF = (("div", "bWord", False), ("div", "box_detail", False), ("section", "box_detail", False), ("div", "description", True))
 FIRST_OF = (("div", "show-more-less-html__markup", False), ("div", "description__text", False), ("section", "description", False), ("", "decorated-job-posting__details", False))
@@ -177,33 +180,49 @@ class _Blocks(HTMLParser):
         return [" ".join("".join(parts).split()) for parts in self.blocks]
 
 
-def block_parser(marks):
-    """Texts of the marked blocks of a page."""
+#: Pages that are parsed at a time; what is made of a run is handed on before the next one, however many rows an Arrow batch holds.
+RUN = 32
 
-    @F.pandas_udf(ArrayType(StringType()))
-    def parse(bodies: pd.Series) -> pd.Series:
-        out = []
-        for body in bodies:
-            p = _Blocks(marks)
-            p.feed(body or "")
-            out.append(p.texts())
-        return pd.Series(out)
 
-    return parse
+def _with_parsed(pages: DataFrame, body: str, name: str, kind: DataType, arrow: pa.DataType, parse: Callable[[str], object]) -> DataFrame:
+    """``pages`` with what ``parse`` makes of each body, null ones as empty."""
 
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, RUN):
+                part = batch.slice(at, RUN)
+                found = pa.array([parse(x or "") for x in part.column(body).to_pylist()], arrow)
+                yield pa.RecordBatch.from_arrays([*part.columns, found], names=[*part.schema.names, name])
 
-def card_parser(tag: str, css_class: str):
-    @F.pandas_udf(_CARD)
-    def parse(bodies: pd.Series) -> pd.Series:
-        out = []
-        for body in bodies:
-            p = _Cards(tag, css_class)
-            p.feed(body or "")
-            p.close()
-            out.append(p.cards)
-        return pd.Series(out)
+    return pages.mapInArrow(parsed, StructType([*pages.schema, StructField(name, kind)]))
 
-    return parse
+
+def _blocks(body: str, marks) -> list[str]:
+    p = _Blocks(marks)
+    p.feed(body)
+    return p.texts()
+
+
+def with_block(pages: DataFrame, marks, longest: bool) -> DataFrame:
+    """``pages`` with ``_block``: the longest of a page's marked blocks, of equal ones the first, or the first of all; null if there is none."""
+
+    def chosen(body: str) -> str | None:
+        found = _blocks(body, marks)
+        return None if not found else max(found, key=len) if longest else found[0]
+
+    return _with_parsed(pages, "html", "_block", StringType(), pa.string(), chosen)
+
+
+def with_cards(pages: DataFrame, tag: str, css_class: str) -> DataFrame:
+    """``pages`` with the cards of each."""
+
+    def cards(body: str) -> list[dict]:
+        p = _Cards(tag, css_class)
+        p.feed(body)
+        p.close()
+        return p.cards
+
+    return _with_parsed(pages.select("page", "http_status", "body"), "body", "cards", _CARD, _ARROW_CARD, cards)
 
 
 class _Flat(HTMLParser):
@@ -270,13 +289,13 @@ def stated_mode(title: Column, location: Column) -> Column:
 
 def page_statuses(pages: DataFrame, tag: str = "article", css_class: str = "card") -> DataFrame:
     """(page, page_status, n_cards) of every landed page (page, http_status, body), those without cards too."""
-    parsed = pages.withColumn("cards", card_parser(tag, css_class)("body"))
+    parsed = with_cards(pages, tag, css_class)
     return parsed.select("page", page_status(F.col("http_status"), F.col("body"), F.col("cards")).alias("page_status"), F.size("cards").alias("n_cards"))
 
 
 def listing(pages: DataFrame, portal: str, base_url: str, tag: str = "article", css_class: str = "card") -> DataFrame:
     """Cards of landed pages (page, http_status, body), first of each id, in page order. A card without a link takes the one of its id."""
-    parsed = pages.withColumn("cards", card_parser(tag, css_class)("body"))
+    parsed = with_cards(pages, tag, css_class)
     rows = parsed.select("page", page_status(F.col("http_status"), F.col("body"), F.col("cards")).alias("page_status"), F.posexplode("cards").alias("item", "c")).where("page_status = 'Ok'")
     title = F.trim(F.regexp_replace("c.title", "Postulado|Vista", ""))
     site = base_url.rstrip("/")
@@ -331,22 +350,21 @@ def json_ld_postings(pages: DataFrame, html: str = "html") -> DataFrame:
     return _ld_nodes(pages, html).where("trim(descripcion) != ''")
 
 
-def _details(pages: DataFrame, key: str, block: Column) -> DataFrame:
+def _details(pages: DataFrame, key: str, marks, longest: bool) -> DataFrame:
     """A script's first posting counts; if it is blank, the next script's."""
     firsts = _ld_nodes(pages.select(key, "html"), "html").groupBy(key, "script_no").agg(F.min_by("descripcion", "place").alias("descripcion"))
     found = firsts.where("trim(descripcion) != ''").groupBy(key).agg(F.min_by("descripcion", "script_no").alias("_ld"))
-    own = pages.select(key, block.alias("_block"))
+    own = with_block(pages.select(key, "html"), marks, longest).select(key, "_block")
     return own.join(found, key, "left").select(key, F.substring(text(F.coalesce(nonblank(F.col("_ld")), F.col("_block"))), 1, DETAIL_CHARS).alias("descripcion"))
 
 
 def detail_texts(pages: DataFrame, marks=LONGEST_OF) -> DataFrame:
     """(url, descripcion): a page's first JSON-LD description, else the longest of its marked blocks, of equal ones the first; cut to a limit."""
-    longest = F.array_max(F.transform(block_parser(marks)("html"), lambda b, i: F.struct(F.length(b).alias("n"), (-i).alias("i"), b.alias("b"))))["b"]
-    return _details(pages, "url", longest)
+    return _details(pages, "url", marks, longest=True)
 
 
 def details_by_job(pages: DataFrame, marks=FIRST_OF) -> DataFrame:
     """(job_id, descripcion) of (url, html): one page of each id that a link holds; its first JSON-LD description, else its first marked block."""
     by_id = pages.withColumn("job_id", job_id(F.col("url"))).where("job_id is not null and trim(html) != ''")
     one = by_id.groupBy("job_id").agg(F.min_by("html", "url").alias("html"))
-    return _details(one, "job_id", F.get(block_parser(marks)("html"), 0))
+    return _details(one, "job_id", marks, longest=False)

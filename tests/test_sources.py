@@ -1,5 +1,11 @@
 """Landed pages: cards, their fields, page status and details."""
 
+from types import SimpleNamespace
+
+import pyarrow as pa
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
 from tamiz.sources import html_pages as hp
 
 PAGES = "page int, http_status int, body string"
@@ -105,3 +111,16 @@ def test_details_of_every_page(spark):
         pages[r.url] = min((x for x in (pages.get(r.url), r.html) if x is not None), default=None)
     got = {r.url: r.descripcion for r in queries.QUERIES["detail_texts"](spark, folder).collect()}
     assert got == {url: longest_block(html) for url, html in pages.items()} and len(got) > 100
+
+
+def test_parsed_pages_are_handed_on_in_short_runs(spark):
+    """A whole Arrow batch of parsed pages was held at once, up to 10,000 of them."""
+    html = "<div><p>a</p><p>bb</p></div>"
+    pages = spark.range(100).coalesce(1).select(F.col("id").cast("string").alias("url"), F.when(F.col("id") != 7, html).alias("html"))
+    found = hp.with_block(pages, hp.ANY_BLOCK, longest=True)
+    assert [r["_block"] for r in found.collect()] == [None if k == 7 else "a bb" for k in range(100)]
+
+    made = []
+    hp._with_parsed(SimpleNamespace(schema=[], mapInArrow=lambda f, _: made.append(f)), "html", "x", StringType(), pa.string(), str.upper)
+    runs = list(made[0](iter([pa.RecordBatch.from_pydict({"html": ["a"] * 100})])))
+    assert [b.num_rows for b in runs] == [32, 32, 32, 4] and runs[0].column("x").to_pylist() == ["A"] * 32
