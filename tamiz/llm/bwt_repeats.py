@@ -16,6 +16,9 @@ segments matter. (Places that follow each other while the anchor is met again at
    texts of the next level, where longer seeds deal their places out more finely. At the last level a seed is the whole string,
    so that all that meets is equal.
 
+Bits at hashed places (``_sieve``) tell which anchors and documents may matter, so that of segments and texts only these are
+shuffled; joins decide on what passes. The bits are bounded in number: more keys let more pass, results stay the same.
+
 Defined results: null text is empty; texts of fewer than ``length`` bytes lose nothing; matches never cross documents;
 rows that repeat a text are copies of each other, whatever their ids; rows with null doc_id take part
 (rows are known by doc_id and a hash of their text); runs of one byte and other periodic texts repeat themselves
@@ -29,9 +32,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tamiz.llm.session import forget
 from tamiz.llm.textscan import _BYTE_VALUE, SPACE, chunks, mix, powers
 
 LENGTH = 400
@@ -43,6 +48,8 @@ SPLIT_BYTES = 1 << 20
 TEXT_BYTES = 1 << 19
 #: Places that a segment may hold; long periodic texts are cut into segments of so many.
 PIECE = 1 << 12
+#: Bits of a sieve for each key, and at most (16 MB); and those of the blocks that it is gathered in.
+SIEVE_BITS, SIEVE_MOST, SIEVE_BLOCK = 16, 1 << 27, 1 << 16
 _U = np.uint64
 _BIG = _U(0xFFFFFFFFFFFFFFFF)
 
@@ -80,6 +87,41 @@ def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(backward[:n], forward[width - 1 : width - 1 + n])
 
 
+def _block_batches(size: int, block: int):
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots = np.unique(np.concatenate([np.zeros(0, np.int64), *(b.column(0).to_numpy() for b in batches)]) & (size - 1))
+        for own in np.split(slots, np.flatnonzero(np.diff(slots // block)) + 1) if len(slots) else []:
+            bits = np.zeros(block, bool)
+            bits[own % block] = True
+            yield pa.RecordBatch.from_arrays([pa.array(own[:1] // block), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["block", "bits"])
+
+    return gather
+
+
+def _sieve(keys: DataFrame) -> Broadcast:
+    """A table of bits, set at the places of all keys (one column of hashes, already written)."""
+    size = max(SIEVE_BLOCK, min(SIEVE_MOST, 1 << (keys.count() * SIEVE_BITS).bit_length()))
+    dealt = keys.repartition(F.floor(F.pmod(keys[0], F.lit(size)) / SIEVE_BLOCK))
+    table = np.zeros(size // 8, np.uint8)
+    for block, bits in dealt.mapInArrow(_block_batches(size, SIEVE_BLOCK), "block long, bits binary").collect():
+        table[block * SIEVE_BLOCK // 8 :][: SIEVE_BLOCK // 8] |= np.frombuffer(bits, np.uint8)
+    return keys.sparkSession.sparkContext.broadcast(table)
+
+
+def _passes(sieve: Broadcast, keys: np.ndarray) -> np.ndarray:
+    """Which keys may be among those of the sieve; all of its own are."""
+    slot = keys & (8 * len(sieve.value) - 1)
+    return (sieve.value[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
+
+
+def _passing_batches(sieve: Broadcast):
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_passes(sieve, batch.column("key").to_numpy())))
+
+    return sift
+
+
 def segments(raw: np.ndarray, off: np.ndarray, places: np.ndarray, window: int, seed: int, reach: int) -> tuple[np.ndarray, ...]:
     """(document, first place, number of places, anchor, content hash) of every segment of a chunk."""
     count = np.clip(np.diff(off) - window + 1, 0, places)
@@ -117,12 +159,16 @@ def segments(raw: np.ndarray, off: np.ndarray, places: np.ndarray, window: int,
 _SEGMENT = "k1 long, k2 long, start int, n int, anchor long, content long"
 
 
-def _segment_batches(window: int, seed: int, reach: int):
+def _segment_batches(window: int, seed: int, reach: int, sieve: Broadcast | None = None):
+    """Segments whose anchors pass the sieve."""
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            places = batch.column(3).to_numpy()
-            for i, j, raw, off in chunks(batch.column(2)):
+            places = batch.column("places").to_numpy()
+            for i, j, raw, off in chunks(batch.column("body")):
                 doc, start, n, anchor, content = segments(raw, off, places[i:j], window, seed, reach)
+                if sieve is not None:
+                    doc, start, n, anchor, content = (x[_passes(sieve, anchor)] for x in (doc, start, n, anchor, content))
                 doc = pa.array(doc)
                 cols = [batch.column(0)[i:j].take(doc), batch.column(1)[i:j].take(doc), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(anchor), pa.array(content)]
                 yield pa.RecordBatch.from_arrays(cols, names=["k1", "k2", "start", "n", "anchor", "content"])
@@ -301,36 +347,52 @@ def _levels(length: int, passage: int) -> list[tuple[int, int]]:
     return own + [(length, (passage + length) // 2), (length, length)] * (length > passage)
 
 
+def _keys(rows: DataFrame) -> DataFrame:
+    return rows.select(F.xxhash64("_k1", "_k2").alias("key"))
+
+
 def _same(a: DataFrame, b: DataFrame) -> list:
     return [a["k1"].eqNullSafe(b["_k1"]) & (a["k2"] == b["_k2"])]
 
 
-def _marks(texts: DataFrame, levels: list[tuple[int, int]], length: int, passage: int) -> DataFrame:
-    """(k1, k2, start, passages, repeats): runs of places, counted from ``start``, in the texts (k1, k2, body, places)."""
+def _marks(texts: DataFrame, levels: list[tuple[int, int]], length: int, passage: int, written: list[DataFrame], sift: bool = True) -> DataFrame:
+    """(k1, k2, start, passages, repeats): runs of places, counted from ``start``, in the texts (k1, k2, key, body, places).
+
+    ``written`` takes what can be forgotten when the marks are written.
+    """
     (window, seed), *deeper = levels
     found = texts.mapInArrow(_segment_batches(window, seed, length), _SEGMENT)
     # What is small is written before the joins with it, so that Spark can split the key that very many rows share.
     shared = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("anchor").checkpoint()
+    if sift:
+        found = texts.mapInArrow(_segment_batches(window, seed, length, _sieve(shared)), _SEGMENT)
     found = found.join(shared, "anchor", "left_semi").checkpoint()
+    forget(shared)
 
     # Any one place of a content serves: its bytes are the same everywhere.
     one = [F.first(c).alias(c) for c in ("k1", "k2", "start", "n")]
     contents = found.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("copies"), *one).checkpoint()
     kinds = contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.col("n") + length - 1).alias("bytes")).where("kinds > 1")
     kinds = kinds.select("anchor", (F.col("bytes") > SPLIT_BYTES).alias("hot")).checkpoint()
+    written += found, contents, kinds
     asked = contents.join(kinds, "anchor").select("k1", "k2", F.struct("anchor", "content", "n", "hot", "start").alias("segment"))
     asked = asked.groupBy(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).agg(F.collect_list("segment").alias("segments"))
+    if sift:
+        asked = asked.checkpoint()
+        written.append(asked)
+        texts = texts.mapInArrow(_passing_batches(_sieve(_keys(asked))), texts.schema)
     # Repeated rows give the same part twice; as copies they are repeats anyway.
     parts = texts.join(asked, _same(texts, asked)).select("body", "segments").mapInArrow(_cut_batches(length), "anchor long, content long, n int, hot boolean, part binary")
     any_hot = bool(deeper) and not kinds.where("hot").isEmpty()
     if any_hot:
         parts = parts.checkpoint()
+        written.append(parts)
     few = parts.where("not hot").select("anchor", "content", "n", "part").repartition("anchor").sortWithinPartitions("anchor", "content")
     marks = few.mapInArrow(_transform_batches((passage, length)), _MARKS)
     whole = contents.where("copies > 1").select("anchor", "content", "n", F.lit(True).alias("far"))
     if any_hot:
-        hot = parts.where("hot").select(F.col("anchor").alias("k1"), F.col("content").alias("k2"), F.col("part").alias("body"), F.col("n").alias("places"))
-        marks = marks.union(_marks(hot, deeper, length, passage))
+        hot = parts.where("hot").select(F.col("anchor").alias("k1"), F.col("content").alias("k2"), F.xxhash64("anchor", "content").alias("key"), F.col("part").alias("body"), F.col("n").alias("places"))
+        marks = marks.union(_marks(hot, deeper, length, passage, written, sift=False))
         if seed == window == passage < length:
             # All that meets has this passage in common; only how far it goes on differs.
             whole = whole.union(contents.join(kinds.where("hot"), "anchor", "left_semi").select("anchor", "content", "n", F.lit(False)))
@@ -347,9 +409,13 @@ def _covered(marks: list[dict], which: str, size: int, length: int) -> np.ndarra
     return np.cumsum(step[:size]) > 0
 
 
-def _removed(length: int, passage: int, digest: bool):
+def _removed(length: int, passage: int, digest: bool, others: Broadcast | None = None):
+    """Rows without what repeats; those that pass the sieve of ``others`` are left to another task."""
+
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if others is not None:
+                batch = batch.filter(pa.array(~_passes(others, batch.column("key").to_numpy())))
             n_bytes, n_removed, n_spans, n_passages, kept = [], [], [], [], []
             for body, marks in zip(batch.column(1), batch.column(2).to_pylist()):
                 left = raw = body.as_py()
@@ -386,8 +452,15 @@ def remove_repeats(docs: DataFrame, digest: bool = False, length: int = LENGTH,
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     # Rows are known by their id and a hash of their text.
     texts = docs.select(F.col(id_col).cast("long").alias("k1"), F.xxhash64(text).alias("k2"), text.cast("binary").alias("body"), F.lit((1 << 31) - 1).alias("places"))
-    marks = _marks(texts, _levels(length, passage), length, passage)
-    back = marks.groupBy(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).agg(F.collect_list(F.struct("start", "passages", "repeats")).alias("marks"))
-    rows = texts.join(back, _same(texts, back), "left").select(F.col("k1").alias("doc_id"), "body", "marks")
+    texts = texts.select("k1", "k2", F.xxhash64("k1", "k2").alias("key"), "body", "places")
+    written: list[DataFrame] = []
+    marks = _marks(texts, _levels(length, passage), length, passage, written)
+    back = marks.groupBy(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).agg(F.collect_list(F.struct("start", "passages", "repeats")).alias("marks")).checkpoint()
+    forget(*written)
+    marked = _sieve(_keys(back))
+    some = texts.mapInArrow(_passing_batches(marked), texts.schema)
+    rows = [(some.join(back, _same(some, back), "left").select("k1", "body", "marks"), None), (texts.select("k1", "body", F.lit(None).cast(back.schema["marks"].dataType).alias("marks"), "key"), marked)]
     kept = "kept_sha256 string" if digest else "kept binary"
-    return rows.mapInArrow(_removed(length, passage, digest), f"doc_id long, n_bytes long, n_removed long, n_spans long, {kept}, n_passages long")
+    schema = f"doc_id long, n_bytes long, n_removed long, n_spans long, {kept}, n_passages long"
+    touched, untouched = (r.mapInArrow(_removed(length, passage, digest, others), schema) for r, others in rows)
+    return touched.union(untouched)

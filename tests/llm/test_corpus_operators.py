@@ -161,6 +161,37 @@ def test_repeats_of_odd_tables(spark):
     assert bwt_repeats.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_sieve_that_lets_all_pass_changes_no_result(spark, monkeypatch):
+    texts = repeated_texts()
+    docs = spark.createDataFrame([(i if i % 7 else None, t, None, "", "") for i, t in enumerate(texts)], SCHEMA)
+    run = lambda: sorted(map(str, bwt_repeats.remove_repeats(docs, length=60, passage=40).collect()))
+    want = run()
+    monkeypatch.setattr(bwt_repeats, "SIEVE_MOST", 8)
+    monkeypatch.setattr(bwt_repeats, "SIEVE_BLOCK", 8)
+    assert run() == want
+
+
+def shuffled(spark):
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty()
+    return context.statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+
+def test_texts_that_repeat_nothing_are_not_shuffled(spark, monkeypatch):
+    rng = random.Random(3)
+    noise = lambda: bytes(rng.randrange(33, 127) for _ in range(4000)).decode()
+    texts = [noise() for _ in range(600)]
+    for i in range(0, 8, 2):
+        texts[i + 1] = texts[i + 1][:1000] + texts[i][1000:2000] + texts[i + 1][2000:]
+    docs = spark.createDataFrame([(i, t, None, "", "") for i, t in enumerate(texts)], SCHEMA)
+    for split in (1 << 20, 1):  # without hot anchors, and with them
+        monkeypatch.setattr(bwt_repeats, "SPLIT_BYTES", split)
+        before = shuffled(spark)
+        got = {r.doc_id: r.n_removed for r in bwt_repeats.remove_repeats(docs, digest=True).collect()}
+        assert got == {i: 1000 * (i < 8) for i in range(600)}
+        assert shuffled(spark) - before < 0.75 * sum(map(len, texts))
+
+
 def mix_by_sorting(rows, seed="mix"):
     """(doc_id, target, taken) by the plain rule."""
     size = {i: len(WORD.findall(t or "")) for i, t, *_ in rows}
